@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bucket_count, written
-from .text import blocks, mix, ranges, span_hashes, split_words, window_hashes
+from .text import blocks, expanded, mix, ranges, span_hashes, split_words, squeezed, window_hashes
 
 WINDOW, ANCHOR = 13, 6
 HOT_ANCHOR = 5_000
@@ -59,7 +59,7 @@ def _mark_batches(window: int, anchor: int, buckets: int):
     """Per block and bucket one row of packed marks: documents, then hash, document and place of each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in expanded(batches):
             ids, keys = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "k"))
             for row, n, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
                 starts, ends, first = split_words(data, offsets)
@@ -121,7 +121,7 @@ def _segment_batches(window: int, anchor: int, shards: int):
     """Texts with their repeated places -> segments; `words` is set only for the first of equal segments in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in expanded(batches):
             col = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             ids, keys, places = col("id").to_numpy(), col("k").to_numpy(), col("places")
             for row, n, data, offsets in blocks(col("text")):
@@ -275,7 +275,7 @@ def _shard_owners(window: int):
 
 def _final_batches(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in expanded(batches):
             col = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             text, copy, spans = col("text"), col("copied").to_pylist(), col("spans").to_pylist()
             n_words, n_removed, kept = [], [], []
@@ -306,12 +306,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = bucket_count(size, SHARD_BYTES)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text).withColumn("k", F.xxhash64("text"))
-    lead = rows.where("id IS NOT NULL").groupBy("k", F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.min("id").alias("id")).select("id", "k")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text).withColumn("k", F.xxhash64("text"))
+    rows = plain.mapInArrow(squeezed, "id long, k long, z binary")
+    lead = plain.where("id IS NOT NULL").groupBy("k", F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.min("id").alias("id")).select("id", "k")
     once = rows.join(lead.hint("shuffle_hash"), ["id", "k"])
-    marks = once.select("id", "k", "text").mapInArrow(_mark_batches(window, anchor, shards), "bucket long, marks binary")
+    marks = once.select("id", "k", "z").mapInArrow(_mark_batches(window, anchor, shards), "bucket long, marks binary")
     places = marks.groupBy("bucket").applyInArrow(_repeated(hot), "id long, k long, place int").groupBy("id", "k").agg(F.collect_list("place").alias("places"))
-    segments = written(once.join(places.hint("shuffle_hash"), ["id", "k"]).select("id", "k", "text", "places").mapInArrow(_segment_batches(window, anchor, shards), _SEGMENT), "segments")
+    segments = written(once.join(places.hint("shuffle_hash"), ["id", "k"]).select("id", "k", "z", "places").mapInArrow(_segment_batches(window, anchor, shards), _SEGMENT), "segments")
     content = segments.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"))
     words = segments.where("words IS NOT NULL").groupBy("shard", "c1", "c2", "words").agg(F.min("id").alias("id"))
     owners = words.drop("id").join(content, ["c1", "c2"]).groupBy("shard").applyInArrow(_shard_owners(window), "c1 long, c2 long, owners array<long>")
@@ -321,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("id", "k").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     )
     found = lead.withColumn("lead", F.lit(True)).join(spans, ["id", "k"], "left")
-    out = rows.join(found.hint("shuffle_hash"), ["id", "k"], "left").select("id", "text", F.expr("lead IS NULL AND id IS NOT NULL").alias("copied"), "spans")
+    out = rows.join(found.hint("shuffle_hash"), ["id", "k"], "left").select("id", "z", F.expr("lead IS NULL AND id IS NOT NULL").alias("copied"), "spans")
     return out.mapInArrow(_final_batches(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
