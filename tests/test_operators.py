@@ -122,7 +122,7 @@ def test_failures(spark):
 def test_sign_test(spark):
     arms = [(i, a, h) for i in range(10) for a, h in (("on", int(i < 8)), ("off", int(i in (0, 9))))]
     r = evaluation.paired(spark.createDataFrame(arms, "item int, arm string, hit int")).first()
-    assert (r.wins, r.losses, r.ties) == (7, 1, 2) and r.sign_p == pytest.approx(sum(math.comb(8, k) for k in (7, 8)) / 2**8)
+    assert (r.wins, r.losses, r.ties) == (7, 1, 2) and r.sign_p == pytest.approx(sum(math.comb(8, k) for k in (7, 8)) / 2**8, abs=1e-6)
 
 
 def test_history(spark):
