@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import join_small, written
+from .text import ranges, span_hashes
 
 CAPACITY, END_ID, SLACK = 2048, 1, 0.02
 TOKENIZER = "word_bpe_49k.json"
@@ -37,14 +38,109 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+_CLASS = np.full(256, 3, np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other
+for _b in range(256):
+    if _b in (9, 10, 13, 32):
+        _CLASS[_b] = 0
+    elif chr(_b).isalpha() and _b < 128 or _b >= 128:
+        _CLASS[_b] = 1
+    elif 48 <= _b <= 57:
+        _CLASS[_b] = 2
+
+
+class Coder:
+    """ids of texts by a word-level tokenizer, each distinct word coded once while it stays in a bounded cache.
+
+    Texts of plain ASCII and the letters of U+00C0 to U+00FF are cut into words as the tokenizer does (runs of
+    letters, single digits, runs of other marks), and words are told apart by 64-bit hashes. Any other text, and one with
+    a contraction or a special token's opening, goes through the tokenizer whole.
+    """
+
+    MOST = 400_000
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: the shortcut holds for tokenizers whose every word ends in a token marked as an end
+        self.by_words = len(self.whole(["a1 bc."])[0]) > 0 and int(self.ends[self.whole(["a1 bc."])[0]].sum()) == 4
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.at, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, keys: list[int], words: list[str]) -> None:
+        ids = self.whole([" ".join(words)])[0]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            raise ValueError("the tokenizer does not end every word with a marked token")
+        n, starts = len(self.index), np.concatenate([[0], stops[:-1]])
+        while n + len(keys) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.at[n : n + len(keys)], self.size[n : n + len(keys)] = starts + self.used, stops - starts
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def code(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        odd = ((data < 32) & (_CLASS[data] != 0)) | (data == 127) | ((data >= 0xC0) & (data != 0xC3))
+        if len(data):
+            odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+            odd[1:] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+            odd[1:] |= (data[:-1] == 0x27) & np.isin(data[1:] | 32, [ord(c) for c in "stmdrvl"])
+        strange = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) > 0
+        if not self.by_words:
+            strange[:] = True
+        some = np.flatnonzero(strange)
+        for i, ids in zip(some, self.whole([texts[i] for i in some]), strict=True):
+            out[i] = ids
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        low[1:][(data[:-1] == 0xC3) & (data[1:] <= 0x9E)] += 32
+        kind = _CLASS[data]
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        edge[offsets] = True
+        cuts = np.flatnonzero(edge)
+        keep = (kind[cuts[:-1]] != 0) & ~strange[np.searchsorted(offsets, cuts[:-1], "right") - 1]
+        starts, ends = cuts[:-1][keep], cuts[1:][keep]
+        hashes, first, inverse = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        if len(self.index) + len(hashes) > self.MOST:
+            self.forget()
+        keys = hashes.tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.index]
+        if new:
+            whole = low.tobytes()
+            self.learn([keys[i] for i in new], [whole[starts[j] : ends[j]].decode() for j in first[new]])
+        slot = np.array([self.index[h] for h in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
+        sizes = self.size[slot].astype(np.int64)
+        ids = self.pool[ranges(self.at[slot], sizes)]
+        word_edge = np.searchsorted(starts, offsets)
+        ends_at = np.concatenate([[0], np.cumsum(sizes)])[word_edge]
+        for i in np.flatnonzero(~strange):
+            out[i] = ids[ends_at[i] : ends_at[i + 1]]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
 @lru_cache(maxsize=100_000)
@@ -68,7 +164,7 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, worker, seen = _tokenizer(path), TaskContext.get().partitionId(), {}
+        coder, worker, seen = _coder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             at = 0
@@ -78,7 +174,7 @@ def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
                     group.append(texts[at + len(group)].as_py() or "")
                     size += len(group[-1])
                 unique = {t: i for i, t in enumerate(dict.fromkeys(group))}
-                coded = [np.array([*e.ids, end_id], "<u4") for e in tokenizer.encode_batch_fast(list(unique), add_special_tokens=False)]
+                coded = [np.append(x, np.uint32(end_id)).astype("<u4") for x in coder.code(list(unique))]
                 rows = []
                 for i, text in enumerate(group):
                     tokens, start = coded[unique[text]], 0
