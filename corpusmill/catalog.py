@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .jobs import evaluate
 from .operators import chunking, conversations, evaluation, retrieval, store
 from .sources.tables import table as t
-from .streaming import windows
+from .streaming import guard, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +53,7 @@ FROM asked JOIN (SELECT DISTINCT doc_id, unnest(ts) AS term FROM d) USING (term)
 def _second_list(spark, sf_dir: str) -> DataFrame:
     asked = retrieval.postings(evaluate.questions(t(spark, sf_dir, "benchmark")), ["q_id"]).select("q_id", "term")
     docs = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    return retrieval.top(docs.join(F.broadcast(asked), "term").groupBy("q_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), 30, ["q_id"])
+    return retrieval.top(docs.join(asked, "term").groupBy("q_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), 30, ["q_id"])
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKS.format(c='text')}) AS term FROM documents) GROUP BY ALL")
@@ -351,7 +351,8 @@ def id_clash(spark, sf_dir):
     return store.clashes(t(spark, sf_dir, "documents").select("doc_id", "lang"), other, "doc_id", "lang")
 
 
-@query("SELECT source, count(*) AS n, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query(f"""WITH b AS (SELECT source, doc_id // {chunking.BLOCK} AS block, count(*) AS n, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY block)) AS fingerprint FROM b GROUP BY source""")
 def text_fingerprint(spark, sf_dir):
     return store.fingerprints(t(spark, sf_dir, "documents"), "source")
 
@@ -369,5 +370,224 @@ def event_sessions(spark, sf_dir):
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
 
 
+@query(f"SELECT doc_id, len(ts)::BIGINT AS n_terms, sha256(array_to_string(ts, ' ')) AS terms_sha256 FROM (SELECT doc_id, {_TOKS.format(c='text')} AS ts FROM documents)")
+def tokenize_terms(spark, sf_dir):
+    terms = t(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("ts"))
+    return terms.select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.sha2(F.array_join("ts", " "), 256).alias("terms_sha256"))
+
+
+@query("""SELECT a.vec_id AS q_id, b.label, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
+row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
+FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 AND b.label IS NOT NULL QUALIFY rank <= 3""")
+def dense_topk_per_label(spark, sf_dir):
+    vectors = t(spark, sf_dir, "embeddings")
+    return retrieval.dense(vectors, vectors.where("vec_id % 50 = 0"), 3, scope="label").withColumn("label", F.col("label").cast("int"))
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT doc_id, source, {_TOKS.format(c='text')} AS ts FROM documents), {_ASKED},
+n AS (SELECT source, count(*) AS n FROM d GROUP BY source), p AS (SELECT DISTINCT doc_id, source, unnest(ts) AS term FROM d)
+SELECT source, term, count(*) AS df, any_value(n) AS n FROM p JOIN n USING (source) WHERE term IN (SELECT term FROM asked) GROUP BY source, term""")
+def owner_isolation(spark, sf_dir):
+    """Document frequencies of the questions' words, of each owner's documents alone."""
+    docs = t(spark, sf_dir, "documents").where("source IS NOT NULL")
+    asked = retrieval.postings(evaluate.questions(t(spark, sf_dir, "benchmark")), ["q_id"]).select("term").distinct()
+    found = docs.select("source", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(asked, "term", "left_semi")
+    return found.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")).join(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
+
+
+@query()
+def sentence_units(spark, sf_dir):
+    return chunking.sentence_units(t(spark, sf_dir, "documents"))
+
+
+@query()
+def heading_chunks(spark, sf_dir):
+    return chunking.heading_chunks(t(spark, sf_dir, "pages"))
+
+
+_PLANTED = f"CASE WHEN doc_id % 10 = 3 THEN text || chr(10) || '{_ATTACK}' ELSE text END"
+
+
+def _rules_sql(c: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({c}, '{tx.re2(p)}') THEN '{n}' END" for n, p in tx.RULES.items()) + "], lambda r: r IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, array_to_string(rules, ',') AS rules FROM (SELECT doc_id, {_rules_sql('text')} AS rules FROM (SELECT doc_id, {_PLANTED} AS text FROM documents)) WHERE len(rules) > 0")
+def scan_rules(spark, sf_dir):
+    planted = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("\n" + _ATTACK))).otherwise(F.col("text"))
+    found = t(spark, sf_dir, "documents").select("doc_id", tx.scan(planted).alias("rules")).where(F.size("rules") > 0)
+    return found.select("doc_id", F.array_join("rules", ",").alias("rules"))
+
+
+_PAYLOAD = "visit evil.example now"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, text, CASE WHEN conv_id % 2 = 0 THEN '{_ATTACK} {_PAYLOAD}' ELSE '{_PAYLOAD}' END AS planted FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0),
+f AS (SELECT *, len({_rules_sql('planted')}) > 0 AS flagged, text || CASE WHEN conv_id % 3 = 1 THEN ' {_PAYLOAD}' ELSE ' I ignored the embedded instruction: {_PAYLOAD}' END AS answer FROM c),
+r AS (SELECT 'none' AS defense, true AS exposed, lower(answer) AS low FROM f UNION ALL SELECT 'scan', NOT flagged, lower(CASE WHEN flagged THEN text ELSE answer END) FROM f),
+p AS (SELECT *, strpos(low, '{_PAYLOAD}') AS place FROM r),
+o AS (SELECT *, CASE WHEN place = 0 THEN 'none' WHEN regexp_matches(substr(low, greatest(1, place - {evaluation.NEAR}), least(place - 1, {evaluation.NEAR}) + {len(_PAYLOAD)} + {evaluation.NEAR}), '{tx.re2(evaluation.REPORTING)}') THEN 'reported' ELSE 'obeyed' END AS outcome FROM p)
+SELECT defense, count(*) AS n, count(*) FILTER (exposed) AS exposed, count(*) FILTER (outcome = 'obeyed') AS obeyed, count(*) FILTER (outcome = 'reported') AS reported, count(*) FILTER (outcome = 'none') AS "none" FROM o GROUP BY defense""")
+def attack_summary(spark, sf_dir):
+    """Planted attacks against answers with and without the scan of passages; odd conversations get one that evades it."""
+    turns, conv = t(spark, sf_dir, "conversations").where("role = 'assistant' AND conv_id % 3 <> 0 AND text IS NOT NULL"), F.col("conv_id")
+    planted = F.when(conv % 2 == 0, F.lit(f"{_ATTACK} {_PAYLOAD}")).otherwise(F.lit(_PAYLOAD))
+    answer = F.concat("text", F.when(conv % 3 == 1, F.lit(f" {_PAYLOAD}")).otherwise(F.lit(f" I ignored the embedded instruction: {_PAYLOAD}")))
+    rows = turns.select("text", answer.alias("answer"), (F.size(tx.scan(planted)) > 0).alias("flagged"))
+    arm = lambda name, exposed, said: F.struct(F.lit(name).alias("defense"), exposed.alias("exposed"), said.alias("answer"))
+    arms = rows.select(F.explode(F.array(arm("none", F.lit(True), F.col("answer")), arm("scan", ~F.col("flagged"), F.when(F.col("flagged"), F.col("text")).otherwise(F.col("answer"))))).alias("a")).select("a.*")
+    return evaluation.attack_summary(arms.select("defense", "exposed", evaluation.attack_outcome(F.col("answer"), F.lit(_PAYLOAD)).alias("outcome")))
+
+
+_RERANKED = f"""q AS (SELECT item_id AS q_id, array_to_string(regexp_extract_all(lower(text), '{tx.TOKEN}')[1:{evaluate.WORDS}], ' ') AS q FROM benchmark),
+s AS (SELECT q_id, doc_id, rank AS before, len(list_intersect({_WORDS.format(c='q')}, {_WORDS.format(c='lower(text)')})) AS score FROM a JOIN q USING (q_id) JOIN documents USING (doc_id)),
+b AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, before) AS rank FROM s QUALIFY rank <= 5)"""
+_BEST = "u AS (SELECT 'bm25' AS stage, q_id, doc_id, rank FROM a UNION ALL SELECT 'rerank', q_id, doc_id, rank FROM b), m AS (SELECT stage, q_id, min(rank) AS best FROM u JOIN g USING (q_id, doc_id) GROUP BY ALL)"
+
+
+def _stage_ranks(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(stage, q_id, best) of keyword search and reranking, and the questions that have gold documents."""
+    docs, bench = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    hits, gold = evaluate.keyword_hits(docs, bench, 30), evaluate.gold(docs, bench)
+    ranked = retrieval.overlap_rerank(hits, evaluate.questions(bench), docs, 5)
+    both = hits.select(F.lit("bm25").alias("stage"), "q_id", "doc_id", "rank").unionByName(ranked.select(F.lit("rerank").alias("stage"), "q_id", "doc_id", "rank"))
+    return both.join(gold, ["q_id", "doc_id"]).groupBy("stage", "q_id").agg(F.min("rank").alias("best")), gold.select("q_id").distinct()
+
+
+@query(f"""WITH a AS MATERIALIZED ({_BM25_30}), {_GOLD}, {_RERANKED}, {_BEST}, n AS (SELECT count(DISTINCT q_id) AS n FROM g)
+SELECT stage, any_value(n) AS n, round(count(*) FILTER (best <= 5) / any_value(n)::DOUBLE, 4) AS hit, round(sum(1e0 / best) / any_value(n), 4) AS mrr FROM m, n GROUP BY stage""")
+def eval_report(spark, sf_dir):
+    ranks, asked = _stage_ranks(spark, sf_dir)
+    return evaluation.stage_report(ranks, asked, "stage", 5)
+
+
+@query(f"""WITH a AS MATERIALIZED ({_BM25_30}), {_GOLD}, {_RERANKED}, {_BEST}, k AS (SELECT item_id AS q_id, CASE WHEN length(text) < 300 THEN 'short' ELSE 'long' END AS type FROM benchmark),
+f AS (SELECT DISTINCT q_id, type FROM g JOIN k USING (q_id)), r AS (SELECT q_id, best FROM m WHERE stage = 'rerank')
+SELECT type, count(*) AS n, round(avg(coalesce((best <= 5)::INT, 0)), 4) AS hit, round(avg(coalesce(1e0 / best, 0e0)), 4) AS mrr FROM f LEFT JOIN r USING (q_id) GROUP BY type""")
+def report_by_type(spark, sf_dir):
+    ranks, asked = _stage_ranks(spark, sf_dir)
+    kinds = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.when(F.length("text") < 300, "short").otherwise("long").alias("type"))
+    rows = asked.join(kinds, "q_id").join(ranks.where("stage = 'rerank'").select("q_id", "best"), "q_id", "left")
+    hit, rr = F.coalesce((F.col("best") <= 5).cast("int"), F.lit(0)), F.coalesce(F.lit(1.0) / F.col("best"), F.lit(0.0))
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 4).alias("hit"), F.round(F.avg(rr), 4).alias("mrr"))
+
+
+@query(f"""WITH a AS ({_BM25_30}), {_GOLD}, b AS (SELECT q_id, min(rank) AS best FROM a JOIN g USING (q_id, doc_id) GROUP BY q_id), h AS (SELECT DISTINCT q_id FROM g)
+SELECT CASE WHEN h.q_id IS NULL THEN 'unanswerable' WHEN best IS NULL THEN 'retrieval_miss' WHEN best > 10 THEN 'lost_at_fuse' WHEN best > 3 THEN 'lost_at_context' ELSE 'retrieval_ok' END AS failure, count(*) AS n
+FROM (SELECT item_id AS q_id FROM benchmark) LEFT JOIN h USING (q_id) LEFT JOIN b USING (q_id) GROUP BY ALL""")
+def failure_counts(spark, sf_dir):
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"))
+    rows = asked.join(locate_failure(spark, sf_dir), "q_id", "left")
+    return rows.groupBy(F.coalesce("failure", F.lit("unanswerable")).alias("failure")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_ASKED}, w AS (SELECT q_id, term, q_id * 37 AS doc_id FROM asked),
+p AS (SELECT q_id, CASE WHEN d.doc_id IS NULL THEN 'missing page' WHEN NOT contains(lower(coalesce(text, '')), term) THEN 'term not on page' END AS problem FROM w LEFT JOIN documents d USING (doc_id))
+SELECT q_id, problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL""")
+def verify_golden(spark, sf_dir):
+    """Questions whose words are claimed, wrongly more often than not, to stand in document 37 q_id."""
+    asked = retrieval.postings(evaluate.questions(t(spark, sf_dir, "benchmark")), ["q_id"])
+    return evaluation.golden_gaps(asked.select("q_id", (F.col("q_id") * 37).alias("doc_id"), "term"), t(spark, sf_dir, "documents"))
+
+
+_LOW = "replace(lower(text), chr(8217), '''')"
+
+
+@query(rf"""SELECT conv_id, turn, array_to_string(list_concat(regexp_extract_all({_LOW}, '\b({tx.MARKERS})\b'), CASE WHEN regexp_matches({_LOW}, '^\W*({tx.OPENERS})\b') THEN [regexp_extract({_LOW}, '^\W*({tx.OPENERS})\b', 1)] ELSE [] END), ',') AS markers
+FROM conversations WHERE role = 'user'""")
+def anaphora(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(tx.markers(F.col("text")), ",").alias("markers"))
+
+
+_PAIRS = """o AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, text AS question, CASE WHEN next_role = 'assistant' THEN next_text END AS answer FROM o WHERE role = 'user')"""
+_NUMS = "list_distinct(list_transform(regexp_extract_all({c}, '[0-9]+(?:[.,][0-9]+)*'), lambda n: replace(n, ',', '')))"
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, array_to_string(list_sort(list_filter({_NUMS.format(c='question')}, lambda n: NOT list_contains({_NUMS.format(c='answer')}, n))), ' ') AS dropped FROM p WHERE answer IS NOT NULL")
+def numbers_dropped(spark, sf_dir):
+    pairs = conversations.pairs(t(spark, sf_dir, "conversations")).where("answer IS NOT NULL")
+    gone = F.array_sort(F.array_except(tx.numbers(F.col("question")), tx.numbers(F.col("answer"))))
+    return pairs.select("conv_id", "turn", F.array_join(gone, " ").alias("dropped"))
+
+
+_NEW = "list_filter({a}, lambda w: NOT list_contains({b}, w))"
+
+
+@query(rf"""WITH {_PAIRS}, h AS (SELECT *, lag(question) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM p),
+k AS (SELECT conv_id, turn, {_TOKS.format(c='question')} AS m, {_TOKS.format(c='answer')} AS r, {_TOKS.format(c='earlier')} AS e,
+NOT regexp_matches({_LOW.replace('text', 'question')}, '\b({tx.MARKERS})\b') AND NOT regexp_matches({_LOW.replace('text', 'question')}, '^\W*({tx.OPENERS})\b') AND len(regexp_extract_all(question, '[^\x20\x09-\x0D]+')) >= 6 AS checked FROM h WHERE answer IS NOT NULL AND earlier IS NOT NULL)
+SELECT conv_id, turn, checked AND list_has_any({_NEW.format(a='r', b='m')}, {_NEW.format(a='e', b='m')}) AS leaked FROM k""")
+def topic_leak(spark, sf_dir):
+    """Answers stand for rewrites, and the question before for the history."""
+    pairs = conversations.pairs(t(spark, sf_dir, "conversations"))
+    rows = pairs.withColumn("history", F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))).where("answer IS NOT NULL AND history IS NOT NULL")
+    return conversations.topic_leaks(rows.select("conv_id", "turn", F.col("question").alias("message"), F.col("answer").alias("rewrite"), "history")).select("conv_id", "turn", "leaked")
+
+
+_CITED = "CASE conv_id % 4 WHEN 0 THEN text || ' [S2] and [S1], [S2]' WHEN 1 THEN text || ' [S9]' ELSE text END"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all({_CITED}, '\[S(\d+)\]', 1), lambda n: n::INT) AS cited FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+SELECT conv_id, turn, len(list_distinct(cited))::INT AS n_cited, cited[1] AS first_cited, len(list_filter(cited, lambda n: n < 1 OR n > 5)) = 0 AS valid FROM c""")
+def citations(spark, sf_dir):
+    turns = t(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    cited = turns.select("conv_id", "turn", tx.citations(F.expr(_CITED)).alias("cited"))
+    return cited.select("conv_id", "turn", F.size("cited").alias("n_cited"), F.get("cited", 0).alias("first_cited"), tx.citations_valid(F.col("cited"), F.lit(5)).alias("valid"))
+
+
+_REFUSED = "CASE conv_id % 5 WHEN 0 THEN text || ' I cannot answer this from the provided document [S1].' WHEN 1 THEN text || ' The context does not mention it.' WHEN 2 THEN text || ' The text does not include it [S2].' ELSE text END"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, {_REFUSED} AS said FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+SELECT conv_id, turn, contains(lower(said), '{tx.REFUSAL_PHRASE}') OR NOT regexp_matches(said, '\[S(\d+)\]') AND regexp_matches(lower(said), '{tx.re2(tx.REFUSAL)}') AS abstained FROM c""")
+def abstention(spark, sf_dir):
+    turns = t(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    return turns.select("conv_id", "turn", tx.is_abstention(F.expr(_REFUSED)).alias("abstained"))
+
+
+@query("""WITH k AS (SELECT conv_id, turn, sha256('small' || chr(31) || 'Answer briefly.' || chr(31) || coalesce(text, '') || chr(31) || '512') AS cache_key FROM conversations WHERE role = 'user')
+SELECT cache_key, count(*) AS calls, min(conv_id) AS first_conv FROM k GROUP BY cache_key""")
+def cache_key(spark, sf_dir):
+    calls = store.reply_keys(t(spark, sf_dir, "conversations").where("role = 'user'"), "small", "Answer briefly.", 512)
+    return calls.groupBy("cache_key").agg(F.count(F.lit(1)).alias("calls"), F.min("conv_id").alias("first_conv"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, count(*) AS n, sha256(string_agg(text || chr(0), '' ORDER BY chunk)) AS fingerprint FROM k GROUP BY doc_id")
+def chunk_fingerprint(spark, sf_dir):
+    return store.chunk_fingerprints(chunking.fixed_chunks(t(spark, sf_dir, "documents")))
+
+
+_SHIP = """SELECT count(*) FILTER (doc_id % 4 = 0 AND lost) AS standalone_losses, count(*) FILTER (doc_id % 9 = 0 AND lost) AS regression_changed, 0::BIGINT AS regression_calls, count(*) FILTER (doc_id % 2 = 0) AS calls, count(*) FILTER (doc_id % 26 = 0) AS fallbacks, bool_and(quality IS NOT NULL) AS approved
+FROM (SELECT *, NOT (doc_id % 2 = 0 OR quality = 1) AND toxic = 0 AND quality = 1 AS lost FROM labels)"""
+
+
+@query(f"""WITH a AS ({ORACLES['paired_arms']}), c AS ({_SHIP}), s AS (SELECT n > 0 AS evaluated, gain > band AS a, wins - losses >= 3 AS b, standalone_losses = 0 AS c, regression_changed = 0 AND regression_calls = 0 AS d, calls > 0 AND fallbacks <= 0.1e0 * calls AS e, coalesce(approved, false) AS f FROM a, c)
+SELECT evaluated, a, b, c, d, e, f, evaluated AND a AND b AND c AND d AND e AND f AS ship FROM s""")
+def shipping_rule(spark, sf_dir):
+    d, quality = F.col("doc_id"), F.col("quality")
+    lost = ~((d % 2 == 0) | (quality == 1)) & (F.col("toxic") == 0) & (quality == 1)
+    checks = t(spark, sf_dir, "labels").agg(
+        F.count_if((d % 4 == 0) & lost).alias("standalone_losses"), F.count_if((d % 9 == 0) & lost).alias("regression_changed"), F.lit(0).cast("long").alias("regression_calls"),
+        F.count_if(d % 2 == 0).alias("calls"), F.count_if(d % 26 == 0).alias("fallbacks"), F.bool_and(quality.isNotNull()).alias("approved"),
+    )
+    return evaluation.shipping(paired_arms(spark, sf_dir), checks)
+
+
+@query()
+def stream_guard_release(spark, sf_dir):
+    """Answers as streams of four characters, some with a link planted, through the guard: what was shown of each."""
+    turns = t(spark, sf_dir, "conversations").where("role = 'assistant' AND text <> ''")
+    answer = F.when(F.col("conv_id") % 10 == 3, F.concat("text", F.lit(" see https://evil.example/p for more"))).otherwise(F.col("text"))
+    answers = turns.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("answer_id"), answer.alias("answer"))
+    starts = F.sequence(F.lit(0), F.floor((F.length("answer") - 1) / 4))
+    deltas = answers.select("answer_id", "answer", F.explode(starts).alias("seq")).select(
+        "answer_id", "seq", F.substring("answer", (F.col("seq") * 4 + 1).cast("int"), F.lit(4)).alias("delta"), (F.col("seq") * 4 + 4 >= F.length("answer")).alias("final")
+    )
+    out = guard.guard_batch(deltas, ("internal reference",))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "released"))), lambda r: r["released"]), "")
+    return out.groupBy("answer_id").agg(shown.alias("shown"), F.bool_or("blocked").alias("blocked"))
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -103,23 +104,105 @@ def recursive_chunks(docs: DataFrame, size: int = 200, overlap: int = 40, code_m
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, start int, end int, text string")
 
 
+def sentence_units(docs: DataFrame, size: int = 200, code_max: int = 400) -> DataFrame:
+    """The units that chunks are packed of: (doc_id, unit, start, end, n_words). Null and blank texts have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, i, *u) for d, t in zip(f["doc_id"], f["text"], strict=True) for i, u in enumerate(_units(t or "", size, code_max))]
+            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "end", "n_words"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, unit int, start int, end int, n_words int")
+
+
+_HIDDEN = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
+_HEADING = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.IGNORECASE | re.DOTALL)
+_BLOCK_TAG = re.compile(r"</?(?:p|div|li|ul|ol|tr|table|section|article|header|footer|nav|br|body|html)\b[^>]*>", re.IGNORECASE)
+
+
+def _plain(markup: str) -> str:
+    lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", part)).split()) for part in _BLOCK_TAG.split(markup))
+    return "\n\n".join(line for line in lines if line)
+
+
+def _sections(markup: str) -> list[tuple[int, str, str]]:
+    """(level, path of titles, text) for what stands before the first heading (level 0) and under each one."""
+    parts = _HEADING.split(_HIDDEN.sub(" ", markup))
+    out, titles = [(0, "", _plain(parts[0]))], {}
+    for level, title, body in zip(parts[1::3], parts[2::3], parts[3::3], strict=True):
+        titles = {k: v for k, v in titles.items() if k < int(level)} | {int(level): _plain(title)}
+        out.append((int(level), " > ".join(titles[k] for k in sorted(titles)), _plain(body)))
+    return out
+
+
+def heading_chunks(pages: DataFrame, most: int = 300, stub: int = 60) -> DataFrame:
+    """Chunks of web pages along their headings: (page_id, chunk, section, n_words, text).
+
+    A section under `stub` words joins the next one, but never one of level 1 or 2; one over `most` words is cut at
+    paragraphs and sentences. Null pages have none.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for page, markup in zip(f["page_id"], f["html"], strict=True):
+                merged: list[tuple[int, str, str]] = []
+                for level, path, body in _sections(markup or ""):
+                    if merged and level > 2 and len(merged[-1][2].split()) < stub:
+                        first = merged.pop()
+                        level, path, body = first[0], first[1] or path, f"{first[2]}\n\n{body}".strip()
+                    merged.append((level, path, body))
+                cuts = [(path, body[a:b]) for _, path, body in merged for a, b in pack_units(_units(body, most, most), most, 0)]
+                rows += [(page, i, path, len(text.split()), text) for i, (path, text) in enumerate(cuts)]
+            yield pd.DataFrame(rows, columns=["page_id", "chunk", "section", "n_words", "text"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, chunk int, section string, n_words int, text string")
+
+
 def parent_child_chunks(docs: DataFrame, parent_size: int = 600, child_size: int = 100, overlap: int = 20) -> DataFrame:
     """Small chunks for search inside large ones for reading: (doc_id, parent, chunk, text)."""
     parents = recursive_chunks(docs, parent_size, 0).select((F.col("doc_id") * 1_000_000 + F.col("chunk")).alias("doc_id"), "text")
     return recursive_chunks(parents, child_size, overlap).select(F.floor(F.col("doc_id") / 1_000_000).alias("doc_id"), (F.col("doc_id") % 1_000_000).cast("int").alias("parent"), "chunk", "text")
 
 
+#: Ids in one block: what a window over a large group sorts at once.
+BLOCK = 65_536
+
+
+def id_block(key: str) -> Column:
+    return F.floor(F.col(key) / BLOCK)
+
+
 def page_starts(pages: DataFrame, by: str) -> DataFrame:
-    """Where each page (doc_id, `by` groups and orders) begins when pages are joined by a blank line."""
-    before = Window.partitionBy(by).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.select(by, "doc_id", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long").alias("start"))
+    """Where each page (doc_id, a key; `by` groups) begins when a group's pages are joined by a blank line, in order of id.
+
+    Sums run inside blocks of ids, and block totals run inside the group, so a group that holds most rows is still
+    spread over many tasks. A null text has no length; null is a group of its own.
+    """
+    before = (Window.unboundedPreceding, -1)
+    rows = pages.select(by, "doc_id", id_block("doc_id").alias("__block"), (F.length("text") + 2).alias("__n"))
+    totals = rows.groupBy(by, "__block").agg(F.sum("__n").alias("__sum"))
+    earlier = totals.select(F.col(by).alias("__by"), F.col("__block").alias("__b"), F.sum("__sum").over(Window.partitionBy(by).orderBy("__block").rowsBetween(*before)).alias("__earlier"))
+    inside = F.sum("__n").over(Window.partitionBy(by, "__block").orderBy("doc_id").rowsBetween(*before))
+    joined = rows.withColumn("__inside", inside).join(earlier, F.col(by).eqNullSafe(F.col("__by")) & F.col("__block").eqNullSafe(F.col("__b")))
+    return joined.select(by, "doc_id", (F.coalesce("__earlier", F.lit(0)) + F.coalesce("__inside", F.lit(0))).cast("long").alias("start"))
 
 
 def topic_breaks(vectors: DataFrame, by: str, percentile: float = 0.85) -> DataFrame:
-    """Distances between consecutive vectors of a group; a break is a distance above the group's percentile."""
-    order = Window.partitionBy(by).orderBy("vec_id")
+    """Distances between consecutive vectors of a group; a break is a distance above the group's percentile.
+
+    Neighbours are found inside blocks of ids; the last vector of a block meets the first of the next one. Distances
+    are rounded, so the exact percentile counts at most two million values a group.
+    """
+    rows = vectors.where("vec_id IS NOT NULL").select(by, "vec_id", "embedding", id_block("vec_id").alias("__block"))
+    order = Window.partitionBy(by, "__block").orderBy("vec_id")
+    firsts = rows.groupBy(by, "__block").agg(F.min_by("embedding", "vec_id").alias("__first"))
+    following = firsts.select(F.col(by).alias("__by"), F.col("__block").alias("__b"), F.lead("__first").over(Window.partitionBy(by).orderBy("__block")).alias("__following"))
+    inside = rows.withColumn("__id", F.lead("vec_id").over(order)).withColumn("__vec", F.lead("embedding").over(order))
+    joined = inside.join(following, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__b")))
+    vectors = joined.select(by, "vec_id", "embedding", F.when(F.col("__id").isNotNull(), F.col("__vec")).otherwise(F.col("__following")).alias("next"))
     dot = F.aggregate(F.zip_with("embedding", "next", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    steps = vectors.withColumn("next", F.lead("embedding").over(order)).where("next IS NOT NULL").select(by, "vec_id", F.round(1 - dot, 6).alias("distance"))
+    steps = vectors.where("next IS NOT NULL").select(by, "vec_id", F.round(1 - dot, 6).alias("distance"))
     limits = steps.groupBy(by).agg(F.percentile("distance", F.lit(percentile)).alias("limit"))
     return steps.join(limits, by).select(by, "vec_id", "distance", (F.col("distance") > F.col("limit") + F.lit(1e-9)).alias("is_break"))
 

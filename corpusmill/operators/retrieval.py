@@ -39,16 +39,16 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, scope: str | None = None
     """
     by = [scope] if scope else []
     asked = postings(questions, ["q_id"], stem=stem).select("q_id", "term")
-    docs = docs.select("doc_id", *by, tx.tokens(F.col("text")).alias("ts")) if not stem else docs
+    sized = docs.select("doc_id", *by, *(["text"] if stem else []), tx.tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts").cast("long"))
+    keys, wanted = ["doc_id", *by, "len"], asked.select("term").distinct()  # the length rides along, so postings never meet their documents again
     if stem:
-        found, size = postings(docs, ["doc_id", *by], stem=True), lengths(docs, ["doc_id", *by])
+        found = postings(sized, keys, stem=True).join(wanted, "term", "left_semi")
     else:
-        found = docs.select("doc_id", *by, F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", *by, "term").agg(F.count(F.lit(1)).alias("tf"))
-        size = docs.select("doc_id", *by, F.size("ts").cast("long").alias("len"))
-    stats = size.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        found = sized.select(*keys, F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = found.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(df, "term").join(found, ["term", *by]).join(size, ["doc_id", *by])
-    rows = rows.join(F.broadcast(stats), by) if by else rows.crossJoin(F.broadcast(stats))  # one row without a scope
+    rows = asked.join(df, "term").join(found, ["term", *by])
+    rows = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))  # one row without a scope
     idf = F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))
     scores = rows.groupBy("q_id", *by, "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
@@ -61,35 +61,41 @@ def top(scores: DataFrame, k: int, by: list[str], item: str = "doc_id") -> DataF
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(vectors: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
-    """Rows of up to `size` vectors: packed ids and a packed float64 matrix."""
+def _blocks(vectors: DataFrame, key: str, size: int, prefix: str, scope: str | None = None) -> DataFrame:
+    """Rows of up to `size` vectors: packed ids, a packed float64 matrix, and packed scopes (0 without one)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f = f[f["embedding"].notna()]
             for at in range(0, len(f), size):
                 part = f.iloc[at : at + size]
-                yield pd.DataFrame({names[0]: [part[key].to_numpy(np.int64).tobytes()], names[1]: [np.stack(part["embedding"]).astype(np.float64).tobytes()]})
+                packed = (part[key].to_numpy(np.int64), np.stack(part["embedding"]).astype(np.float64), part["scope"].to_numpy(np.int64))
+                yield pd.DataFrame({prefix + c: [a.tobytes()] for c, a in zip("smg", packed, strict=True)})
 
-    return vectors.select(key, "embedding").mapInPandas(run, f"{names[0]} binary, {names[1]} binary")
+    group = F.col(scope).cast("long") if scope else F.lit(0).cast("long")
+    return vectors.select(key, "embedding", group.alias("scope")).where("scope IS NOT NULL").mapInPandas(run, ", ".join(f"{prefix}{c} binary" for c in "smg"))
 
 
-def dense(vectors: DataFrame, questions: DataFrame, k: int, key: str = "vec_id", block: int = 1024) -> DataFrame:
+def dense(vectors: DataFrame, questions: DataFrame, k: int, key: str = "vec_id", block: int = 1024, scope: str | None = None) -> DataFrame:
     """Exact top k by dot product: blocks of questions meet blocks of vectors as matrices, each pair keeps its own top k,
-    and those are merged. A stated set of questions against all rows."""
-    left, right = _blocks(questions, key, block, ("qs", "qm")), _blocks(vectors, key, block, ("vs", "vm"))
+    and those are merged. A stated set of questions against all rows. With an integer column as scope (a document, an
+    owner), each of its values ranks its own; rows without one are left out."""
+    left, right = _blocks(questions, key, block, "q"), _blocks(vectors, key, block, "v", scope)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 q, v = np.frombuffer(r.qs, np.int64), np.frombuffer(r.vs, np.int64)
                 score = np.round(np.frombuffer(r.qm).reshape(len(q), -1) @ np.frombuffer(r.vm).reshape(len(v), -1).T, 6)
-                order = np.lexsort((np.broadcast_to(v, score.shape), -score), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pd.DataFrame({"q_id": np.repeat(q, n), key: v[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-    pairs = right.crossJoin(left).mapInPandas(run, f"q_id long, {key} long, score double")
-    return top(pairs, k, ["q_id"], key)
+                groups = np.frombuffer(r.vg, np.int64)
+                for g in np.unique(groups):
+                    own, part = v[groups == g], score[:, groups == g]
+                    order = np.lexsort((np.broadcast_to(own, part.shape), -part), axis=1)[:, :k]
+                    n = order.shape[1]
+                    yield pd.DataFrame({"q_id": np.repeat(q, n), key: own[order].ravel(), "score": np.take_along_axis(part, order, 1).ravel(), "scope": g})
+
+    pairs = right.crossJoin(left).mapInPandas(run, f"q_id long, {key} long, score double, scope long")
+    return top(pairs.withColumnRenamed("scope", scope), k, ["q_id", scope], key) if scope else top(pairs.drop("scope"), k, ["q_id"], key)
 
 
 def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

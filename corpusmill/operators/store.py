@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import id_block
+
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """stored with the documents of `new` in place of those with the same key."""
@@ -23,12 +25,31 @@ def clashes(new: DataFrame, stored: DataFrame, key: str, owner: str) -> DataFram
 
 
 def fingerprints(docs: DataFrame, by: str) -> DataFrame:
-    """sha256 over the texts' sha256, in the order of ids, for each group: equal only if all texts are, in order.
+    """A sha256 for each group of documents (doc_id is a key): equal only if all texts are, in the order of ids.
 
-    Texts are hashed row by row, so a group's list holds 64 characters a document, not its texts.
+    A tree of hashes: texts, then blocks of BLOCK ids, then groups. No task holds more than a block's 64 characters a
+    document, or 64 characters a block of its group.
     """
-    marks = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))))
-    return docs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(marks, lambda m: m["h"]), ""), 256).alias("fingerprint"))
+
+    def over(c: str) -> Column:
+        marks = F.array_sort(F.collect_list(F.struct(c, "h")))
+        return F.sha2(F.array_join(F.transform(marks, lambda m: m["h"]), ""), 256)
+
+    rows = docs.select(by, "doc_id", id_block("doc_id").alias("__block"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    blocks = rows.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("n"), over("doc_id").alias("h"))
+    return blocks.groupBy(by).agg(F.sum("n").alias("n"), over("__block").alias("fingerprint"))
+
+
+def chunk_fingerprints(chunks: DataFrame) -> DataFrame:
+    """sha256 over a document's chunk texts, each followed by NUL, in order: (doc_id, n, fingerprint). An index is stale if it differs."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: F.concat(c["text"], F.lit("\0")))
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(texts, ""), 256).alias("fingerprint"))
+
+
+def reply_keys(calls: DataFrame, model: str, system: str, max_tokens: int, text: str = "text") -> DataFrame:
+    """calls with cache_key: calls that a reply cache may answer alike have the same one. A null text is empty."""
+    parts = (F.lit(model), F.lit(system), F.coalesce(F.col(text), F.lit("")), F.lit(str(max_tokens)))
+    return calls.withColumn("cache_key", F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 
 def first_copies(docs: DataFrame) -> DataFrame:

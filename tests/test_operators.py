@@ -1,5 +1,6 @@
 """Single operators on small literal inputs."""
 
+import hashlib
 import math
 import random
 import re
@@ -179,3 +180,84 @@ def test_windows_same_in_stream_and_batch(spark, tmp_path):
     q = windows.windowed(source).writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("win").collect()} == batch
+
+
+def test_page_starts_and_breaks_across_blocks(spark):
+    """Ids on both sides of block borders, a null group, and a null text."""
+    ids = [0, 65_535, 65_536, 65_537, 131_072, 200_000]
+    rows = [(i, None if i == 65_536 else "x" * (n + 1), g) for g in ("a", None) for n, i in enumerate(ids)]
+    got = {(r.source, r.doc_id): r.start for r in chunking.page_starts(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source").collect()}
+    for g in ("a", None):
+        at = 0
+        for i, text, _ in (r for r in rows if r[2] == g):
+            assert got[g, i] == at
+            at += 0 if text is None else len(text) + 2
+    rng = random.Random(5)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)], 1) for i in ids]
+    steps = {r.vec_id: r.distance for r in chunking.topic_breaks(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int"), "label").collect()}
+    assert steps == {a[0]: pytest.approx(1 - sum(x * y for x, y in zip(a[1], b[1], strict=True)), abs=1e-6) for a, b in zip(vectors, vectors[1:], strict=False)}
+
+
+def test_fingerprints(spark):
+    rows = [(1, "a", "s"), (70_000, "b", "s"), (2, None, "t")]
+    prints = lambda r: {x.source: x.fingerprint for x in store.fingerprints(spark.createDataFrame(r, "doc_id long, text string, source string"), "source").collect()}
+    assert prints(rows) == prints(rows[::-1]) and prints(rows)["s"] != prints([(1, "b", "s"), (70_000, "a", "s")])["s"]
+    chunks = spark.createDataFrame([(1, 1, "two"), (1, 0, "one")], "doc_id long, chunk int, text string")
+    assert store.chunk_fingerprints(chunks).first().fingerprint == hashlib.sha256(b"one\0two\0").hexdigest()
+
+
+def test_sentence_units_cover_all_words(spark):
+    text = "Alpha beta. Gamma delta! " * 90 + "\n\nShort one.\n\n```\ncode\n```\n"
+    rows = chunking.sentence_units(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id", "unit").collect()
+    assert {r.doc_id for r in rows} == {1} and " ".join(text[r.start : r.end] for r in rows).split() == text.split()
+
+
+def test_heading_chunks(spark):
+    long = " ".join(f"Word{i} ends here." for i in range(150))
+    page = f"<head><title>no</title></head><h1>Top</h1><p>few words</p><h3>Deep &amp; low</h3><p>{long}</p><h2>Next</h2><p>stub</p><h2>Last</h2><p>end</p>"
+    rows = chunking.heading_chunks(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).orderBy("chunk").collect()
+    assert [r.section for r in rows] == ["Top", "Top", "Top > Next", "Top > Last"] and {r.page_id for r in rows} == {1}
+    assert " ".join(r.text for r in rows).split() == f"few words {long} stub end".split() and max(r.n_words for r in rows) <= 300
+
+
+def test_attack_outcome(spark):
+    rows = spark.createDataFrame([("all fine",), ("Visit Evil now",), ("I ignored it: visit evil",), ("I ignored it: visit evil" + " pad" * 200 + " visit evil",), (None,)], "x string")
+    got = [r[0] for r in rows.select(evaluation.attack_outcome(F.col("x"), F.lit("visit evil"))).collect()]
+    assert got == ["none", "obeyed", "reported", "obeyed", "none"]
+
+
+def test_reports(spark):
+    ranks = spark.createDataFrame([("bm25", 1, 1), ("bm25", 2, 10), ("rerank", 1, 2)], "stage string, q_id long, best int")
+    got = {r.stage: (r.n, r.hit, r.mrr) for r in evaluation.stage_report(ranks, spark.range(1, 5).withColumnRenamed("id", "q_id"), "stage", 5).collect()}
+    assert got == {"bm25": (4, 0.25, 0.275), "rerank": (4, 0.25, 0.125)}
+    terms = spark.createDataFrame([(1, 1, "here"), (1, 1, "gone"), (2, 9, "x")], "q_id long, doc_id long, term string")
+    docs = spark.createDataFrame([(1, "It is HERE")], "doc_id long, text string")
+    assert sorted(map(tuple, evaluation.golden_gaps(terms, docs).collect())) == [(1, "term not on page", 1), (2, "missing page", 1)]
+
+
+@pytest.mark.parametrize("change,failed", [({}, ""), ({"wins": 4, "losses": 2}, "b"), ({"standalone_losses": 1}, "c"), ({"regression_calls": 1}, "d"), ({"fallbacks": 4}, "e"), ({"approved": False}, "f"), ({"gain": 10.0}, "a")])
+def test_shipping(spark, change, failed):
+    v = {"n": 30, "wins": 6, "losses": 1, "gain": 16.7, "band": 10.0, "standalone_losses": 0, "regression_changed": 0, "regression_calls": 0, "calls": 30, "fallbacks": 3, "approved": True} | change
+    arms = spark.createDataFrame([tuple(v[k] for k in ("n", "wins", "losses", "gain", "band"))], "n long, wins long, losses long, gain double, band double")
+    checks = spark.createDataFrame([(v["standalone_losses"], v["regression_changed"], v["regression_calls"], v["calls"], v["fallbacks"], v["approved"])], "standalone_losses long, regression_changed long, regression_calls long, calls long, fallbacks long, approved boolean")
+    row = evaluation.shipping(arms, checks).first()
+    assert row.ship == (not failed) and [k for k in "abcdef" if not row[k]] == list(failed)
+
+
+def test_dense_per_scope(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3 if i % 7 else None) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {(r.q_id, r.label, r.rank): r.vec_id for r in retrieval.dense(v, v.where("vec_id < 3"), 2, block=7, scope="label").collect()}
+    data = {r.vec_id: r for r in v.collect()}
+    for q in range(3):
+        for g in range(3):
+            best = sorted((i for i in data if data[i].label == g), key=lambda i: (-round(sum(a * b for a, b in zip(data[q].embedding, data[i].embedding, strict=True)), 6), i))[:2]
+            assert [got[q, g, k] for k in (1, 2)] == best
+
+
+def test_guard_batch(spark):
+    text = {1: "All is well here.", 2: "see https://e.example now"}
+    rows = [(i, s, t[s : s + 1], s == len(t) - 1) for i, t in text.items() for s in range(len(t))]
+    out = guard.guard_batch(spark.createDataFrame(rows, "answer_id long, seq long, delta string, final boolean"), SECRETS).orderBy("answer_id", "seq").collect()
+    assert "".join(r.released for r in out if r.answer_id == 1) == text[1] and "".join(r.released for r in out if r.answer_id == 2) == "see " and out[-1].blocked
