@@ -82,12 +82,19 @@ def phrase_starts(phrase: str, frequency: dict[str, int]) -> str:
 
 
 def template_share(template: str, frequency: dict[str, int]) -> str:
-    """SQL for the largest share of a template's words that vote for one start, among the starts its two rarest words vote for."""
+    """SQL for the largest share of a template's words that vote for one start, among the starts its two rarest words vote for.
+
+    Each word's votes are met with those starts, all votes are sorted, and the longest run of one start is the share: time
+    grows with the votes, not with votes times starts, so a long text of licences stays cheap.
+    """
     words = _words_of(template)
     keyed = sorted(enumerate(words), key=lambda x: (frequency[x[1]], x[0]))
     starts = f"array_union({_starts(keyed[0][1], keyed[0][0])}, {_starts(keyed[1][1], keyed[1][0])})"
-    votes = " + ".join(f"if(array_contains({_starts(w, i)}, s), 1, 0)" for i, w in enumerate(words))
-    return f"coalesce(array_max(transform({starts}, s -> {votes})), 0) / {len(words)}D"
+    votes = ", ".join(f"array_intersect({_starts(w, i)}, a[0])" for i, w in enumerate(words))
+    sorted_votes = f"array_sort(flatten(transform(array(array({starts})), a -> array({votes}))[0]))"
+    longer = "struct(v AS at, if(v = r.at, r.run + 1, 1) AS run, greatest(r.best, if(v = r.at, r.run + 1, 1)) AS best)"
+    none = "struct(cast(NULL AS int) AS at, 0 AS run, 0 AS best)"
+    return f"aggregate({sorted_votes}, {none}, (r, v) -> {longer}, r -> r.best) / {len(words)}D"
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -121,6 +128,40 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep_text: bool = Tru
     )
 
 
+def _table(name: str, columns: str, rows: list[tuple]) -> str:
+    return f"{name}({columns}) AS (VALUES {', '.join(map(str, rows))})"
+
+
+def _phrase_rows(phrases: list[tuple[str, str]]) -> list[tuple]:
+    """(owner, phrase, place, word, words) for every word of (owner, phrase)."""
+    return [(owner, p, i, w, len(_words_of(p))) for owner, p in phrases for i, w in enumerate(_words_of(p))]
+
+
+#: Joins where the operator intersects lists: phrases stand where all their words meet, templates take the best start.
+ORACLE = f"""
+WITH {_table("base", "label, phrase, place, word, n", _phrase_rows([(label, p) for p, label in BASE.items()]))},
+{_table("must", "label, phrase, place, word, n", _phrase_rows([(label, m) for label, (_, ms) in TEMPLATES.items() for m in ms]))},
+{_table("templates", "label, phrase, place, word, n", _phrase_rows([(label, t) for label, (t, _) in TEMPLATES.items()]))},
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+h AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM base UNION SELECT word FROM must UNION SELECT word FROM templates)),
+df AS (SELECT word, count(DISTINCT doc_id) AS files FROM h GROUP BY word),
+places AS (SELECT label, phrase, doc_id, pos - place AS s FROM h JOIN base USING (word) GROUP BY label, phrase, doc_id, s, n HAVING count(DISTINCT place) = n),
+b AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word FROM places GROUP BY doc_id),
+held AS (SELECT DISTINCT label, phrase, doc_id FROM (SELECT label, phrase, doc_id, pos - place AS s FROM h JOIN must USING (word) GROUP BY label, phrase, doc_id, s, n HAVING count(DISTINCT place) = n)),
+allowed AS (SELECT label, doc_id FROM held GROUP BY label, doc_id HAVING count(*) = (SELECT count(DISTINCT phrase) FROM must m WHERE m.label = held.label)),
+keys AS (SELECT label, place, word FROM templates LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(files, 0), place) <= 2),
+starts AS (SELECT DISTINCT label, doc_id, pos - place AS s FROM h JOIN keys USING (word)),
+votes AS (SELECT label, n, doc_id, pos - place AS s, count(DISTINCT place) AS v FROM h JOIN templates USING (word) GROUP BY ALL),
+shares AS (SELECT label, doc_id, max(v / n::DOUBLE) AS share FROM votes JOIN starts USING (label, doc_id, s) JOIN allowed USING (label, doc_id) GROUP BY label, doc_id),
+named AS (SELECT doc_id, label, true AS is_base FROM places UNION SELECT doc_id, label, false FROM shares WHERE share >= {LEAST_SHARE}),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels FROM named GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM shares GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(share, 0e0) END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs, keep_text=False)

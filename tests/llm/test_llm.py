@@ -333,3 +333,9 @@ def test_pipeline_stages_awkward(spark, docs):
 
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).collect()
+
+
+def test_licence_scan_of_a_text_full_of_licences(spark):
+    text = "licensed under the apache license version 2 0 " * 20_000
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_text=False).first()
+    assert (row.n_base, row.first_word, row.last_word, row.labels, row.score) == (20_000, 3, 8 * 19_999 + 3, "apache,apache-2.0", 1.0)
