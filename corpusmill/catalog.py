@@ -589,5 +589,74 @@ def stream_guard_release(spark, sf_dir):
     return out.groupBy("answer_id").agg(shown.alias("shown"), F.bool_or("blocked").alias("blocked"))
 
 
+_FAULT = "CASE WHEN page_id % 7 = 0 THEN '' ELSE 'fetch of ' || url || ' into C:' || chr(92) || 'data' || chr(92) || 'raw pages' || chr(10) || 'failed at /srv/raw/' || page_id || ': ' || html END"
+
+
+def _public_sql(limit: int) -> str:
+    out = f"CASE WHEN coalesce(said, '') = '' THEN '{tx.NO_DETAILS}' ELSE said END"
+    for pattern, mask in tx.HIDDEN.items():
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), mask)
+    return f"SELECT page_id, CASE WHEN length(m) > {limit} THEN regexp_replace(substring(m, 1, {limit}), ' [^ ]*$', '') || ' ...' ELSE m END AS message FROM (SELECT page_id, {out} AS m FROM (SELECT page_id, {_FAULT} AS said FROM pages))"
+
+
+@query(_public_sql(1500))
+def public_message(spark, sf_dir):
+    """Messages of failed fetches that quote the page, without addresses and paths."""
+    return t(spark, sf_dir, "pages").select("page_id", tx.public_message(F.expr(_FAULT)).alias("message"))
+
+
+_NAME = f"CASE WHEN doc_id % 9 = 4 THEN '{_ATTACK}' WHEN doc_id % 5 = 1 THEN '\"' || text || '\"' ELSE text END"
+_SHOWN = r"substring(translate(trim(regexp_replace(name, '[\x20\x09-\x0D]+', ' ', 'g')), chr(34), chr(39)), 1, 60)"
+
+
+@query(f"""WITH n AS (SELECT doc_id, source, {_SHOWN} AS name FROM (SELECT doc_id, source, {_NAME} AS name FROM documents))
+SELECT source, doc_id, name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM n WHERE name <> '' AND len({_rules_sql('name')}) = 0 QUALIFY nth <= 8""")
+def doc_names(spark, sf_dir):
+    """The first eight names of each source that may be shown to a model; texts stand for names."""
+    named = t(spark, sf_dir, "documents").select("source", "doc_id", tx.shown_name(F.expr(_NAME)).alias("name")).where("name IS NOT NULL")
+    return store.numbered(named, "source", "doc_id").where("nth <= 8").select("source", "doc_id", "name", F.col("nth").cast("long").alias("nth"))
+
+
+@query(r"""SELECT doc_id, '=== PAGE ' || (doc_id + 1) || ' (' || CASE WHEN doc_id + 1 > 20 THEN 'printed ' || (doc_id + 1 - 20) ELSE 'front matter' END || ') ===' AS header, length(text)::BIGINT AS n_chars
+FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]')""")
+def page_export(spark, sf_dir):
+    """Headers of the pages of a plain-text export; blank pages have none."""
+    page = F.col("doc_id") + 1
+    header = F.concat(F.lit("=== PAGE "), page, F.lit(" ("), tx.page_label(page, 20), F.lit(") ==="))
+    return t(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", header.alias("header"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT source, count(*) AS n, CASE WHEN count(DISTINCT lang) > 1 THEN 'mixed' ELSE min(lang) END AS lang FROM documents GROUP BY source")
+def store_describe(spark, sf_dir):
+    return store.described(t(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query("WITH k AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next FROM k")
+def negative_pairs(spark, sf_dir):
+    """Each document with the next one, as a pair that should not match."""
+    return store.next_in_circle(t(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS micros FROM events WHERE ts IS NOT NULL")
+def elapsed_steps(spark, sf_dir):
+    return windows.elapsed(windows.timed(t(spark, sf_dir, "events")))
+
+
+@query(f"""WITH a AS ({_BM25_30}), e AS (SELECT item_id AS q_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{tx.TOKEN}'), lambda w: length(w) >= 11)) AS terms FROM benchmark)
+SELECT q_id, doc_id, rank, len(terms) = 0 OR len(list_filter(terms, lambda w: contains(lower(coalesce(text, '')), w))) > 0 AS holds FROM a JOIN e USING (q_id) JOIN documents USING (doc_id)""")
+def strict_hits(spark, sf_dir):
+    """Keyword hits, and whether they have one of the question's long words."""
+    docs, bench = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    words = bench.select(F.col("item_id").alias("q_id"), F.explode(F.array_distinct(tx.tokens(F.col("text"), drop_stopwords=False))).alias("term"))
+    return evaluation.strict_hits(evaluate.keyword_hits(docs, bench, 30), words.where("length(term) >= 11"), docs)
+
+
+@query(f"""WITH g AS ({ORACLES['rewrite_gate']}), c AS (SELECT count(*) AS n, count(*) FILTER (fires) AS flagged, count(*) FILTER (n_markers > 0) AS wanted, count(*) FILTER (fires AND n_markers > 0) AS "both" FROM g)
+SELECT n, flagged, wanted, "both", round("both" / nullif(flagged, 0)::DOUBLE, 4) AS precision, round("both" / nullif(wanted, 0)::DOUBLE, 4) AS recall FROM c""")
+def gate_quality(spark, sf_dir):
+    """The rewrite gate against messages that refer to something."""
+    return evaluation.flag_quality(rewrite_gate(spark, sf_dir).withColumn("refers", F.col("n_markers") > 0), "fires", "refers")
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")

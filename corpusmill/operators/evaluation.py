@@ -122,3 +122,23 @@ def paired(arms: DataFrame) -> DataFrame:
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Percentiles that are values of the data: the ceil(p n)-th smallest."""
     return rows.groupBy(*by).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(p * 100)}") for p in shares))
+
+
+def strict_hits(hits: DataFrame, evidence: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits(q_id, doc_id, rank) with `holds`: whether the document has one of the question's evidence(q_id, term), case aside.
+
+    A hit without evidence keeps its rank but can't count as relevant; a question without terms holds everywhere.
+    """
+    terms = evidence.groupBy("q_id").agg(F.collect_set(F.lower("term")).alias("__terms"))
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("__text"))
+    rows = hits.select("q_id", "doc_id", "rank").join(terms, "q_id", "left").join(texts, "doc_id")
+    holds = F.col("__terms").isNull() | F.exists("__terms", lambda x: F.col("__text").contains(x))
+    return rows.select("q_id", "doc_id", "rank", holds.alias("holds"))
+
+
+def flag_quality(rows: DataFrame, flag: str, truth: str) -> DataFrame:
+    """Counts, precision and recall (4 decimals; null where nothing is flagged or true) of a boolean flag; nulls count as false."""
+    f, y = (F.coalesce(F.col(c), F.lit(False)) for c in (flag, truth))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(f).alias("flagged"), F.count_if(y).alias("wanted"), F.count_if(f & y).alias("both"))
+    share = lambda c: F.round(F.expr(f"`both` / nullif({c}, 0)"), 4)
+    return counts.select("*", share("flagged").alias("precision"), share("wanted").alias("recall"))

@@ -60,3 +60,22 @@ def first_copies(docs: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+
+
+def described(docs: DataFrame, by: str, info: str) -> DataFrame:
+    """Documents of each group, and the one value of `info` they share; 'mixed' if they differ, null if none has one."""
+    one = F.when(F.min(info) == F.max(info), F.min(info)).when(F.min(info).isNotNull(), "mixed")
+    return docs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), one.alias(info))
+
+
+def next_in_circle(rows: DataFrame, key: str) -> DataFrame:
+    """(key, next): each distinct key with the one after it, the largest with the smallest. Null keys are left out.
+
+    Neighbours are found inside blocks of ids, then a block's largest key meets the next block's smallest.
+    """
+    keys = rows.where(F.col(key).isNotNull()).select(F.col(key), id_block(key).alias("__block")).distinct()
+    inside = keys.withColumn("__in", F.lead(key).over(Window.partitionBy("__block").orderBy(key)))
+    firsts = keys.groupBy("__block").agg(F.min(key).alias("__first"))
+    order = Window.orderBy("__block")  # one row for each block of ids
+    turn = firsts.select("__block", F.coalesce(F.lead("__first").over(order), F.first("__first").over(order)).alias("__following"))
+    return inside.join(turn, "__block").select(key, F.coalesce("__in", "__following").alias("next"))

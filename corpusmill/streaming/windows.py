@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,17 @@ def windowed(events: DataFrame, width: str = "1 hour") -> DataFrame:
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     by = events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return by.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def elapsed(events: DataFrame, by: str = "user_id") -> DataFrame:
+    """(by, event_id, micros): microseconds since the group's event before, by time and id; null for its first. Batch only.
+
+    Events without a time are left out. Neighbours are found inside hours; an hour's first event follows the last hour's
+    latest, so a group that holds a third of all events is spread over its hours.
+    """
+    rows = events.where("ts IS NOT NULL").select(by, "event_id", F.unix_micros("ts").alias("__at"), F.date_trunc("hour", "ts").alias("__hour"))
+    inside = rows.withColumn("__last", F.lag("__at").over(Window.partitionBy(by, "__hour").orderBy("__at", "event_id")))
+    hours = rows.groupBy(by, "__hour").agg(F.max("__at").alias("__max"))
+    earlier = hours.select(F.col(by).alias("__by"), F.col("__hour").alias("__h"), F.lag("__max").over(Window.partitionBy(by).orderBy("__hour")).alias("__earlier"))
+    joined = inside.join(earlier, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__hour") == F.col("__h")))
+    return joined.select(by, "event_id", (F.col("__at") - F.coalesce("__last", "__earlier")).alias("micros"))
