@@ -658,5 +658,37 @@ def gate_quality(spark, sf_dir):
     return evaluation.flag_quality(rewrite_gate(spark, sf_dir).withColumn("refers", F.col("n_markers") > 0), "fires", "refers")
 
 
+_ARMS = "SELECT doc_id AS item, (toxic = 0 AND quality = 1)::INT AS off, (doc_id % 2 = 0 OR quality = 1)::INT AS \"on\", (quality = 1 OR toxic = 0)::INT AS best FROM labels"
+
+
+@query(f"""WITH s AS (SELECT sum(off) AS off, sum("on") AS "on", sum(best) AS best FROM ({_ARMS}))
+SELECT off::BIGINT AS off_hits, "on"::BIGINT AS on_hits, best::BIGINT AS best_hits, CASE WHEN best - off >= 3 THEN round(("on" - off) / (best - off)::DOUBLE, 3) END AS closed FROM s""")
+def gap_closed(spark, sf_dir):
+    """How much of the way from one arm to the best possible one another arm goes."""
+    labels = t(spark, sf_dir, "labels")
+    hit = {"off": "toxic = 0 AND quality = 1", "on": "doc_id % 2 = 0 OR quality = 1", "best": "quality = 1 OR toxic = 0"}
+    return evaluation.gap_closed(labels.select(*(F.expr(f"cast(({c}) AS int)").alias(name) for name, c in hit.items())))
+
+
+_RUN_HIT = "CASE run WHEN 1 THEN quality = 1 WHEN 2 THEN quality = 1 AND doc_id % 5 <> 0 ELSE doc_id % 3 = 0 OR quality = 1 END"
+
+
+@query(f"""WITH r AS (SELECT doc_id AS item, run, ({_RUN_HIT})::INT AS hit FROM labels, (SELECT unnest([1, 2, 3]) AS run) WHERE doc_id % 7 <> run)
+SELECT r.run, count(*) AS n, round(avg(r.hit), 4) AS mean, count(*) FILTER (r.hit <> f.hit) AS changed FROM r LEFT JOIN (SELECT * FROM r WHERE run = 1) f USING (item) GROUP BY r.run""")
+def instability(spark, sf_dir):
+    """Three runs of one evaluation, each with some items missing, against the first."""
+    runs = t(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("run")).where("doc_id % 7 <> run")
+    return evaluation.instability(runs.select(F.col("doc_id").alias("item"), "run", F.expr(f"cast({_RUN_HIT} AS int)").alias("hit")))
+
+
+@query("""WITH v AS (SELECT d.lang, l.quality = 1 AS expected, CASE WHEN doc_id % 11 <> 0 THEN n_chars > 600 END AS verdict FROM labels l JOIN documents d USING (doc_id))
+SELECT lang, count(*) AS n, count(*) FILTER (verdict = expected) AS "right", round(count(*) FILTER (verdict = expected) / count(*)::DOUBLE, 4) AS share, count(*) FILTER (verdict IS NULL) AS unparsed FROM v GROUP BY lang""")
+def judge_accuracy(spark, sf_dir):
+    """A judge that calls long documents good, some of whose replies can't be read, against the labels."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    verdict = F.when(F.col("doc_id") % 11 != 0, F.col("n_chars") > 600)
+    return evaluation.judge_accuracy(rows.select("lang", (F.col("quality") == 1).alias("expected"), verdict.alias("verdict")), "lang")
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")

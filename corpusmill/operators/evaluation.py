@@ -142,3 +142,23 @@ def flag_quality(rows: DataFrame, flag: str, truth: str) -> DataFrame:
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(f).alias("flagged"), F.count_if(y).alias("wanted"), F.count_if(f & y).alias("both"))
     share = lambda c: F.round(F.expr(f"`both` / nullif({c}, 0)"), 4)
     return counts.select("*", share("flagged").alias("precision"), share("wanted").alias("recall"))
+
+
+def gap_closed(rows: DataFrame, least: int = 3) -> DataFrame:
+    """Hits of the arms off, on and best (0 or 1 a row), and which share of off to best `on` closes; null under `least` items."""
+    sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_hits") for c in ("off", "on", "best")))
+    gap = F.col("best_hits") - F.col("off_hits")
+    return sums.withColumn("closed", F.when(gap >= least, F.round((F.col("on_hits") - F.col("off_hits")) / F.nullif(gap, F.lit(0)), 3)))
+
+
+def instability(runs: DataFrame) -> DataFrame:
+    """runs(item, run, hit) -> per run its items, mean hit (4 decimals), and items that run 1 has with another hit."""
+    first = runs.where("run = 1").select("item", F.col("hit").alias("__first"))
+    both = runs.join(first, "item", "left")
+    return both.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 4).alias("mean"), F.count_if(F.col("hit") != F.col("__first")).alias("changed"))
+
+
+def judge_accuracy(rows: DataFrame, by: str) -> DataFrame:
+    """rows(expected, verdict) -> per group how many verdicts are right; an unreadable reply (null) is wrong, and counted."""
+    right = F.count_if(F.col("verdict") == F.col("expected"))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), right.alias("right"), F.round(right / F.count(F.lit(1)), 4).alias("share"), F.count_if(F.col("verdict").isNull()).alias("unparsed"))

@@ -304,3 +304,13 @@ def test_strict_hits_and_flag_quality(spark):
     flags = spark.createDataFrame([(True, True), (True, False), (None, True), (False, None)], "f boolean, y boolean")
     assert tuple(evaluation.flag_quality(flags, "f", "y").first()) == (4, 2, 2, 1, 0.5, 0.5)
     assert tuple(evaluation.flag_quality(flags.where("false"), "f", "y").first()) == (0, 0, 0, 0, None, None)
+
+
+def test_gap_instability_and_judges(spark):
+    arms = spark.createDataFrame([(0, 1, 1), (0, 0, 1), (0, 1, 1), (1, 1, 1), (None, 0, 0)], "off int, on int, best int")
+    assert tuple(evaluation.gap_closed(arms).first()) == (1, 3, 4, 0.667)
+    assert evaluation.gap_closed(arms, 4).first().closed is None and tuple(evaluation.gap_closed(arms.where("false"), 0).first()) == (0, 0, 0, None)
+    runs = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (1, 2, 0), (2, 2, 0), (3, 2, 1)], "item long, run int, hit int")
+    assert {r.run: (r.n, r["mean"], r.changed) for r in evaluation.instability(runs).collect()} == {1: (2, 0.5, 0), 2: (3, 0.3333, 1)}
+    said = spark.createDataFrame([("a", True, True), ("a", True, None), ("a", False, True), (None, False, False)], "g string, expected boolean, verdict boolean")
+    assert {r.g: (r.n, r.right, r.share, r.unparsed) for r in evaluation.judge_accuracy(said, "g").collect()} == {"a": (3, 1, 0.3333, 1), None: (1, 1, 1.0, 0)}
