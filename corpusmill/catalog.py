@@ -690,5 +690,22 @@ def judge_accuracy(spark, sf_dir):
     return evaluation.judge_accuracy(rows.select("lang", (F.col("quality") == 1).alias("expected"), verdict.alias("verdict")), "lang")
 
 
+_SOUGHT = ("license", "table", "figure", "e-mail", "the ")
+_FOUND = f"""SELECT term, doc_id, strpos(low, term)::INT AS place, substring(low, greatest(1, strpos(low, term) - 30), length(term) + 60) AS snippet FROM (SELECT doc_id, lower(text) AS low FROM documents), (SELECT unnest({list(_SOUGHT)}) AS term) WHERE contains(low, term)"""
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS nth FROM ({_FOUND}) QUALIFY nth <= 5")
+def find_terms(spark, sf_dir):
+    """The first five documents with each term, and what stands around it."""
+    found = retrieval.find_terms(t(spark, sf_dir, "documents"), list(_SOUGHT), 5)
+    return found.withColumn("nth", F.col("nth").cast("long"))
+
+
+@query()
+def bulk_batches(spark, sf_dir):
+    """Documents in batches of at most 500 rows and 10 MiB of JSON."""
+    return store.bulk_batches(t(spark, sf_dir, "documents"))
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")

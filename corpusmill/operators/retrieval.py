@@ -171,3 +171,18 @@ def select_context(hits: DataFrame, top_k: int = 5, max_words: int = 1500, overl
 
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(tx.tokens(text, False), 1, n), " ")
+
+
+def find_terms(docs: DataFrame, terms: list[str], most: int, around: int = 30) -> DataFrame:
+    """(term, doc_id, place, snippet, nth): the first `most` documents, by id, that hold a term, case aside.
+
+    `terms` is a stated, short list; each text is looked through once, and only `most` rows a term leave a task.
+    Places count from 1 in the lower-cased text. Null texts hold nothing; empty terms are left out.
+    """
+    wanted = F.array(*(F.lit(x.lower()) for x in dict.fromkeys(terms) if x)).cast("array<string>")
+    low = docs.select("doc_id", F.lower("text").alias("__low"), wanted.alias("__terms"))
+    hits = low.select("doc_id", "__low", F.explode(F.filter("__terms", lambda x: F.col("__low").contains(x))).alias("term"))
+    place = F.expr("position(term, __low)")
+    snippet = F.expr(f"substring(__low, greatest(1, position(term, __low) - {around}), length(term) + {2 * around})")
+    rows = hits.select("term", "doc_id", place.alias("place"), snippet.alias("snippet"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).where(F.col("nth") <= most)

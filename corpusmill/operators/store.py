@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,25 @@ def next_in_circle(rows: DataFrame, key: str) -> DataFrame:
     order = Window.orderBy("__block")  # one row for each block of ids
     turn = firsts.select("__block", F.coalesce(F.lead("__first").over(order), F.first("__first").over(order)).alias("__following"))
     return inside.join(turn, "__block").select(key, F.coalesce("__in", "__following").alias("next"))
+
+
+def bulk_batches(docs: DataFrame, rows: int = 500, size: int = 10 << 20) -> DataFrame:
+    """(doc_id, bytes, block, batch): batches to send at once, in order of id, of at most `rows` documents and `size` bytes of JSON.
+
+    Batches fill one after the other inside blocks of ids, so blocks are filled by different tasks, from (id, bytes) alone.
+    A document over the size is a batch of its own; a null id has a null block.
+    """
+
+    def fill(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["doc_id", "bytes"], kind="stable")
+        batch, n, total, at = [], 0, 0, 0
+        for b in block["bytes"].tolist():
+            if n and (n == rows or total + b > size):
+                at, n, total = at + 1, 0, 0
+            n, total = n + 1, total + b
+            batch.append(at)
+        return block.assign(batch=pd.Series(batch, index=block.index, dtype="int64"))
+
+    json = F.to_json(F.struct(*docs.columns))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(json).cast("long").alias("bytes"), id_block("doc_id").alias("block"))
+    return sizes.groupBy("block").applyInPandas(fill, "doc_id long, bytes long, block long, batch long")

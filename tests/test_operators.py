@@ -314,3 +314,24 @@ def test_gap_instability_and_judges(spark):
     assert {r.run: (r.n, r["mean"], r.changed) for r in evaluation.instability(runs).collect()} == {1: (2, 0.5, 0), 2: (3, 0.3333, 1)}
     said = spark.createDataFrame([("a", True, True), ("a", True, None), ("a", False, True), (None, False, False)], "g string, expected boolean, verdict boolean")
     assert {r.g: (r.n, r.right, r.share, r.unparsed) for r in evaluation.judge_accuracy(said, "g").collect()} == {"a": (3, 1, 0.3333, 1), None: (1, 1, 1.0, 0)}
+
+
+def test_bulk_batches(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 40)) for i in range(300)] + [(70_000, "y" * 500), (70_001, None)], "doc_id long, text string").repartition(3)
+    got = sorted((r.block, r.doc_id, r.batch, r.bytes) for r in store.bulk_batches(docs, 20, 400).collect())
+    at, n, total, block = 0, 0, 0, None
+    for b, _, batch, size in got:
+        if b != block:
+            block, at, n, total = b, 0, 0, 0
+        elif n == 20 or total + size > 400:
+            at, n, total = at + 1, 0, 0
+        n, total = n + 1, total + size
+        assert batch == at
+    assert len(got) == 302 and got[-2][2] == 0 and got[-1][2] == 1 and got[-2][3] > 400
+    assert store.bulk_batches(docs.where("doc_id < 0")).count() == 0
+
+
+def test_find_terms(spark):
+    docs = spark.createDataFrame([(2, "A Table here"), (1, "no tables, TABLE"), (3, None), (4, ""), (5, "table")], "doc_id long, text string")
+    got = {(r.term, r.doc_id): (r.place, r.snippet, r.nth) for r in retrieval.find_terms(docs, ["Table", "here", ""], 2, 3).collect()}
+    assert got == {("table", 1): (4, "no tables, ", 1), ("table", 2): (3, "a table her", 2), ("here", 2): (9, "le here", 1)}
