@@ -155,10 +155,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier id has."""
-    gone = written(exact_groups(docs, id_col, text_col).where(f"NOT ({id_col} <=> keep_id)").select(id_col).distinct(), "gone")
-    out = join_small(docs, gone.where(f"{id_col} IS NOT NULL"), id_col, "left_anti").select(*docs.columns)
-    return out.where(F.col(id_col).isNotNull()) if gone.where(f"{id_col} IS NULL").limit(1).count() else out
+    """docs without the rows whose text an earlier id has. A row goes by its id and its text, never by its id alone."""
+    copies = exact_groups(docs, id_col, text_col).where(f"NOT ({id_col} <=> keep_id)")
+    gone = written(copies.select(F.col(id_col).alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct(), "gone")
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
+    return join_small(rows, gone, same, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

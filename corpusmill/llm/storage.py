@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to this many rows; beyond it the join shuffles.
@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, rows: int | None = None) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: list[str] | str | Column, how: str, rows: int | None = None) -> DataFrame:
     """left join right; right is broadcast if its counted rows stay within BROADCAST_ROWS, else both are shuffled.
 
     right must be cheap to count (a written table). Its rows must be narrow.

@@ -59,6 +59,12 @@ def test_dedup_awkward(spark, docs):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {w[1] for w in want}
 
 
+def test_dedup_drops_rows_not_ids(spark):
+    rows = [(1, "a b"), (None, "a b"), (None, "only here"), (None, "twice"), (None, "twice"), (7, "a b"), (7, "other text"), (8, "other text")]
+    left = [(r.doc_id, r.text) for r in exact_dedup.drop_copies(docs_of(spark, rows)).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a b"), (None, "only here"), (None, "twice"), (None, "twice"), (7, "other text")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2060)] + [(5, 5), (None, 3)]
