@@ -1,13 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Tokens are summed in cells (source, language, topic). Raking scales the cells until their sums meet the target weight
-of every source, language and topic: SWEEPS times, one dimension after the other, as window sums over the small table
-of cells. A document's probability is its cell's raked weight over its tokens, divided by the highest such ratio, so
-none exceeds 1 and the expected mix is the target. A hash of the id draws.
+of every source, language and topic: SWEEPS times, one dimension after the other. Each step is a grouped sum, combined
+before the shuffle, and a join on the table of cells, so any number of categories is raked and none is folded. A
+document's probability is its cell's raked weight over its tokens, divided by the highest such ratio, so none exceeds 1
+and the expected mix is the target. A hash of the id draws.
 
-Default targets temper the natural shares: share^ALPHA, normalised. Categories under LEAST_SHARE of the tokens count
-as one category "other", so there are at most 1/LEAST_SHARE of them in each dimension, and the cells' one partition is
-bounded whatever the input is.
+Default targets temper the natural shares: share^ALPHA, normalised. The SQL counts categories under LEAST_SHARE of the
+tokens as one, "other"; the operator doesn't, so the two agree where no category is that small.
 
 Defined results: null source or lang is the category "unknown"; null or empty text has no tokens (its cell's
 probability still holds; a cell without any tokens has probability 1); rows that share an id share the draw; a null id
@@ -16,10 +16,10 @@ is drawn by its text; an empty table gives no rows; input columns named as the o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import join_small, written
 
 ALPHA, LEAST_SHARE, SWEEPS, SEED = 0.85, 0.005, 10, "mix"
 DIMENSIONS = ("source", "lang", "topic")
@@ -28,46 +28,43 @@ _WORD = r"[^\x20\x09-\x0D]+"
 TOPIC = "CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, 'License') THEN 'licence' WHEN {digit} THEN 'figures' ELSE 'prose' END"
 
 
-def _with_cells(docs: DataFrame, folded: dict[str, list[str]] | None = None) -> DataFrame:
+def _with_cells(docs: DataFrame) -> DataFrame:
     """docs with __source, __lang, __topic."""
     out = docs.withColumn("__topic", F.expr(TOPIC.format(digit="text rlike '[0-9]'")))
     for c in ("source", "lang"):
-        value = F.coalesce(F.col(c), F.lit("unknown"))
-        out = out.withColumn(f"__{c}", value if folded is None else F.when(value.isin(folded[c]), value).otherwise(F.lit("other")))
+        out = out.withColumn(f"__{c}", F.coalesce(F.col(c), F.lit("unknown")))
     return out
 
 
-def rates(docs: DataFrame, alpha: float = ALPHA, least: float = LEAST_SHARE, sweeps: int = SWEEPS, targets: DataFrame | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Cells with their probability, and the categories that stand for themselves.
+def _shares(cells: DataFrame, key: str, alpha: float) -> DataFrame:
+    """(key, t): the tempered share of every category."""
+    powers = cells.groupBy(key).agg(F.pow(F.sum("tokens"), F.lit(alpha)).alias("t"))
+    total = powers.agg(F.sum("t")).first()[0] or 1.0
+    return powers.withColumn("t", F.col("t") / F.lit(total))
+
+
+def rates(docs: DataFrame, alpha: float = ALPHA, sweeps: int = SWEEPS, targets: DataFrame | None = None) -> DataFrame:
+    """Cells with their probability.
 
     targets(dimension, category, weight), if given, replaces the tempered shares; categories it lacks get none.
     """
     tokens = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
     keys = [f"__{d}" for d in DIMENSIONS]
-    raw = written(_with_cells(docs).groupBy(*keys).agg(F.sum(tokens).cast("double").alias("tokens")), "cells")
-    total = raw.agg(F.sum("tokens")).first()[0] or 0.0
-    large = {}
-    for c in ("source", "lang"):  # at most 1/least rows each
-        large[c] = sorted(r[0] for r in raw.groupBy(f"__{c}").agg(F.sum("tokens").alias("t")).where(F.col("t") >= least * total).select(f"__{c}").collect())
-        raw = raw.withColumn(f"__{c}", F.when(F.col(f"__{c}").isin(large[c]), F.col(f"__{c}")).otherwise(F.lit("other")))
-    cells = written(raw.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells").coalesce(1)
+    cells = written(_with_cells(docs).groupBy(*keys).agg(F.sum(tokens).cast("double").alias("tokens")), "cells")
+    n = cells.count()
+    wanted = {}
     for d, k in zip(DIMENSIONS, keys, strict=True):
-        if targets is None:
-            cells = cells.withColumn(f"t_{d}", F.pow(F.sum("tokens").over(Window.partitionBy(k)), F.lit(alpha)))
-            firsts = F.row_number().over(Window.partitionBy(k).orderBy(*keys)) == 1
-            cells = cells.withColumn("__f", firsts).withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum(F.when(F.col("__f"), F.col(f"t_{d}"))).over(Window.partitionBy(F.lit(1))))
-        else:
-            wanted = targets.where(F.col("dimension") == d).select(F.col("category").alias(k), F.col("weight").alias("__w"))
-            cells = cells.join(F.broadcast(wanted), k, "left").withColumn(f"t_{d}", F.coalesce("__w", F.lit(0.0))).drop("__w").coalesce(1)
-    cells = written(cells.withColumn("w", F.col("tokens")), "cells").coalesce(1)
-    for sweep in range(sweeps):
-        for d, k in zip(DIMENSIONS, keys, strict=True):
-            cells = cells.withColumn("w", F.when(F.col("w") > 0, F.col("w") * F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(k))).otherwise(F.lit(0.0)))
-        if sweep % 2:
-            cells = written(cells, "cells").coalesce(1)
+        shares = _shares(cells, k, alpha) if targets is None else targets.where(F.col("dimension") == d).select(F.col("category").alias(k), F.col("weight").cast("double").alias("t"))
+        wanted[k] = written(shares, "targets")
+    cells = cells.withColumn("w", F.col("tokens"))
+    for _ in range(sweeps):
+        for k in keys:
+            sums = cells.groupBy(k).agg(F.sum("w").alias("s")).join(wanted[k], k, "left")
+            scaled = F.when(F.col("w") > 0, F.col("w") * F.coalesce("t", F.lit(0.0)) / F.col("s")).otherwise(F.lit(0.0))
+            cells = written(join_small(cells, sums, k, "inner", n).select(*keys, "tokens", scaled.alias("w")), "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
-    cells = cells.withColumn("r", ratio)
-    return cells.select(*keys, F.coalesce(F.round(F.col("r") / F.max("r").over(Window.partitionBy(F.lit(1))), 9), F.lit(1.0)).alias("probability")), large
+    most = cells.agg(F.max(ratio)).first()[0] or None
+    return cells.select(*keys, F.coalesce(F.round(ratio / F.lit(most).cast("double"), 9), F.lit(1.0)).alias("probability"))
 
 
 def draw(id_col: str = "doc_id", text_col: str = "text", seed: str = SEED):
@@ -79,9 +76,8 @@ def draw(id_col: str = "doc_id", text_col: str = "text", seed: str = SEED):
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     """docs with topic, probability and sampled. docs has doc_id, text, source and lang."""
     docs = docs.drop("topic", "probability", "sampled")
-    cells, large = rates(docs, **settings)
-    cells = written(cells, "rates")
-    keyed = _with_cells(docs, large).join(F.broadcast(cells), [f"__{d}" for d in DIMENSIONS], "left")
+    cells = written(rates(docs, **settings), "rates")
+    keyed = join_small(_with_cells(docs), cells, [f"__{d}" for d in DIMENSIONS], "left")
     return keyed.select(*docs.columns, F.col("__topic").alias("topic"), F.coalesce("probability", F.lit(1.0)).alias("probability")).withColumn("sampled", draw() < F.col("probability"))
 
 

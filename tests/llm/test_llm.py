@@ -275,6 +275,19 @@ def test_mixing_given_targets(spark):
     assert {r.lang for r in out.where("probability > 0").collect()} == {"en", "fr"}
 
 
+def test_mixing_folds_no_small_source(spark):
+    rows = [(i, f"w{i} " * (1 + i % 300 // 100), "en" if i % 2 else "fr", f"site{i % 300}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix_documents(docs).withColumn("n", F.regexp_count("text", F.lit(mixing._WORD)))
+    got = {r.source: (r.a, r.w) for r in out.groupBy("source").agg(F.sum("n").alias("a"), F.sum(F.col("n") * F.col("probability")).alias("w")).collect()}
+    total, want = sum(w for _, w in got.values()), {s: a**mixing.ALPHA for s, (a, _) in got.items()}
+    for s, (_, w) in got.items():
+        assert w / total == pytest.approx(want[s] / sum(want.values()), rel=0.01)
+    named = [("source", "site1", 0.5), ("source", "site2", 0.5), ("lang", "en", 0.5), ("lang", "fr", 0.5), ("topic", "figures", 1.0)]
+    out = mixing.mix_documents(docs, targets=spark.createDataFrame(named, "dimension string, category string, weight double"))
+    assert {r.source for r in out.where("probability > 0").collect()} == {"site1", "site2"}
+
+
 def base_truth(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     found = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
