@@ -120,6 +120,18 @@ def test_ngram_join_awkward(spark, docs):
     assert ngram_join.drop_near_copies(docs).columns == docs.columns
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (None, a), (None, a + " more"), (None, b), (None, b + " more"), (None, "only here"), (7, c + " more"), (7, "another text"), (3, c), (9, "another text")]
+    out = ngram_join.similar_documents(docs_of(spark, rows)).collect()
+    got = sorted(((r.doc_id, r.copy_of, r.class_id, r.n_links) for r in out), key=str)
+    want = [(1, 1, 1, 1), (None, 1, 1, 1), (None, None, 1, 1), (None, None, None, 1), (None, None, None, 1), (None, None, None, 0), (7, 7, 3, 1), (7, 7, 7, 0), (3, 3, 3, 1), (9, 7, 7, 0)]
+    assert got == sorted(want, key=str)
+    left = [(r.doc_id, r.text) for r in ngram_join.drop_near_copies(docs_of(spark, rows)).collect()]
+    assert sum(t in (b, b + " more") for _, t in left) == 1
+    assert sorted((x for x in left if not x[1].startswith("b0 ")), key=str) == sorted([(1, a), (None, "only here"), (7, "another text"), (3, c)], key=str)
+
+
 def test_match_depth_reaches_the_recall():
     d = ngram_join.match_depth(0.8)
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET_RECALL
