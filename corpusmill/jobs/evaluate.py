@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, retrieval
 
 WORDS = 8
+#: Words of the probe that passages and documents meet on.
+PROBE = 5
 
 
 def questions(benchmark: DataFrame) -> DataFrame:
@@ -22,18 +24,26 @@ def keyword_hits(docs: DataFrame, benchmark: DataFrame, k: int, **settings) -> D
 def gold(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(q_id, doc_id) where a document holds the passage word for word.
 
-    Documents and passages meet on a hash of PROBE consecutive words: every passage's first ones, every document's all,
-    so no document is compared with a passage it shares nothing with. Only ids and hashes are shuffled; texts join the
-    few pairs that met. A passage needs probe + 2 words to be found.
+    Documents and passages meet on a hash of consecutive whole words: a passage's words from the second on, PROBE at most
+    and none of its last, against every document's runs of that length, so no document is compared with a passage it
+    shares nothing with. Only ids and hashes are shuffled; texts join the few pairs that met. A passage of two words or
+    fewer has no whole word to probe with and is looked for in every document.
     """
     words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    probe = 5
-    asked = benchmark.select(F.col("item_id").alias("q_id"), F.xxhash64(F.array_join(F.slice(words(F.col("text")), 2, probe), " ")).alias("h"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - probe + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, probe), " ")))
-    at = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("h"))
-    met = at.join(asked, "h").select("q_id", "doc_id").distinct()
     passages = benchmark.select(F.col("item_id").alias("q_id"), F.col("text").alias("passage"))
-    return met.join(docs.select("doc_id", "text"), "doc_id").join(passages, "q_id").where(F.contains("text", "passage")).select("q_id", "doc_id").distinct()
+    asked = passages.withColumn("w", words(F.col("passage"))).withColumn("n", F.least(F.lit(PROBE), F.size("w") - 2)).where("passage IS NOT NULL")
+    probes = asked.where("n > 0").select("q_id", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("h"))
+    lengths = [r.n for r in probes.select("n").distinct().collect()]  # at most PROBE numbers
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("h")))
+    found = passages.where("passage IS NOT NULL").join(docs.select("doc_id", "text"), F.lit(False)).select("q_id", "doc_id")
+    if lengths:
+        at = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("r"))
+        met = at.select("doc_id", "r.*").join(probes, ["n", "h"]).select("q_id", "doc_id").distinct()
+        found = met.join(docs.select("doc_id", "text"), "doc_id").join(passages, "q_id").where(F.contains("text", "passage")).select("q_id", "doc_id")
+    short = asked.where("n <= 0").select("q_id", "passage")
+    if short.limit(1).count():
+        found = found.union(short.join(docs.select("doc_id", "text"), F.contains("text", "passage")).select("q_id", "doc_id"))
+    return found.distinct()
 
 
 def run(docs: DataFrame, benchmark: DataFrame, k: int = 5) -> DataFrame:

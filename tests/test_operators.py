@@ -335,3 +335,13 @@ def test_find_terms(spark):
     docs = spark.createDataFrame([(2, "A Table here"), (1, "no tables, TABLE"), (3, None), (4, ""), (5, "table")], "doc_id long, text string")
     got = {(r.term, r.doc_id): (r.place, r.snippet, r.nth) for r in retrieval.find_terms(docs, ["Table", "here", ""], 2, 3).collect()}
     assert got == {("table", 1): (4, "no tables, ", 1), ("table", 2): (3, "a table her", 2), ("here", 2): (9, "le here", 1)}
+
+
+def test_gold_of_short_passages(spark):
+    from corpusmill.jobs import evaluate
+
+    texts = ["the quick brown fox jumps over it", "quick", "a quick brown foxes jump", "", None, "one two three four five six seven eight"]
+    asked = ["quick", "brown fox", "quick brown fox", "two three four five six sev", "one two three four five six seven", "uick brown fox jump", "absent words stand here now", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = evaluate.gold(docs, spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t]
