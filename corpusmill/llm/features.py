@@ -5,14 +5,14 @@ Defined results: null text counts as empty; an empty text has every statistic 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .text import blocks, span_hashes, split_words
+from .text import blocks, ranges, span_hashes, split_words
 
 STATS = (
     "log_words", "word_bytes", "upper", "digit", "end_mark", "comma_dot", "symbol", "pipe", "other", "shouted", "capital", "odd_end",
@@ -39,45 +39,79 @@ for _a, _b in zip("0134578@$!", "oieastbasi", strict=True):
 _DISGUISED = _class(lambda b: chr(b) in "0134578@$!")
 
 
-def _share(flags: np.ndarray, first: np.ndarray, over: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(flags, dtype=np.float64)])
-    return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(over, 1)
-
-
-def text_stats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Rows x STATS, and the words (starts, ends, first, hashes) for further features."""
-    starts, ends, first = split_words(data, offsets)
-    words, size = np.diff(first), np.diff(offsets)
-    n = len(size)
-    hashes = span_hashes(data, starts, ends)
-    row = np.repeat(np.arange(n), words)
-    by_class = [_share(c[data], offsets, size) for c in _CLASSES]
-    ups = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    up, letter, length = ups[ends] - ups[starts], letters[ends] - letters[starts], ends - starts
-    last = data[ends - 1] if len(ends) else data[:0]
-    order = np.lexsort((hashes, row))
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
-    again = np.zeros(len(hashes), bool)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-    begin = offsets[:-1][size > 0]
-    breaks = np.flatnonzero(data == 10) + 1
-    line_start = np.unique(np.concatenate([begin, breaks[breaks < len(data)]])) if len(data) else np.zeros(0, np.int64)
-    line_end = np.concatenate([line_start[1:], [len(data)]]) if len(line_start) else line_start
-    line_row = np.searchsorted(offsets, line_start, "right") - 1
-    line_hash = span_hashes(data, line_start, np.maximum(line_start, line_end - (data[line_end - 1] == 10))) if len(line_start) else np.zeros(0, np.uint64)
+class Words:
+    """The words of some rows: which distinct word stands at each place, and the bytes of the distinct words.
+
+    What a word is like is found once for each distinct word of a block, then counted at its places.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        starts, ends, self.first = split_words(data, offsets)
+        self.rows, self.per_row = len(offsets) - 1, np.diff(self.first)
+        self.row = np.repeat(np.arange(self.rows), self.per_row)
+        hashes = span_hashes(data, starts, ends)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        self.code = np.empty(len(order), np.int64)
+        self.code[order] = np.cumsum(new) - 1
+        starts, size = starts[order[new]], (ends - starts)[order[new]]
+        self.distinct, self.data = len(size), data[ranges(starts, size)]
+        self.edges = np.concatenate([[0], np.cumsum(size)])
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Per row the sum of a value that each distinct word has."""
+        return np.bincount(self.row, value[self.code], self.rows) if len(self.row) else np.zeros(self.rows)
+
+    def share(self, value: np.ndarray) -> np.ndarray:
+        return self.sums(value) / np.maximum(self.per_row, 1)
+
+    def count(self, flags: np.ndarray) -> np.ndarray:
+        """Per distinct word, how many of its bytes are flagged."""
+        sums = np.concatenate([[0], np.cumsum(flags)])
+        return sums[self.edges[1:]] - sums[self.edges[:-1]]
+
+
+def _distinct(row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
+    """How many different codes each row has."""
+    if not len(row):
+        return np.zeros(rows)
+    most = int(code.max()) + 1
+    keys = np.sort(row * most + code)
+    return np.bincount(keys[np.diff(keys, prepend=-1) != 0] // most, minlength=rows)
+
+
+def text_stats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
+    """Rows x STATS, and the words for further features."""
+    words, size = Words(data, offsets), np.diff(offsets)
+    n, row, code = len(size), words.row, words.code
+    seen = np.zeros((n, 256))
+    for i in range(n):
+        seen[i] = np.bincount(data[offsets[i] : offsets[i + 1]], minlength=256)
+    by_class = (seen @ _CLASSES.T) / np.maximum(size, 1)[:, None]
+    length = np.diff(words.edges)
+    up, letter = words.count(_UPPER[words.data]), words.count(_LETTER[words.data])
+    begin, last = words.data[words.edges[:-1]], words.data[words.edges[1:] - 1]
+    again = np.bincount(row[1:], (code[1:] == code[:-1]) & (row[1:] == row[:-1]), n) if len(row) > 1 else np.zeros(n)
+    line_row, line_code = _lines(data, offsets)
     lines = np.bincount(line_row, minlength=n)
-    lorder = np.lexsort((line_hash, line_row))
-    lnew = np.ones(len(line_hash), bool)
-    lnew[1:] = (line_hash[lorder][1:] != line_hash[lorder][:-1]) | (line_row[lorder][1:] != line_row[lorder][:-1])
-    distinct = np.bincount(row[order], new, n)
+    some = np.maximum(words.per_row, 1)
     columns = [
-        np.log1p(words), _share(length, first, words), *by_class, _share((up >= 2) & (up == letter), first, words), _share(_UPPER[data[starts]], first, words),
-        _share(~_LETTER[last] & ~np.isin(last, [46, 44, 59, 58]), first, words), _share(length <= 3, first, words), np.where(words > 0, distinct / np.maximum(words, 1), 0.0), _share(again, first, words),
-        words / np.maximum(lines, 1), np.where(lines > 0, 1 - np.bincount(line_row[lorder], lnew, n) / np.maximum(lines, 1), 0.0), _share(letter == 0, first, words),
+        np.log1p(words.per_row), words.share(length), *by_class.T, words.share((up >= 2) & (up == letter)), words.share(_UPPER[begin]), words.share(~_LETTER[last] & ~np.isin(last, [46, 44, 59, 58])),
+        words.share(length <= 3), _distinct(row, code, n) / some, again / some, words.per_row / np.maximum(lines, 1), np.where(lines > 0, 1 - _distinct(line_row, line_code, n) / np.maximum(lines, 1), 0.0), words.share(letter == 0),
     ]
-    return np.stack(columns, 1).astype(np.float64), (starts, ends, first, hashes)
+    return np.stack(columns, 1).astype(np.float64), words
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every line, and a number that equal lines share."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    breaks = np.flatnonzero(data == 10) + 1
+    start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)]]))
+    end = np.concatenate([start[1:], [len(data)]])
+    hashes = span_hashes(data, start, end - (data[end - 1] == 10))
+    return np.searchsorted(offsets, start, "right") - 1, np.unique(hashes, return_inverse=True)[1]
 
 
 LEXICON_STATS = ("hits", "density", "fixed_density", "near_you", "you", "obfuscated", "mixed", "weight", "weight_density")
@@ -123,12 +157,12 @@ class Lexicon:
             by_size.setdefault(len(b.encode()), {})[b] = w
         self.starts = {k: _table(v) for k, v in by_size.items()}
 
-    def stats(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def stats(self, words: Words) -> np.ndarray:
         """Rows x LEXICON_STATS."""
-        n, words = len(first) - 1, np.diff(first)
+        data, edges, row = words.data, words.edges, words.row
         is_letter = _LETTER[data]
         rank = np.concatenate([[0], np.cumsum(is_letter)])
-        plain, a, b = _LOWER[data[is_letter]], rank[starts], rank[ends]
+        plain, a, b = _LOWER[data[is_letter]], rank[edges[:-1]], rank[edges[1:]]
         whole = span_hashes(plain, a, b)
         fixed = _weights_of(whole, self.fixed) > 0
         weight = _weights_of(whole, self.whole)
@@ -137,43 +171,39 @@ class Lexicon:
             weight[long] = np.maximum(weight[long], _weights_of(span_hashes(plain, a[long], a[long] + size), known))
         meant = is_letter | _DISGUISED[data]
         rank = np.concatenate([[0], np.cumsum(meant)])
-        shown = _weights_of(span_hashes(_DISGUISE[data[meant]], rank[starts], rank[ends]), self.whole)
+        shown = _weights_of(span_hashes(_DISGUISE[data[meant]], rank[edges[:-1]], rank[edges[1:]]), self.whole)
         masked = (shown > 0) & (weight == 0)
         inner = np.concatenate([[0], np.cumsum(~is_letter)])
-        odd = (inner[np.maximum(ends - 1, starts)] - inner[starts] > 0) & (b - a >= 2)
+        odd = (inner[np.maximum(edges[1:] - 1, edges[:-1])] - inner[edges[:-1]] > 0) & (b - a >= 2)
         weight = np.maximum(weight, shown)
-        hit = weight > 0
-        you = _weights_of(whole, self.you) > 0
-        row = np.repeat(np.arange(n), words)
-        seen = np.concatenate([[0], np.cumsum(you)])
-        at = np.arange(len(hit))
-        near = hit & (seen[np.minimum(at + 6, first[row + 1])] - seen[np.maximum(at - 5, first[row])] > 0)
-        one = np.ones(n)
-        return np.stack([_share(hit, first, one), *(_share(x, first, words) for x in (hit, fixed, near, you, masked, odd)), _share(weight, first, one), _share(weight, first, words)], 1)
-
+        hit, you = weight > 0, _weights_of(whole, self.you) > 0
+        seen = np.concatenate([[0], np.cumsum(you[words.code])])
+        at = np.flatnonzero(hit[words.code])
+        around = seen[np.minimum(at + 6, words.first[row[at] + 1])] - seen[np.maximum(at - 5, words.first[row[at]])]
+        near = np.bincount(row[at], around > 0, words.rows) / np.maximum(words.per_row, 1)
+        return np.stack([words.sums(hit), words.share(hit), words.share(fixed), near, *map(words.share, (you, masked, odd)), words.sums(weight), words.share(weight)], 1)
 
-def _row_features(lexicon: Lexicon | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    stats, (starts, ends, first, _) = text_stats(data, offsets)
-    return stats if lexicon is None else np.hstack([stats, lexicon.stats(data, starts, ends, first)])
 
+def row_features(lexicon: Lexicon | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    stats, words = text_stats(data, offsets)
+    return stats if lexicon is None else np.hstack([stats, lexicon.stats(words)])
 
-def with_arrays(df: DataFrame, text_col: str, name: str, make, kind: T.DataType) -> DataFrame:
-    """df with a column made from whole texts by make(bytes, offsets), for blocks of rows; a column of that name is replaced."""
-    at, keep = df.columns.index(text_col), [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
-    kept = df.select(*(df.columns[i] for i in keep)).schema
-    names = [*kept.names, name]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, n, data, offsets in blocks(batch.column(at)):
-                made = make(data, offsets)
-                made = pa.array(list(made) if getattr(made, "ndim", 1) == 2 else made)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, n) for i in keep), made], names=names)
+def of_text(make, kind: T.DataType):
+    """A column function of a text column: make(bytes, offsets) gives the values for a block of rows.
 
-    return df.mapInArrow(run, kept.add(name, kind))
+    Only the text goes to Python and only the values come back; the other columns of a row stay in the JVM.
+    """
 
+    @F.arrow_udf(kind)
+    def values(text: pa.Array) -> pa.Array:
+        made = [make(data, offsets) for _, _, data, offsets in blocks(text)]
+        flat = [list(m) if getattr(m, "ndim", 1) == 2 else m for m in made]
+        return pa.array([x for m in flat for x in m], to_arrow_type(kind))
 
-def with_features(df: DataFrame, text_col: str, lexicon: Lexicon | None = None, name: str = "features") -> DataFrame:
-    return with_arrays(df, text_col, name, lambda data, offsets: _row_features(lexicon, data, offsets), T.ArrayType(T.DoubleType()))
+    return values
 
 
+def with_features(df: DataFrame, text_col: str, lexicon: Lexicon | None = None, name: str = "features") -> DataFrame:
+    """df with the statistics of its texts; a column of that name is replaced."""
+    return df.withColumn(name, of_text(lambda data, offsets: row_features(lexicon, data, offsets), T.ArrayType(T.DoubleType()))(F.col(text_col)))

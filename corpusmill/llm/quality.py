@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import LEXICON_STATS, STATS, Lexicon, with_features
+from .storage import written
 from .trees import boost, lasso_logistic
 
 SAMPLE = 20_000
@@ -27,15 +28,19 @@ Rule = tuple[tuple[int, float, bool], ...]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
-    """(id, text, y) of at most `rows` labelled rows that aren't held out; the choice follows a hash of the id."""
+    """(id, text, y) of at most `rows` labelled ids that aren't held out; the choice follows a hash of the id.
+
+    An id on several rows counts once, with its least text and its highest label, so the sample is the same each time.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(~held_out).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    found = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(chosen), id_col)  # `rows` rows at most
+    return written(found.groupBy(id_col, "y").agg(F.min(text_col).alias(text_col)), "sample")
 
 
-def sampled_features(sample: DataFrame, lexicon: Lexicon | None = None, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def sampled_features(sample: DataFrame, lexicon: Lexicon | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a bounded sample, in the order of ids."""
-    got = with_features(sample, text_col, lexicon).select(id_col, "y", "features").orderBy(id_col).limit(2 * rows).collect()
+    got = with_features(sample, text_col, lexicon).select(id_col, "y", "features").orderBy(id_col).collect()  # at most SAMPLE rows of numbers
     width = len(STATS) + (len(LEXICON_STATS) if lexicon else 0)
     return np.array([r.features for r in got], float).reshape(len(got), width), np.array([r.y for r in got], float)
 
@@ -78,7 +83,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, penalty: float = 0.
         held = _holds(rule, x)
         if 3 <= held.sum() <= len(y) - 3:
             unique.setdefault(np.packbits(held).tobytes(), rule)
-    rules = list(unique.values())[:600]
+    rules = list(unique.values())  # at most 14 paths a tree
     matrix = np.stack([_holds(r, x) for r in rules], 1).astype(float)
     intercept, w = lasso_logistic(matrix, y, penalty)
     kept = np.flatnonzero(np.abs(w) > 1e-6)

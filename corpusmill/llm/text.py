@@ -12,15 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 BLOCK_BYTES = 1 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_LANES = [(_RNG.integers(1, 1 << 64, 256, np.uint64), int(_RNG.integers(1, 1 << 62)) * 2 + 1) for _ in range(2)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans up to this many bytes are hashed together.
+LONG_SPAN = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,27 +68,25 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(lane)
-    if have is None or len(have[0]) < n:
-        size, r = max(n, BLOCK_BYTES + 1), _LANES[lane][1]
-        up, down = (np.full(size, x, np.uint64) for x in (r, pow(r, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        have = np.cumprod(up), np.cumprod(down)
-        if size <= 8 * BLOCK_BYTES:
-            _POWERS[lane] = have
-    return have
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of prefix sums over two independent lanes."""
-    n, out = len(data), (ends - starts).astype(np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    for lane, (table, _) in enumerate(_LANES):
-        up, down = _powers(lane, n)
-        np.cumsum(table[data] * up[:n], out=sums[1:])
-        out = out * _STEP + mix((sums[ends] - sums[starts]) * down[starts] if n else sums[ends])
-    return mix(out)
+    """64-bit hashes of byte spans: eight bytes of every span at a time; a span over LONG_SPAN bytes is hashed alone.
+
+    Memory is a few times that of the spans' numbers, whatever the bytes; nothing is kept between calls.
+    """
+    size = np.asarray(ends - starts, np.int64)
+    out = mix(size.astype(np.uint64) + _STEP)
+    if not len(data):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    limbs = np.ndarray((len(data),), np.uint64, padded, strides=(1,))
+    left, done = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(left):
+        rest = size[left] - done
+        out[left] = mix(out[left] ^ (limbs[starts[left] + done] & _MASKS[np.minimum(rest, 8)]))
+        left, done = left[rest > 8], done + 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] ^= np.uint64(xxhash.xxh64_intdigest(data[starts[i] : ends[i]]))
+    return out
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ general text statistics. Lexicon, trees and calibration are fitted on at most SA
 chooses them): two fifths give the lexicon, the others the trees and, a quarter of them, the calibration; all rows are scored in one pass without a shuffle.
 
 Defined results: as in `quality`: null text is empty and gets a score; without labels of both classes every score is
-the base rate (0.5 without any label); other columns are kept, those named as the outputs are replaced; an empty table
+the base rate (0.5 without any label); if the calibration's rows are all of one class, scores stay uncalibrated; other columns are kept, those named as the outputs are replaced; an empty table
 gives no rows.
 """
 
@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import PREFIXES, Lexicon, _row_features, with_arrays
+from .features import PREFIXES, Lexicon, of_text, row_features
 from .quality import held_out_fold, labelled_sample, sampled_features
 from .trees import Tree, boost, isotonic, sigmoid
 
 SAMPLE = 12_000
+THRESHOLD = 0.7
 ENTRIES = 400
 _WORD = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 
@@ -67,18 +68,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Colu
     sample = labelled_sample(docs, labels, label, held_out, id_col, text_col, rows)
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit("lexicon")), F.lit(5))
     lexicon = learn_lexicon(sample.where(part < 2), text_col)
-    x, y = sampled_features(sample.where(part >= 2), lexicon, id_col, text_col, rows)
+    x, y = sampled_features(sample.where(part >= 2), lexicon, id_col, text_col)
     aside = np.arange(len(y)) % 4 == 3
     base, trees = boost(x[~aside], y[~aside], trees=80, depth=3, rate=0.15)
     model = ToxicityModel(lexicon, base, trees, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    if trees and aside.any():
+    if trees and 0 < y[aside].sum() < aside.sum():  # one class alone would calibrate every score to 0 or 1
         model.steps = isotonic(model.predict(x[aside]), y[aside])
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted."""
-    scored = with_arrays(docs, text_col, "score", lambda data, offsets: model.predict(_row_features(model.lexicon, data, offsets)), T.DoubleType())
+    score = of_text(lambda data, offsets: model.predict(row_features(model.lexicon, data, offsets)), T.DoubleType())
+    scored = docs.withColumn("score", score(F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -86,7 +88,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic."""
     held = held_out_fold("doc_id", 3, 1)
     columns = docs.columns
-    return score_toxicity(docs.select("*"), fit(docs, labels, held_out=held)).where("predicted = 0").select(*columns)
+    score = "__toxicity"  # docs may have columns named as the outputs
+    model = fit(docs, labels, held_out=held)
+    made = of_text(lambda data, offsets: model.predict(row_features(model.lexicon, data, offsets)), T.DoubleType())
+    return docs.withColumn(score, made(F.col("text"))).where(F.col(score) < THRESHOLD).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
