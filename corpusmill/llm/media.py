@@ -1,13 +1,15 @@
 """MPEG transport streams as table columns: write payloads into them, and read tables, packets and timestamps back.
 
 `mux` stores a payload as one private data stream: PAT and PMT at the head, then PES packets of PES_BYTES payload
-bytes, each with a presentation timestamp and a random-access indicator in its first packet. `parse_stream` trusts
-none of that: it finds the programs by the tables (checking their CRC), checks each PID's continuity counter (a
-repeated packet is dropped, a gap is counted), puts the elementary packets together again and lists the timestamps
-with the byte places of random-access points. Packets are handled as one NumPy array of shape (n, 188).
+bytes, each with a presentation timestamp, and a random-access indicator and the program clock in its first packet.
+`parse_stream` trusts none of that: it puts the table sections together (over packets, checking their CRC) and finds
+the programs by them, checks each PID's continuity counter (a repeated packet is dropped, a gap is counted unless the
+stream announces it as a discontinuity), puts the elementary packets together again and lists the timestamps with the
+byte places of random-access points. Packets are handled as one NumPy array of shape (n, 188).
 
 Defined results: a null value counts as empty bytes; empty bytes, and bytes that are no transport stream, parse to
-zero programs and an empty payload; trailing bytes short of a packet are counted in `lost_bytes`; equal inputs give
+zero programs and an empty payload; an elementary packet with a gap inside, or shorter than it says, keeps the bytes that
+are there and counts as `damaged`; trailing bytes short of a packet are counted in `lost_bytes`; equal inputs give
 equal outputs; extra columns of the input are kept. A payload of any length goes out in full.
 """
 
@@ -71,7 +73,8 @@ def mux(payload: bytes) -> bytes:
     for number, at in enumerate(range(0, len(payload), PES_BYTES)):
         part = payload[at : at + PES_BYTES]
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(part) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _pts_bytes(number * TICKS % (1 << 33)) + part
-        first, rest = PACKET - 6, PACKET - 4  # the first packet has an adaptation field of two bytes
+        first, rest = PACKET - 12, PACKET - 4  # the first packet has an adaptation field of eight bytes: length, flags, clock
+        clock = (number * TICKS % (1 << 33) << 15 | 0x7E00).to_bytes(6, "big")
         n = 1 + max(0, -(-(len(pes) - first) // rest))
         packets = np.full((n, PACKET), 0xFF, np.uint8)
         packets[:, 0], packets[:, 1], packets[:, 2] = 0x47, DATA_PID >> 8, DATA_PID & 0xFF
@@ -79,14 +82,15 @@ def mux(payload: bytes) -> bytes:
         counter += n
         packets[0, 1] |= 0x40
         packets[0, 3] |= 0x20
+        packets[0, 5], packets[0, 6:12] = 0x50, np.frombuffer(clock, np.uint8)
         body = np.frombuffer(pes, np.uint8)
         if n == 1:
             stuff = first - len(body)
-            packets[0, 4], packets[0, 5] = 1 + stuff, 0x40
-            packets[0, 6 + stuff :] = body
+            packets[0, 4] = 7 + stuff
+            packets[0, 12 + stuff :] = body
         else:
-            packets[0, 4], packets[0, 5] = 1, 0x40
-            packets[0, 6:] = body[:first]
+            packets[0, 4] = 7
+            packets[0, 12:] = body[:first]
             whole = (len(body) - first) // rest
             packets[1 : 1 + whole, 4:] = body[first : first + whole * rest].reshape(whole, rest)
             if tail := len(body) - first - whole * rest:
@@ -101,19 +105,27 @@ def mux(payload: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
-    """Valid table sections whose packets begin one (those here fit one packet, as PAT and PMT do)."""
+    """Valid table sections of one PID, put together over packets."""
+    held: bytes | None = None
     for packet, at in zip(packets, starts, strict=True):
-        if packet[1] & 0x40 and at < PACKET:
-            raw = packet[at + 1 + int(packet[at]) :].tobytes()
-            size = 3 + ((raw[1] & 0x0F) << 8 | raw[2]) if len(raw) >= 3 else 0
-            if 12 <= size <= len(raw) and table_crc(raw[:size]) == 0:
-                yield raw[:size]
+        body, fresh = packet[at:].tobytes(), b""
+        if packet[1] & 0x40:  # a section begins where the pointer says; what stands before ends the one at hand
+            body, fresh = body[1 : 1 + body[0]] if body else b"", body[1 + body[0] :] if body else b""
+        for begun in (False, True):
+            held = fresh if begun and packet[1] & 0x40 else held + body if held is not None and not begun else held
+            while held and held[0] != 0xFF and len(held) >= 3:
+                size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+                if len(held) < size:
+                    break
+                if size >= 12 and table_crc(held[:size]) == 0:
+                    yield held[:size]
+                held = held[size:]
 
 
 def parse_stream(data: bytes | None) -> dict:
     """Programs, continuity, payload, timestamps and random-access points of one transport stream."""
     data = data or b""
-    out = {"programs": [], "streams": [], "packets": 0, "lost_bytes": len(data) % PACKET, "gaps": 0, "repeats": 0, "pts": [], "random_access": [], "payload": b""}
+    out = {"programs": [], "streams": [], "packets": 0, "lost_bytes": len(data) % PACKET, "gaps": 0, "repeats": 0, "damaged": 0, "pts": [], "random_access": [], "payload": b""}
     packets = np.frombuffer(data, np.uint8, len(data) // PACKET * PACKET).reshape(-1, PACKET)
     if not len(packets):
         return out
@@ -145,10 +157,12 @@ def parse_stream(data: bytes | None) -> dict:
             continue
         counter = packets[mine, 3] & 15
         step = (counter[1:].astype(np.int32) - counter[:-1]) % 16
-        same = np.concatenate([[False], step == 0])
+        told = extra[mine[1:]] & (packets[mine[1:], 4] > 0) & (packets[mine[1:], 5] & 0x80 > 0)
+        same = np.concatenate([[False], (step == 0) & ~told])
+        gap = np.concatenate([[False], (step > 1) & ~told])
         out["repeats"] += int(same.sum())
-        out["gaps"] += int((step > 1).sum())
-        mine = mine[~same]
+        out["gaps"] += int(gap.sum())
+        torn, mine = np.cumsum(gap)[~same], mine[~same]
         begins = packets[mine, 1] & 0x40 > 0
         marked = extra[mine] & (packets[mine, 4] > 0) & (packets[mine, 5] & 0x40 > 0)
         inside = np.arange(PACKET)[None, :] >= starts[mine][:, None]
@@ -158,10 +172,12 @@ def parse_stream(data: bytes | None) -> dict:
         for i, k in enumerate(heads):
             lo, hi = int(ends[k] - length[k]), int(ends[heads[i + 1] - 1] if i + 1 < len(heads) else ends[-1])
             pes = body[lo:hi]
+            end = heads[i + 1] - 1 if i + 1 < len(heads) else len(mine) - 1
             if len(pes) < 9 or pes[0] or pes[1] or pes[2] != 1:
                 continue
             head = pes[:14].tobytes()
             size = head[4] << 8 | head[5]
+            out["damaged"] += bool(torn[end] > torn[k] or (size and len(pes) < 6 + size))
             if head[7] & 0x80 and len(head) == 14:
                 p = head[9:14]
                 out["pts"].append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
@@ -172,14 +188,14 @@ def parse_stream(data: bytes | None) -> dict:
     return out
 
 
-_MEDIA = "struct<programs:array<struct<program:int,pid:int>>,streams:array<struct<program:int,pid:int,type:int>>,packets:bigint,lost_bytes:bigint,gaps:bigint,repeats:bigint,pts:array<bigint>,random_access:array<struct<pts:bigint,byte:bigint>>,payload:binary>"
+_MEDIA = "struct<programs:array<struct<program:int,pid:int>>,streams:array<struct<program:int,pid:int,type:int>>,packets:bigint,lost_bytes:bigint,gaps:bigint,repeats:bigint,damaged:bigint,pts:array<bigint>,random_access:array<struct<pts:bigint,byte:bigint>>,payload:binary>"
 
 
 def _struct_type() -> pa.DataType:
     i, long = pa.int32(), pa.int64()
     return pa.struct([
         ("programs", pa.list_(pa.struct([("program", i), ("pid", i)]))), ("streams", pa.list_(pa.struct([("program", i), ("pid", i), ("type", i)]))), ("packets", long), ("lost_bytes", long), ("gaps", long),
-        ("repeats", long), ("pts", pa.list_(long)), ("random_access", pa.list_(pa.struct([("pts", long), ("byte", long)]))), ("payload", pa.binary()),
+        ("repeats", long), ("damaged", long), ("pts", pa.list_(long)), ("random_access", pa.list_(pa.struct([("pts", long), ("byte", long)]))), ("payload", pa.binary()),
     ])
 
 
@@ -231,7 +247,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     size = F.octet_length(text)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("raw"), size.cast("long").alias("n_bytes"))
-    pad = F.unhex(F.repeat(F.lit("00"), (64 - F.col("n_bytes") % 64).cast("int")))
+    whole = F.greatest(F.ceil(F.col("n_bytes") / 64), F.lit(1)) * 64  # up to a positive multiple of 64
+    pad = F.unhex(F.repeat(F.lit("00"), (whole - F.col("n_bytes")).cast("int")))
     padded = docs.select("doc_id", "n_bytes", F.concat("raw", pad).alias("payload"))
     read = read_media(store_as_media(padded, "payload").drop("payload"))
     p = F.col("parsed")
@@ -239,7 +256,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return read.select(
         "doc_id", "n_bytes", F.octet_length(p["payload"]).cast("long").alias("payload_bytes"), F.sha2(p["payload"], 256).alias("payload_sha256"), _crc32_of(F.expr("substring(parsed.payload, -64, 64)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("streams="), gaps, F.lit(" packets="), p["packets"], F.lit(" gaps="), p["gaps"], F.lit(" repeats="), p["repeats"], F.lit(" pes="), F.size(p["pts"]), F.lit(" first_pts="), F.coalesce(F.try_element_at(p["pts"], F.lit(1)), F.lit(-1)),
+        F.concat(F.lit("streams="), gaps, F.lit(" packets="), p["packets"], F.lit(" gaps="), p["gaps"], F.lit(" repeats="), p["repeats"], F.lit(" damaged="), p["damaged"], F.lit(" pes="), F.size(p["pts"]), F.lit(" first_pts="), F.coalesce(F.try_element_at(p["pts"], F.lit(1)), F.lit(-1)),
                  F.lit(" last_pts="), F.coalesce(F.try_element_at(p["pts"], F.lit(-1)), F.lit(-1)), F.lit(" access_points="), F.size(ra)).alias("feature"),
         p["pts"].alias("pts"), ra.alias("random_access"),
     )

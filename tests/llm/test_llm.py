@@ -94,12 +94,11 @@ def jaccard_truth(rows):
 
 
 @pytest.mark.parametrize("block", [1024, 13])
-def test_ngram_join_brute_force(spark, block, monkeypatch):
+def test_ngram_join_brute_force(spark, block):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(x if rng.random() > 0.012 else f"q{rng.randint(0, 30)}" for x in base)) for i in range(100)] + [(300 + i, f"only here {i} and {i * 7} there so {i}") for i in range(20)]
-    monkeypatch.setattr(ngram_join, "verified_links", lambda s, t, f=ngram_join.verified_links: f(s, t, block))
-    got = {r.doc_id: r for r in ngram_join.similar_documents(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r for r in ngram_join.similar_documents(docs_of(spark, rows), block=block, sample=40 if block == 13 else 1000).collect()}
     lead, links = jaccard_truth(rows)
     for words, ids in lead.items():
         seen, edge = {words}, [words]
@@ -132,9 +131,28 @@ def test_ngram_join_null_and_repeated_ids(spark):
     assert sorted((x for x in left if not x[1].startswith("b0 ")), key=str) == sorted([(1, a), (None, "only here"), (7, "another text"), (3, c)], key=str)
 
 
-def test_match_depth_reaches_the_recall():
-    d = ngram_join.match_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET_RECALL
+def test_match_depth_follows_what_was_measured():
+    assert ngram_join.match_depth({}) == max(d for d in range(1, ngram_join.DEPTH + 1) if ngram_join.found_share(0.8, d) >= ngram_join.TARGET_RECALL)
+    assert ngram_join.match_depth({97: 10**6}) == ngram_join.DEPTH
+    depths = [ngram_join.match_depth({80: n, 97: 10**6}) for n in (0, 1000, 10**5, 10**7)]
+    assert depths == sorted(depths, reverse=True) and depths[-1] < depths[0]
+    for pairs in ({}, {80: 5}, {80: 10**4, 95: 10**4}):
+        assert ngram_join.recall_at(pairs, ngram_join.match_depth(pairs)) >= ngram_join.TARGET_RECALL
+
+
+def test_split_large_parts_no_similar_pair(spark):
+    """A family that shares half of its words parts into singles; near copies in it stay together."""
+    shared, rng = [f"s{i}" for i in range(40)], random.Random(8)
+    texts = [" ".join(shared + [f"{k}x{i}" for i in range(40)]) for k in range(30)]
+    texts += [t.replace("x39", "x39 more") for t in texts[:5]] + [" ".join(x if rng.random() > 0.03 else "q" for x in texts[7].split()) for _ in range(4)]
+    sets = [(i, 1, {hash(tuple(t.split()[k : k + 5])) for k in range(len(t.split()) - 4)}) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, c, bytearray(np.array(sorted(s), np.int64).tobytes())) for i, c, s in sets], "id long, component long, shingles binary")
+    group = {r.id: r.component for r in ngram_join.split_large(df).collect()}
+    for i, _, a in sets:
+        for j, _, b in sets:
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                assert group[i] == group[j]
+    assert len(group) < 20
 
 
 def random_texts(seed):
@@ -186,11 +204,54 @@ def test_media_damage():
     assert media.parse_stream(good + b"tail")["lost_bytes"] == 4
 
 
+def foreign_stream(table_bytes: int = 400) -> bytes:
+    """A stream as another writer makes it: long tables over several packets, two streams, announced and other gaps, stuffing."""
+
+    def packet(pid, count, body, begin=False, field=b""):
+        field = bytes([len(field)]) + field if field else b""
+        room = 184 - len(field) - len(body)
+        if room:
+            field = (field or b"\0") + b"\xff" * room if field else (bytes([room - 1]) + (b"\0" + b"\xff" * (room - 2) if room > 1 else b""))
+            field = bytes([len(field) - 1]) + field[1:]
+        return bytes([0x47, 0x40 * begin | pid >> 8, pid & 255, (0x30 if field else 0x10) | count % 16]) + field + body
+
+    def table(pid, table_id, ident, body):
+        raw = bytes([table_id, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255, ident >> 8, ident & 255, 0xC1, 0, 0]) + body
+        raw = b"\0" + raw + media.table_crc(raw).to_bytes(4, "big")
+        return [packet(pid, i, raw[184 * i : 184 * i + 184], i == 0) for i in range(-(-len(raw) // 184))]
+
+    pat = b"".join(bytes([0, k, 0xE0 | 0x20, k]) for k in range(1, table_bytes // 4))
+    info = bytes([0x80, 200]) + b"d" * 200
+    pmt = bytes([0xE0 | 1, 1, 0xF0, len(info)]) + info + bytes([2, 0xE1, 1, 0xF0, 0, 6, 0xE1, 2, 0xF0, 0])
+    pes = lambda n, body: b"\0\0\1\xbd" + (len(body) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + media._pts_bytes(n) + body
+    out = [*table(0, 0, 1, pat), *table(0x2001 & 0x1FFF, 2, 1, pmt)]
+    a, b, c = (pes(90_000 * k, bytes([64 + k]) * 300) for k in range(3))
+    cut = lambda raw, at, skip=0: [packet(0x102, at + i + (skip if i else 0), raw[184 * i : 184 * i + 184], i == 0) for i in range(-(-len(raw) // 184))]
+    out += cut(a, 3) + [packet(0x102, 9, b[:170], True, b"\x80")] + [packet(0x102, 10, b[170:])] + cut(c, 11, 2)
+    return b"".join(out)
+
+
+def test_media_reads_another_writers_stream():
+    data = foreign_stream()
+    assert len(data) % 188 == 0
+    r = media.parse_stream(data)
+    assert len(r["programs"]) == 99 and (1, 0x101, 2) in r["streams"] and (1, 0x102, 6) in r["streams"]
+    assert (r["gaps"], r["damaged"], r["repeats"]) == (1, 1, 0) and r["pts"] == [0, 90_000, 180_000]
+    assert r["payload"] == b"@" * 300 + b"A" * 300 + b"B" * 300
+
+
+def test_media_columns_awkward(spark, docs):
+    df = docs.withColumn("media", F.lit("old")).withColumn("parsed", F.lit(1)).withColumn("raw", F.encode("text", "utf-8"))
+    out = media.read_media(media.store_as_media(df, "raw"))
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == docs.count()
+    assert all(bytes(r.parsed.payload) == (r.text or "").encode() and r.parsed.damaged == 0 for r in out.collect())
+
+
 def test_media_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in media.query(spark, SF).collect():
         raw = texts[r.doc_id].encode()
-        p = raw + b"\0" * (64 - len(raw) % 64)
+        p = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")  # up to a positive multiple of 64
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) and r.media_sha256 == hashlib.sha256(media.mux(p)).hexdigest()
 
 
