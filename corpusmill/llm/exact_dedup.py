@@ -128,7 +128,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.select(
             "id",
             F.unhex(F.sha2("body", 256)).alias("digest"),
-            F.coalesce(F.floor((F.col("id") - F.lit(lo or 0)) / F.lit(width)), F.lit(batches - 1)).cast("int").alias("batch"),
+            F.least(F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(lo or 0))) / F.lit(float(width))), F.lit(batches - 1)), F.lit(batches - 1)).cast("int").alias("batch"),
         ),
         "digests",
     )
