@@ -5,10 +5,13 @@ each shard's automaton to every document, which is quadratic in the corpus; here
 a passage can only match inside one shard, and each document's passages go to that shard's automaton alone:
 
 1. One row of each group of equal texts goes on; the others repeat it entirely.
-2. Each window has an anchor, the least hash of its ANCHOR-word runs. Anchors seen in two documents are found by a
-   shuffle of four-byte marks; a window whose anchor is unique repeats nowhere.
+2. Each window has an anchor, the least hash of its ANCHOR-word runs. A first pass counts in how many documents anchors
+   stand; each task keeps back those it has seen too seldom to matter, so only counts of frequent ones are shuffled.
+   Anchors in more than HOT_ANCHOR documents (at most MOST_HOT of them, the most frequent) are hot from the start: their
+   marks never meet, so no group has more than some 2 HOT_ANCHOR documents. The other anchors seen in two documents
+   are found by a shuffle of four-byte marks; a window whose anchor is unique repeats nowhere.
 3. The other windows are cut into segments of consecutive windows with one anchor. Equal segments are combined before
-   the shuffle; a shard is a bucket of anchors. An anchor in more than HOT_ANCHOR documents is dealt by whole windows
+   the shuffle; a shard is a bucket of anchors. Windows of a hot anchor are dealt one by one by their content
    instead, so that a common phrase in varied contexts spreads over all shards.
 4. In a shard, segments stream through a growing suffix automaton in the order of their smallest id: the matching
    statistics give each window the smallest id that has it; then the segment is added.
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,7 @@ from .storage import bucket_count, written
 from .text import blocks, expanded, mix, ranges, span_hashes, split_words, squeezed, window_hashes
 
 WINDOW, ANCHOR = 13, 6
-HOT_ANCHOR = 5_000
+HOT_ANCHOR, MOST_HOT = 5_000, 100_000
 SHARD_BYTES = 4 << 20
 _WORD = 6
 
@@ -55,8 +59,51 @@ def _anchors(words: np.ndarray, first: np.ndarray, window: int, anchor: int) ->
     return starts, np.repeat(np.arange(len(counts)), counts), at, runs
 
 
-def _mark_batches(window: int, anchor: int, buckets: int):
-    """Per block and bucket one row of packed marks: documents, then hash, document and place of each anchor."""
+def _frequent_batches(window: int, anchor: int, seldom: int, most: int = 1 << 21):
+    """Texts -> anchors (32 bits) with the number of the task's documents that have them, from `seldom` documents on."""
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
+                starts, ends, first = split_words(data, offsets)
+                _, of, at, runs = _anchors(span_hashes(data, starts, ends), first, window, anchor)
+                new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+                pairs = np.sort(runs[at[new]].astype(np.uint32).astype(np.uint64) << np.uint64(32) | of[new].astype(np.uint64))
+                pairs = pairs[np.diff(pairs, prepend=~pairs[:1]) != 0] >> np.uint64(32)
+                keys, counts = np.unique(pairs, return_counts=True)
+                parts.append((keys, counts))
+            if sum(len(k) for k, _ in parts) > most:
+                parts = [added(parts)]
+        keys, counts = added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keep = counts >= seldom
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(counts[keep])], names=["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, window: int, anchor: int, hot: int, most: int = MOST_HOT) -> np.ndarray:
+    """Anchors (32 bits) in more than `hot` documents, at most `most`, the most frequent; every one in over 2 `hot` documents
+    is found, as the counts that tasks keep back add up to less than `hot`."""
+    tasks = texts.rdd.getNumPartitions()
+    counted = texts.select("text").mapInArrow(_frequent_batches(window, anchor, max(1, hot // tasks)), "anchor long, n long")
+    found = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "anchor").limit(most)
+    return np.sort(np.array([r.anchor for r in found.select("anchor").collect()], np.int64).astype(np.uint32))  # at most `most` numbers
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _mark_batches(window: int, anchor: int, buckets: int, hot: np.ndarray):
+    """Per block and bucket one row of packed marks: documents, then hash, document and place of each anchor that isn't hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in expanded(batches):
@@ -65,6 +112,7 @@ def _mark_batches(window: int, anchor: int, buckets: int):
                 starts, ends, first = split_words(data, offsets)
                 _, of, at, runs = _anchors(span_hashes(data, starts, ends), first, window, anchor)
                 new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+                new = new[~_among(runs[at[new]].astype(np.uint32), hot)]
                 if not len(new):
                     continue
                 of, at = of[new], at[new]
@@ -85,8 +133,8 @@ def _mark_batches(window: int, anchor: int, buckets: int):
     return run
 
 
-def _repeated(hot: int):
-    """Marks of one bucket -> places whose anchor two documents have; written as -1 - place if more than `hot` have it."""
+def _repeated():
+    """Marks of one bucket -> places whose anchor two documents have."""
 
     def run(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -109,7 +157,7 @@ def _repeated(hot: int):
         many = np.bincount(group, fresh)
         keep = many[group] > 1
         row, place = order[keep], places[order[keep]]
-        return pa.table({"id": ids[docs[row]], "k": keys[docs[row]], "place": np.where(many[group[keep]] > hot, -1 - place, place).astype(np.int32)})
+        return pa.table({"id": ids[docs[row]], "k": keys[docs[row]], "place": place.astype(np.int32)})
 
     return run
 
@@ -117,7 +165,7 @@ def _repeated(hot: int):
 _SEGMENT = "c1 long, c2 long, id long, k long, start int, shard int, words binary"
 
 
-def _segment_batches(window: int, anchor: int, shards: int):
+def _segment_batches(window: int, anchor: int, shards: int, often: np.ndarray):
     """Texts with their repeated places -> segments; `words` is set only for the first of equal segments in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +177,11 @@ def _segment_batches(window: int, anchor: int, shards: int):
                 words = span_hashes(data, starts, ends)
                 win, of, at, runs = _anchors(words, first, window, anchor)
                 state = np.zeros(len(words) + 1, np.int8)
-                part = places.slice(row, n)
+                part = pc.fill_null(places.slice(row, n), [])
                 flat = part.flatten().to_numpy().astype(np.int64)
                 base = np.repeat(first[:-1], np.diff(part.offsets.to_numpy()) if n else 0)
-                state[base + np.where(flat < 0, -1 - flat, flat)] = np.where(flat < 0, 2, 1)
+                state[base + flat] = 1
+                state[np.flatnonzero(_among(runs.astype(np.uint32), often))] = 2
                 chosen = np.flatnonzero(state[at] > 0)
                 if not len(chosen):
                     continue
@@ -310,9 +359,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = plain.mapInArrow(squeezed, "id long, k long, z binary")
     lead = plain.where("id IS NOT NULL").groupBy("k", F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.min("id").alias("id")).select("id", "k")
     once = rows.join(lead.hint("shuffle_hash"), ["id", "k"])
-    marks = once.select("id", "k", "z").mapInArrow(_mark_batches(window, anchor, shards), "bucket long, marks binary")
-    places = marks.groupBy("bucket").applyInArrow(_repeated(hot), "id long, k long, place int").groupBy("id", "k").agg(F.collect_list("place").alias("places"))
-    segments = written(once.join(places.hint("shuffle_hash"), ["id", "k"]).select("id", "k", "z", "places").mapInArrow(_segment_batches(window, anchor, shards), _SEGMENT), "segments")
+    often = hot_anchors(plain, window, anchor, hot)
+    marks = once.select("id", "k", "z").mapInArrow(_mark_batches(window, anchor, shards, often), "bucket long, marks binary")
+    places = marks.groupBy("bucket").applyInArrow(_repeated(), "id long, k long, place int").groupBy("id", "k").agg(F.collect_list("place").alias("places"))
+    placed = once.join(places.hint("shuffle_hash"), ["id", "k"], "left" if len(often) else "inner").select("id", "k", "z", "places")
+    segments = written(placed.mapInArrow(_segment_batches(window, anchor, shards, often), _SEGMENT), "segments")
     content = segments.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"))
     words = segments.where("words IS NOT NULL").groupBy("shard", "c1", "c2", "words").agg(F.min("id").alias("id"))
     owners = words.drop("id").join(content, ["c1", "c2"]).groupBy("shard").applyInArrow(_shard_owners(window), "c1 long, c2 long, owners array<long>")
