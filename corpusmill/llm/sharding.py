@@ -1,11 +1,12 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-n rows that lie on workers go to cells: each shard's rows are cut into blocks of about BLOCK rows, and every cell's
-size is fixed beforehand (shards differ by one row at most). How many rows worker i sends to each cell is row i of a
-matrix with given row and column sums, drawn from the exact multivariate hypergeometric law. No one holds the matrix:
-a worker finds its own row by walking down a binary tree over the workers, drawing at each node, from a generator
-seeded by that node, how the node's cells divide between its halves. Then it permutes its rows' labels, rows are
-exchanged by cell, and each cell is permuted again. So every order of all rows is equally likely, for the seed.
+n rows that lie on workers go to shards whose sizes are fixed beforehand (they differ by one row at most). How many rows
+worker i sends to each shard is row i of a matrix with given row and column sums, drawn from the exact multivariate
+hypergeometric law. No one holds the matrix: a worker finds its own row by walking down a binary tree over the workers,
+drawing at each node, from a generator seeded by that node, how the node's shards divide between its halves; that is
+shards x log(workers) draws. Then it permutes its rows' labels, rows are exchanged, and each shard is permuted again: a
+hash of a row's place deals it to one of the shard's blocks of about BLOCK rows and orders it there; slots count on over
+the blocks by a small table of their sizes. So every order of all rows is equally likely, for the seed.
 
 Workers are the tasks that first wrote the rows; their number and each row's place in them are written with the rows,
 so a repeated task repeats the same decisions.
@@ -16,17 +17,14 @@ give no rows; input columns named shard or slot are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .storage import bucket_count, written
+from .storage import bucket_count, join_small, written
 
 SHARDS, BLOCK, SEED = 16, 20_000, 11
 
@@ -72,56 +70,50 @@ def matrix_row(worker: int, counts: np.ndarray, cells: np.ndarray, seed: int) ->
     return cells
 
 
-def cell_sizes(rows: int, shards: int, blocks: int) -> np.ndarray:
-    """Sizes of the cells (shard by shard): shards differ by one row at most, and so do a shard's blocks."""
-    each = rows // shards + (np.arange(shards) < rows % shards)
-    return (each[:, None] // blocks + (np.arange(blocks)[None, :] < (each % blocks)[:, None])).ravel()
+def shard_sizes(rows: int, shards: int) -> np.ndarray:
+    """Sizes of the shards, one row apart at most."""
+    return rows // shards + (np.arange(shards) < rows % shards)
 
 
-def _number_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker, seen = TaskContext.get().partitionId(), 0
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, worker, np.int32)), pa.array(np.arange(seen, seen + b.num_rows))], names=[*b.schema.names, "__worker", "__nth"])
-        seen += b.num_rows
-
-
-def _label_batches(workers: list[int], counts: list[int], cells: np.ndarray, seed: int):
+def _shard_of(workers: list[int], counts: list[int], sizes: np.ndarray, seed: int):
+    """A column function of (worker, place in the worker): the shard of a row."""
     place, counts = {w: i for i, w in enumerate(workers)}, np.array(counts, np.int64)
+    dealt: dict[int, np.ndarray] = {}  # labels of the worker at hand
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, labels = None, np.zeros(0, np.int32)
-        for b in batches:
-            worker, nth = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("__worker", "__nth"))
-            cell = np.zeros(b.num_rows, np.int32)
-            for w in np.unique(worker):
-                if w != now:
-                    i = place[int(w)]
-                    labels = np.repeat(np.arange(len(cells), dtype=np.int32), matrix_row(i, counts, cells, seed))
-                    np.random.Generator(np.random.PCG64([seed, i, 1 << 20])).shuffle(labels)
-                    now = w
-                mine = worker == w
-                cell[mine] = labels[nth[mine]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "__cell"])
+    @F.arrow_udf("int")
+    def shard(worker: pa.Array, nth: pa.Array) -> pa.Array:
+        worker, nth = worker.to_numpy(zero_copy_only=False), nth.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(worker), np.int32)
+        for w in np.unique(worker).tolist():
+            if w not in dealt:
+                dealt.clear()
+                labels = np.repeat(np.arange(len(sizes), dtype=np.int32), matrix_row(place[w], counts, sizes, seed))
+                np.random.Generator(np.random.PCG64([seed, place[w], 1 << 20])).shuffle(labels)
+                dealt[w] = labels
+            mine = worker == w
+            out[mine] = dealt[w][nth[mine]]
+        return pa.array(out)
 
-    return run
+    return shard
 
 
 def shard_rows(df: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """df with shard and slot; slots of a shard are 0 to its size less one."""
     df = df.drop("shard", "slot")
-    fields = list(df.schema.fields)
-    numbered = T.StructType([*fields, T.StructField("__worker", T.IntegerType()), T.StructField("__nth", T.LongType())])
-    table = written(df.mapInArrow(_number_batches, numbered), "rows")
-    sizes = sorted(tuple(r) for r in table.groupBy("__worker").count().collect())  # one row for each task that wrote rows
-    n = sum(c for _, c in sizes)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    table = written(df.withColumn("__worker", F.spark_partition_id()).withColumn("__nth", place), "rows")
+    counts = sorted(tuple(r) for r in table.groupBy("__worker").count().collect())  # one row for each task that wrote rows
+    n = sum(c for _, c in counts)
     blocks = bucket_count(-(-n // shards), block)
-    cells = cell_sizes(n, shards, blocks)
-    dealt = table.mapInArrow(_label_batches([w for w, _ in sizes], [c for _, c in sizes], cells, seed), T.StructType([*numbered, T.StructField("__cell", T.IntegerType())]))
-    again = Window.partitionBy("__cell").orderBy(F.xxhash64("__worker", "__nth", F.lit(seed)), "__worker", "__nth")
-    shard, in_shard = F.expr(f"__cell div {blocks}"), F.col("__cell") % blocks
-    size = F.lit(n // shards) + (shard < n % shards).cast("long")
-    start = in_shard * F.floor(size / blocks) + F.least(in_shard, size % blocks)
-    return dealt.select(*(f.name for f in fields), shard.cast("int").alias("shard"), (start + F.row_number().over(again) - 1).cast("long").alias("slot"))
+    shard = _shard_of([w for w, _ in counts], [c for _, c in counts], shard_sizes(n, shards), seed)
+    key = F.xxhash64("__worker", "__nth", F.lit(seed))
+    dealt = table.withColumn("shard", shard("__worker", "__nth")).withColumn("__key", key).withColumn("__block", F.pmod("__key", F.lit(blocks)))
+    sizes = dealt.groupBy("shard", "__block").count()
+    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = written(sizes.select("shard", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")), "starts")
+    again = Window.partitionBy("shard", "__block").orderBy("__key", "__worker", "__nth")
+    placed = join_small(dealt, starts, ["shard", "__block"], "inner", shards * blocks)
+    return placed.select(*df.columns, "shard", (F.col("__start") + F.row_number().over(again) - 1).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS) -> None:

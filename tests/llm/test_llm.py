@@ -65,6 +65,12 @@ def test_dedup_drops_rows_not_ids(spark):
     assert sorted(left, key=str) == sorted([(1, "a b"), (None, "only here"), (None, "twice"), (None, "twice"), (7, "other text")], key=str)
 
 
+def test_dedup_of_ids_far_apart(spark):
+    rows = [(-(2**63), "a  b"), (2**63 - 1, "a b"), (0, "c"), (None, "c"), (2**62, "c")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(-(2**63), -(2**63), 2), (2**63 - 1, -(2**63), 2), (0, 0, 3), (None, 0, 3), (2**62, 0, 3)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2060)] + [(5, 5), (None, 3)]
@@ -310,8 +316,30 @@ def test_sharding(spark, docs):
     assert not slots or max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_of_the_table(spark):
+    """Size, checksum and law of every row, shard sizes one apart, gapless slots, and an order that owes nothing to the ids."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = sharding.query(spark, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    assert all((r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "rows", None) for r in out)
+    slots = {k: sorted((r.slot, r.doc_id) for r in out if r.shard == k) for k in range(sharding.SHARDS)}
+    assert all([s for s, _ in v] == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    rising = [a < b for v in slots.values() for (_, a), (_, b) in zip(v, v[1:], strict=False)]
+    assert 0.35 < np.mean(rising) < 0.65
+
+
+def test_shards_are_uniform(spark):
+    """Over many seeds each row goes to every shard and every slot equally often."""
+    df = spark.range(0, 12, 1, 3)
+    seen = np.zeros((12, 12))
+    for seed in range(40):
+        for r in sharding.shard_rows(df, 3, block=2, seed=seed).collect():
+            seen[r.id, r.shard * 4 + r.slot] += 1
+    assert (seen.sum(0) == 40).all() and seen.max() <= 14 and abs(seen[:, :4].sum(1) - 40 / 3).max() <= 12
+
+
 def test_matrix_rows_add_up_and_are_uniform():
-    counts, cells = np.array([7, 0, 12, 5, 9]), sharding.cell_sizes(33, 4, 2)
+    counts, cells = np.array([7, 0, 12, 5, 9]), sharding.shard_sizes(33, 8)
     m = np.array([sharding.matrix_row(i, counts, cells, 3) for i in range(5)])
     assert (m.sum(1) == counts).all() and (m.sum(0) == cells).all()
     mean = np.mean([sharding.matrix_row(2, counts, cells, s) for s in range(3000)], 0)
