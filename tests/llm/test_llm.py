@@ -400,6 +400,8 @@ def test_license_scan(spark):
     words = [*license_scan.VOCABULARY, "x", "É"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 50, 400])))) for i in range(30)]
     rows += [(100, "Released under the MIT License. MIT-license; CC BY"), (101, "This work is licensed under the GNU General Public License, version 3."), (102, "GNU Lesser General Public License, licensed under the"), *AWKWARD]
+    rows += [(200 + k, f"// Copyright 2020 Somebody\n{text.upper() if k % 2 else text}\nand so on") for k, (_, text, _) in enumerate(license_scan.TEMPLATES)]
+    rows += [(300, "Permission is hereby granted, free of charge, to nobody at all"), (301, "GNU General Public License version \u212a 3")]
     docs = docs_of(spark, rows)
     out = license_scan.scan_licenses(docs).collect()
     assert len(out) == len(rows)
@@ -408,7 +410,10 @@ def test_license_scan(spark):
         got[r.text] = r
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_truth(r.text)
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert "gpl-3.0" in got[rows[31][1]].labels and "mit-grant" in got[rows[30][1]].labels and license_scan.scan_licenses(docs_of(spark, [])).count() == 0
+    for (label, text, _), (_, whole) in zip(license_scan.TEMPLATES, rows[-2 - len(license_scan.TEMPLATES) : -2], strict=True):
+        assert label in got[whole].labels.split(",") and got[whole].score >= license_scan.LEAST_SHARE, (label, text)
+    assert got[rows[-2][1]].labels == "" and "gpl-3.0" not in got[rows[-1][1]].labels
+    assert "gpl-3.0" in got[rows[31][1]].labels and license_scan.scan_licenses(docs_of(spark, [])).count() == 0
     assert [c for c in license_scan.scan_licenses(docs).columns if c == "score"] == ["score"]
 
 
