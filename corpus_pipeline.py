@@ -14,6 +14,18 @@ from corpusmill.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from corpusmill.llm.storage import shared_dir
 
 
+#: Rows that go to Python at once: a few megabytes of text, so that an executor's off-heap memory stays small.
+BATCH_ROWS = "2000"
+
+
+def small_batches(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict as toxic."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -40,11 +52,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", clean),
-    ("exact_dedup", unique),
-    ("ngram_jaccard", dissimilar),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("toxicity", small_batches(clean)),
+    ("exact_dedup", small_batches(unique)),
+    ("ngram_jaccard", small_batches(dissimilar)),
+    ("mixing", small_batches(mixed)),
+    ("packing", small_batches(packed)),
 ]
 
 #: The trained classifier of the first stage can't be put in SQL; tests hold the stages against brute force.
