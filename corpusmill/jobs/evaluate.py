@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import evaluation, retrieval
 
-WORDS = 8
 #: Words of the probe that passages and documents meet on.
 PROBE = 5
 
 
 def questions(benchmark: DataFrame) -> DataFrame:
-    """The first words of every passage as a question."""
-    return benchmark.select(F.col("item_id").alias("q_id"), retrieval.first_words(F.col("text"), WORDS).alias("text"))
+    """Every passage, all its words, as a question."""
+    return benchmark.select(F.col("item_id").alias("q_id"), F.array_join(tx.tokens(F.col("text"), False), " ").alias("text"))
 
 
 def keyword_hits(docs: DataFrame, benchmark: DataFrame, k: int, **settings) -> DataFrame:
@@ -49,5 +49,5 @@ def gold(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def run(docs: DataFrame, benchmark: DataFrame, k: int = 5) -> DataFrame:
     """hit, recall, mrr and ndcg at k for every question that has gold documents; each gold document is a one-page range."""
     hits = keyword_hits(docs, benchmark, k).select("q_id", "rank", F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
-    ranges = gold(docs, benchmark).select("q_id", F.col("doc_id").cast("int").alias("range"), F.col("doc_id").alias("start"), F.col("doc_id").alias("end"))
+    ranges = gold(docs, benchmark).select("q_id", F.col("doc_id").alias("range"), F.col("doc_id").alias("start"), F.col("doc_id").alias("end"))
     return evaluation.hit_metrics(hits, ranges, k)

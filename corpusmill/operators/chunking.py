@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-_SENTENCE = re.compile(r'(?<=[.!?])["”’)\]]*\s+(?=[A-Z“"(\[])')
 _FENCE = re.compile(r"^```\n.*?\n```$", re.DOTALL | re.MULTILINE)
+#: What may stand between a sentence's last mark and the space, and what a sentence may begin with besides A to Z.
+_CLOSERS, _OPENERS = '"”’)]', '“"(['
 
 
 def fixed_chunks(docs: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
@@ -35,60 +38,66 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _units(text: str, size: int, code_max: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) of what shouldn't be cut: short paragraphs, sentences, groups of words, short fenced code."""
-    out: list[tuple[int, int, int]] = []
-
-    def add(a: int, b: int) -> None:
-        piece = text[a:b]
-        a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
-        if a < b:
-            out.append((a, b, len(text[a:b].split())))
-
-    def prose(lo: int, hi: int) -> None:
-        edges = [lo, *(m.end() for m in re.compile(r"\n\s*\n").finditer(text, lo, hi)), hi]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if len(text[a:b].split()) <= size:
-                add(a, b)
-                continue
-            cuts = [a, *(m.end() for m in _SENTENCE.finditer(text, a, b)), b]
-            for c, d in zip(cuts, cuts[1:], strict=False):
-                spans = [m.span() for m in re.compile(r"\S+").finditer(text, c, d)]
-                for k in range(0, len(spans), size):
-                    group = spans[k : k + size]
-                    out.append((group[0][0], group[-1][1], len(group)))
-
-    at = 0
+def marked_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (start, end) of the words of a text; how strong a border stands before each: 3 an edge of fenced code, 2 a
+    blank line, 1 a sentence or a line of code, 0 none; and which words are fenced code."""
+    spans = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+    starts, n = spans[:, 0], len(spans)
+    level, fenced = np.zeros(n, np.int8), np.zeros(n, bool)
+    if not n:
+        return spans, level, fenced
+    found = [text[a:b] for a, b in spans.tolist()]
+    ends = np.array([w.rstrip(_CLOSERS)[-1:] in (".", "!", "?") for w in found])
+    opens = np.array(["A" <= w[0] <= "Z" or w[0] in _OPENERS for w in found])
+    level[1:] = ends[:-1] & opens[1:]
+    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
+    lines = np.diff(np.searchsorted(breaks, starts), prepend=0)  # how many lines begin between two words
+    level[lines >= 2] = 2
     for fence in _FENCE.finditer(text):
-        prose(at, fence.start())
-        if len(fence.group().split()) <= code_max:
-            add(*fence.span())
-        else:
-            where = fence.start()
-            for line in fence.group().split("\n"):
-                add(where, where + len(line))
-                where += len(line) + 1
-        at = fence.end()
-    prose(at, len(text))
+        lo, hi = np.searchsorted(starts, fence.span())
+        level[lo:hi], fenced[lo:hi] = lines[lo:hi] > 0, True
+        level[lo : lo + 1], level[hi : hi + 1] = 3, 3
+    return spans, level, fenced
+
+
+def _cut(at: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """lo to hi in parts that begin where a flag is set."""
+    edges = [lo, *(np.flatnonzero(at[lo + 1 : hi]) + lo + 1).tolist(), hi]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def unit_words(level: np.ndarray, fenced: np.ndarray, size: int, code_max: int) -> list[tuple[int, int]]:
+    """Runs of words that shouldn't be cut: paragraphs of at most `size` words, else their sentences, else groups of words;
+    fenced code of at most `code_max` words, else its lines."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in _cut(level >= 2, 0, len(level)) if len(level) else ():
+        if hi - lo <= (code_max if fenced[lo] else size):
+            out.append((lo, hi))
+            continue
+        for a, b in _cut(level >= 1, lo, hi):
+            step = b - a if fenced[lo] else size
+            out += [(k, min(k + step, b)) for k in range(a, b, step)]
     return out
 
 
-def pack_units(units: list[tuple[int, int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of consecutive units of at most `size` words; up to `overlap` words come again in the next; a larger unit stands alone."""
-    spans, i = [], 0
-    while i < len(units):
-        total, j = units[i][2], i + 1
-        while j < len(units) and total + units[j][2] <= size:
-            total, j = total + units[j][2], j + 1
-        spans.append((units[i][0], units[j - 1][1]))
-        if j == len(units):
-            break
-        back, again = j, 0
-        while back - 1 > i and again + units[back - 1][2] <= overlap:
-            back -= 1
-            again += units[back][2]
-        i = back
-    return spans
+def pack_units(sizes: list[int] | np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Runs (first unit, last unit + 1) of at most `size` words, found on the running total of words; up to `overlap` words
+    come again in the next run; a larger unit stands alone."""
+    total = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    runs, at = [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        runs.append((at, to))
+        at = len(sizes) if to == len(sizes) else max(at + 1, int(np.searchsorted(total, total[to] - overlap)))
+    return runs
+
+
+def _spans_of(text: str, size: int, overlap: int, code_max: int) -> list[tuple[int, int]]:
+    """Places of the packed chunks of a text."""
+    spans, level, fenced = marked_words(text)
+    units = unit_words(level, fenced, size, code_max)
+    runs = pack_units([b - a for a, b in units], size, overlap)
+    return [(int(spans[units[i][0], 0]), int(spans[units[j - 1][1] - 1, 1])) for i, j in runs]
 
 
 def recursive_chunks(docs: DataFrame, size: int = 200, overlap: int = 40, code_max: int = 400) -> DataFrame:
@@ -98,7 +107,7 @@ def recursive_chunks(docs: DataFrame, size: int = 200, overlap: int = 40, code_m
         for f in frames:
             rows = []
             for d, t in zip(f["doc_id"], f["text"], strict=True):
-                rows += [(d, i, a, b, t[a:b]) for i, (a, b) in enumerate(pack_units(_units(t or "", size, code_max), size, overlap))]
+                rows += [(d, i, a, b, t[a:b]) for i, (a, b) in enumerate(_spans_of(t or "", size, overlap, code_max))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "end", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, start int, end int, text string")
@@ -109,7 +118,10 @@ def sentence_units(docs: DataFrame, size: int = 200, code_max: int = 400) -> Dat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, i, *u) for d, t in zip(f["doc_id"], f["text"], strict=True) for i, u in enumerate(_units(t or "", size, code_max))]
+            rows = []
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                spans, level, fenced = marked_words(t or "")
+                rows += [(d, i, spans[a, 0], spans[b - 1, 1], b - a) for i, (a, b) in enumerate(unit_words(level, fenced, size, code_max))]
             yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "end", "n_words"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, unit int, start int, end int, n_words int")
@@ -152,17 +164,74 @@ def heading_chunks(pages: DataFrame, most: int = 300, stub: int = 60) -> DataFra
                         first = merged.pop()
                         level, path, body = first[0], first[1] or path, f"{first[2]}\n\n{body}".strip()
                     merged.append((level, path, body))
-                cuts = [(path, body[a:b]) for _, path, body in merged for a, b in pack_units(_units(body, most, most), most, 0)]
+                cuts = [(path, body[a:b]) for _, path, body in merged for a, b in _spans_of(body, most, 0, most)]
                 rows += [(page, i, path, len(text.split()), text) for i, (path, text) in enumerate(cuts)]
             yield pd.DataFrame(rows, columns=["page_id", "chunk", "section", "n_words", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, chunk int, section string, n_words int, text string")
 
 
-def parent_child_chunks(docs: DataFrame, parent_size: int = 600, child_size: int = 100, overlap: int = 20) -> DataFrame:
-    """Small chunks for search inside large ones for reading: (doc_id, parent, chunk, text)."""
-    parents = recursive_chunks(docs, parent_size, 0).select((F.col("doc_id") * 1_000_000 + F.col("chunk")).alias("doc_id"), "text")
-    return recursive_chunks(parents, child_size, overlap).select(F.floor(F.col("doc_id") / 1_000_000).alias("doc_id"), (F.col("doc_id") % 1_000_000).cast("int").alias("parent"), "chunk", "text")
+def parent_child_chunks(docs: DataFrame, parent_size: int = 600, child_size: int = 100, overlap: int = 20, code_max: int = 400) -> DataFrame:
+    """Small chunks for search inside large ones for reading: (doc_id, parent, chunk, start, end, parent_start, parent_end, text).
+
+    Places count from the start of the document; a child never leaves its parent.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                for p, (lo, hi) in enumerate(_spans_of(t or "", parent_size, 0, code_max)):
+                    rows += [(d, p, i, lo + a, lo + b, lo, hi, t[lo + a : lo + b]) for i, (a, b) in enumerate(_spans_of(t[lo:hi], child_size, overlap, code_max))]
+            yield pd.DataFrame(rows, columns=["doc_id", "parent", "chunk", "start", "end", "parent_start", "parent_end", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, parent int, chunk int, start int, end int, parent_start int, parent_end int, text string")
+
+
+#: Buckets of the hashing embedder.
+DIMENSIONS = 256
+
+
+def hashed_vectors(texts: list[str], dim: int = DIMENSIONS) -> np.ndarray:
+    """Unit vectors of word counts by crc32 bucket; a text without words is the zero vector."""
+    out = np.zeros((len(texts), dim))
+    for i, t in enumerate(texts):
+        np.add.at(out[i], [zlib.crc32(w.encode()) % dim for w in re.findall("[a-z0-9]+", t.lower())], 1)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm == 0, 1, norm)
+
+
+def semantic_chunks(docs: DataFrame, percentile: float = 0.85, least: int = 80, most: int = 300, code_max: int = 400, embed=hashed_vectors) -> DataFrame:
+    """Chunks that begin where neighbouring sentences differ: (doc_id, chunk, start, end, n_words, text).
+
+    A border is a distance (1 - dot product, 6 decimals) above the document's `percentile` of them. A chunk ends at a border
+    once it has `least` words, and in any case before it would pass `most`. A sentence is never cut; code is as in `units`.
+    """
+
+    def spans_of(text: str) -> list[tuple[int, int, int]]:
+        spans, level, fenced = marked_words(text)
+        units = [u for lo, hi in (_cut(level >= 2, 0, len(level)) if len(level) else ()) for u in ([(lo, hi)] if fenced[lo] and hi - lo <= code_max else _cut(level >= 1, lo, hi))]
+        if not units:
+            return []
+        vectors = embed([text[spans[a, 0] : spans[b - 1, 1]] for a, b in units])
+        far = np.round(1 - (vectors[:-1] * vectors[1:]).sum(1), 6)
+        border = np.concatenate([[False], far > (np.quantile(far, percentile) + 1e-9 if len(far) else 0)])
+        total = [0, *np.cumsum([b - a for a, b in units]).tolist()]
+        heads = [0]
+        for i in range(1, len(units)):
+            if total[i + 1] - total[heads[-1]] > most or (border[i] and total[i] - total[heads[-1]] >= least):
+                heads.append(i)
+        ends = [*heads[1:], len(units)]
+        return [(int(spans[units[i][0], 0]), int(spans[units[j - 1][1] - 1, 1]), total[j] - total[i]) for i, j in zip(heads, ends, strict=True)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                rows += [(d, i, a, b, n, t[a:b]) for i, (a, b, n) in enumerate(spans_of(t or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "end", "n_words", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, start int, end int, n_words int, text string")
 
 
 #: Ids in one block: what a window over a large group sorts at once.

@@ -15,8 +15,8 @@ def hit_metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     found = hits.join(gold, "q_id").where("page_start <= end AND page_end >= start")
     first = found.groupBy("q_id", "range").agg(F.min("rank").alias("rank"))
     per = first.groupBy("q_id").agg(F.min("rank").alias("best"), F.count_if(F.col("rank") <= k).alias("covered"))
-    order = F.sort_array(F.collect_list(F.struct("rank", "range")))
-    credit = F.expr("aggregate(pairs, cast(array() AS array<struct<rank:int,range:int>>), (acc, p) -> if(exists(acc, a -> a.rank = p.rank OR a.range = p.range), acc, concat(acc, array(p))))")
+    order = F.sort_array(F.collect_list(F.struct("rank", F.col("range").cast("long").alias("range"))))
+    credit = F.expr("aggregate(pairs, cast(array() AS array<struct<rank:int,range:bigint>>), (acc, p) -> if(exists(acc, a -> a.rank = p.rank OR a.range = p.range), acc, concat(acc, array(p))))")
     dcg = found.where(F.col("rank") <= k).groupBy("q_id").agg(order.alias("pairs")).select("q_id", F.aggregate(credit, F.lit(0.0), lambda s, p: s + 1 / F.log2(p["rank"] + F.lit(1.0))).alias("dcg"))
     n = gold.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
@@ -112,10 +112,10 @@ def paired(arms: DataFrame) -> DataFrame:
     both = arms.where("arm = 'on'").select("item", F.col("hit").alias("a")).join(arms.where("arm = 'off'").select("item", F.col("hit").alias("b")), "item")
     counts = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"), F.count_if(F.col("a") == F.col("b")).alias("ties"))
     d = F.expr("cast(wins + losses AS int)")
-    # C(d, k) / 2^d through running log sums, so that no factorial overflows
-    log_fact = "aggregate(sequence(1, greatest(1, {n})), 0D, (s, i) -> s + ln(i))"
-    term = f"exp({log_fact.format(n='d')} - if(k > 0, {log_fact.format(n='k')}, 0D) - if(d - k > 0, {log_fact.format(n='d - k')}, 0D) - d * ln(2D))"
-    p = F.expr(f"if(d = 0, 1D, aggregate(sequence(cast(wins AS int), d), 0D, (s, k) -> s + {term}))")
+    # ln of C(d, wins) / 2^d, then each further term by the ratio (d - k) / (k + 1): time grows with d, and no factorial overflows
+    first = "aggregate(if(wins > 0, sequence(1, cast(wins AS int)), array()), 0D, (s, i) -> s + ln((d - wins + i) / i)) - d * ln(2D)"
+    terms = f"aggregate(sequence(cast(wins AS int), d), named_struct('t', {first}, 's', 0D), (a, k) -> named_struct('t', if(k < d, a.t + ln((d - k) / (k + 1)), a.t), 's', a.s + exp(a.t)), a -> a.s)"
+    p = F.expr(f"if(d = 0, 1D, {terms})")
     return counts.withColumn("d", d).select("n", "wins", "losses", "ties", F.round(100.0 * (F.col("wins") - F.col("losses")) / F.col("n"), 4).alias("gain"), F.round(F.greatest(F.lit(8.0), 300.0 / F.col("n")), 4).alias("band"), F.round(p, 6).alias("sign_p"))
 
 

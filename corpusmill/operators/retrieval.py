@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -31,24 +31,45 @@ def lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, F.size(tx.tokens(F.col(text))).cast("long").alias("len"))
 
 
+#: Stands in every document, so that one aggregate gives both the documents of each term and those of the scope.
+_EVERY = "\0"
+
+
+def term_statistics(docs: DataFrame, wanted: DataFrame, by: list[str], text: str = "text", stem: bool = False) -> DataFrame:
+    """(by, term, df, n, avg_len) for the terms of wanted(term): documents that have each, all documents and their mean
+    length, within each scope. One pass over the texts; what it leaves is one row for each wanted term and scope."""
+    sized = docs.select(*by, tx.tokens(F.col(text)).alias("ts"))
+    seen = sized.select(*by, F.size("ts").cast("long").alias("len"), F.explode(F.array_distinct(F.concat("ts", F.array(F.lit(_EVERY))))).alias("term"))
+    if stem:
+        raise ValueError("stems are counted from their postings")
+    kept = seen.join(F.broadcast(wanted.union(wanted.sparkSession.createDataFrame([(_EVERY,)], "term string"))), "term", "left_semi")  # the words of a stated set of questions
+    counts = kept.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"), F.avg(F.when(F.col("term") == _EVERY, F.col("len"))).alias("avg"))
+    scope = Window.partitionBy(*by)  # one row for each wanted term
+    every = F.col("term") == _EVERY
+    filled = counts.withColumn("n", F.max(F.when(every, F.col("df"))).over(scope)).withColumn("avg_len", F.max("avg").over(scope))
+    return filled.where(~every).drop("avg")
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int, scope: str | None = None, stem: bool = False) -> DataFrame:
     """Top k documents (q_id, doc_id, score, rank) for questions(q_id, text).
 
-    Only terms that a question has survive the join below the aggregation. N, document frequencies and the mean length
-    are those of the scope (a column of docs, such as an owner), if one is given: then each scope ranks its own.
+    Texts are read twice: for the statistics of the questions' terms, and for their postings; only terms that a question
+    has survive the join below the aggregation. N, document frequencies and the mean length are those of the scope (a
+    column of docs, such as an owner), if one is given: then each scope ranks its own.
     """
     by = [scope] if scope else []
     asked = postings(questions, ["q_id"], stem=stem).select("q_id", "term")
-    sized = docs.select("doc_id", *by, *(["text"] if stem else []), tx.tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts").cast("long"))
     keys, wanted = ["doc_id", *by, "len"], asked.select("term").distinct()  # the length rides along, so postings never meet their documents again
+    sized = docs.select("doc_id", *by, *(["text"] if stem else []), tx.tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts").cast("long"))
     if stem:
         found = postings(sized, keys, stem=True).join(wanted, "term", "left_semi")
+        stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        df = found.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+        terms = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without a scope
     else:
         found = sized.select(*keys, F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    df = found.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(df, "term").join(found, ["term", *by])
-    rows = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))  # one row without a scope
+        terms = term_statistics(docs, wanted, by)
+    rows = asked.join(terms, "term").join(found, ["term", *by])
     idf = F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))
     scores = rows.groupBy("q_id", *by, "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
@@ -123,13 +144,14 @@ def weighted(lists: list[DataFrame], weights: tuple[float, ...]) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order)).select("q_id", "doc_id", "score", "rank")
 
 
-def overlap_rerank(hits: DataFrame, questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Ranks hits anew by how many distinct words they share with the question; ties keep the earlier rank."""
+def overlap_rerank(hits: DataFrame, questions: DataFrame, docs: DataFrame, k: int | None) -> DataFrame:
+    """Ranks hits anew by how many distinct words they share with the question; ties keep the earlier rank. k None keeps all,
+    with the earlier rank as `before`."""
     words = lambda c: F.split(F.trim(F.lower(c)), r"[\x20\x09-\x0D]+")
     rows = hits.select("q_id", "doc_id", F.col("rank").alias("before")).join(questions.select("q_id", F.col("text").alias("q")), "q_id").join(docs.select("doc_id", "text"), "doc_id")
     scored = rows.select("q_id", "doc_id", "before", F.size(F.array_intersect(words(F.col("q")), words(F.col("text")))).alias("score"))
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "before")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "doc_id", "score", "rank")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "before")))
+    return ranked.select("q_id", "doc_id", "before", "score", "rank") if k is None else ranked.where(F.col("rank") <= k).select("q_id", "doc_id", "score", "rank")
 
 
 def cap_per_source(hits: DataFrame, cap: int) -> DataFrame:
@@ -138,39 +160,50 @@ def cap_per_source(hits: DataFrame, cap: int) -> DataFrame:
     return hits.withColumn("nth", F.row_number().over(seen)).where(F.col("nth") <= cap).drop("nth")
 
 
-def select_context(hits: DataFrame, top_k: int = 5, max_words: int = 1500, overlap: float = 0.5, per_source: int = 2) -> DataFrame:
-    """hits(q_id, rank, chunk_id, source, start, end, text) -> the passages for the prompt (q_id, chunk_id, position).
+def with_parents(hits: DataFrame, children: DataFrame) -> DataFrame:
+    """hits(q_id, rank, chunk_id) with the chunk's parent in its place, where children(chunk_id, parent_id) names one; the
+    best hit of a parent speaks for it."""
+    found = hits.select("q_id", "rank", "chunk_id").join(children.select("chunk_id", "parent_id"), "chunk_id", "left")
+    return found.groupBy("q_id", F.coalesce("parent_id", "chunk_id").alias("chunk_id")).agg(F.min("rank").alias("rank"))
+
+
+#: Why a passage is passed over, in the order of the tests.
+PASSED = ("repeated", "flagged", "overlap", "copy", "source cap", "word budget", "enough")
+_CHOSEN = "struct<chunk_id:bigint,source:string,doc:bigint,start:bigint,end:bigint,copy:string>"
 
-    In rank order, a passage is passed over if it is chosen already, matches a scan rule, overlaps a chosen passage of
-    its source, copies a chosen text, exceeds its source's cap or the word budget (the first passage always fits).
-    Scans, words and copy keys are columns; only the ordered choice among a question's few hits is a Python fold.
+
+def chosen_context(hits: DataFrame, chunks: DataFrame, top_k: int = 5, max_words: int = 1500, overlap: float = 0.5, per_source: int = 2) -> DataFrame:
+    """hits(q_id, rank, chunk_id), chunks(chunk_id, source, doc, start, end, text) -> (q_id, chunk_id, rank, rules, position,
+    passed): every hit with its place in the prompt, or why it has none (PASSED).
+
+    In rank order, a passage is passed over if it is chosen already, matches a scan rule (`rules` names them), overlaps a
+    chosen passage of its document by `overlap` of the shorter one, copies a chosen text, exceeds its source's cap (0: none)
+    or the word budget (the first passage always fits), or once top_k are chosen. Each chunk hit is scanned once, whatever
+    the number of questions that hit it; the ordered choice is a fold over a question's hits.
     """
-    ready = hits.select(
-        "q_id", "rank", "chunk_id", "source", "start", "end", (F.size(tx.scan(F.col("text"))) > 0).alias("flagged"), tx.word_count(F.col("text")).alias("words"),
-        F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256).alias("copy"),
+    wanted = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    ready = wanted.select(
+        "chunk_id", "source", "doc", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), tx.scan(F.col("text")).alias("rules"), tx.word_count(F.col("text")).alias("words"),
+        F.sha2(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))), 256).alias("copy"),
     )
-
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        words = 0
-        for r in f.sort_values("rank").itertuples():
-            same = [c for c in kept if c.source == r.source]
-            shared = any(max(0, min(r.end, c.end) - max(r.start, c.start)) / max(1, min(r.end - r.start, c.end - c.start)) >= overlap for c in same)
-            if r.flagged or shared or any(c.chunk_id == r.chunk_id or c.copy == r.copy for c in kept):
-                continue
-            if (per_source and len(same) >= per_source) or (kept and words + r.words > max_words):
-                continue
-            kept.append(r)
-            words += r.words
-            if len(kept) == top_k:
-                break
-        return pd.DataFrame({"q_id": [r.q_id for r in kept], "chunk_id": [r.chunk_id for r in kept], "position": range(1, len(kept) + 1)})
-
-    return ready.groupBy("q_id").applyInPandas(choose, "q_id long, chunk_id long, position int")
-
-
-def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(tx.tokens(text, False), 1, n), " ")
+    rows = hits.select("q_id", "rank", "chunk_id").join(ready, "chunk_id")
+    ordered = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "source", "doc", "start", "end", "rules", "words", "copy"))).alias("hits"))
+    shared = "greatest(0L, least(x.end, c.end) - greatest(x.start, c.start)) / greatest(1L, least(x.end - x.start, c.end - c.start))"
+    test = f"""CASE WHEN exists(a.kept, c -> c.chunk_id = x.chunk_id) THEN 1 WHEN size(x.rules) > 0 THEN 2 WHEN exists(a.kept, c -> c.doc <=> x.doc AND {shared} >= {overlap}D) THEN 3
+        WHEN exists(a.kept, c -> c.copy = x.copy) THEN 4 WHEN {per_source} > 0 AND size(filter(a.kept, c -> c.source = x.source)) >= {per_source} THEN 5
+        WHEN size(a.kept) > 0 AND a.words + x.words > {max_words} THEN 6 WHEN size(a.kept) >= {top_k} THEN 7 ELSE 0 END"""
+    kept = "array(named_struct('chunk_id', x.chunk_id, 'source', x.source, 'doc', x.doc, 'start', x.start, 'end', x.end, 'copy', x.copy))"
+    step = f"""element_at(transform(array({test}), w -> named_struct('kept', if(w = 0, concat(a.kept, {kept}), a.kept), 'words', a.words + if(w = 0, x.words, 0), 'why', concat(a.why, array(w)))), 1)"""
+    start = f"named_struct('kept', cast(array() AS array<{_CHOSEN}>), 'words', 0, 'why', cast(array() AS array<int>))"
+    done = ordered.withColumn("done", F.expr(f"aggregate(hits, {start}, (a, x) -> {step})"))
+    each = done.select("q_id", F.posexplode("hits").alias("i", "x"), F.col("done.why").alias("why"))
+    nth = F.expr("if(why[i] = 0, size(filter(slice(why, 1, i + 1), w -> w = 0)), NULL)")
+    return each.select("q_id", "x.chunk_id", "x.rank", "x.rules", nth.alias("position"), F.expr(f"if(why[i] > 0, array({', '.join(repr(w) for w in PASSED)})[why[i] - 1], NULL)").alias("passed"))
+
+
+def select_context(hits: DataFrame, chunks: DataFrame, **limits) -> DataFrame:
+    """The passages for the prompt: (q_id, chunk_id, position). See `chosen_context`."""
+    return chosen_context(hits, chunks, **limits).where("position IS NOT NULL").select("q_id", "chunk_id", "position")
 
 
 def find_terms(docs: DataFrame, terms: list[str], most: int, around: int = 30) -> DataFrame:
