@@ -103,8 +103,7 @@ def dense_topk(spark, sf_dir):
 
 @query()
 def hash_embed(spark, sf_dir):
-    words = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("doc_id", (F.crc32(F.encode("w", "utf-8")) % 256).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = retrieval.hashed_counts(t(spark, sf_dir, "documents"))
     norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
     return norms.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float")).alias("embedding"))
 
@@ -350,11 +349,6 @@ def rewrite_gate(spark, sf_dir):
     return conversations.gate(t(spark, sf_dir, "conversations"))
 
 
-@query()
-def history_block(spark, sf_dir):
-    return conversations.history_block(t(spark, sf_dir, "conversations"))
-
-
 @query(r"""SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda n: replace(n, ',', '')))) AS numbers FROM conversations""")
 def numbers(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.numbers(F.col("text")).alias("numbers"))
@@ -566,7 +560,7 @@ SELECT conv_id, turn, checked AND list_has_any({_NEW.format(a='r', b='m')}, {_NE
 def topic_leak(spark, sf_dir):
     """Answers stand for rewrites, and the question before for the history."""
     pairs = conversations.pairs(t(spark, sf_dir, "conversations"))
-    rows = pairs.withColumn("history", F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))).where("answer IS NOT NULL AND history IS NOT NULL")
+    rows = conversations.with_next(pairs, {"history": "question"}, back=True).where("answer IS NOT NULL AND history IS NOT NULL")
     return conversations.topic_leaks(rows.select("conv_id", "turn", F.col("question").alias("message"), F.col("answer").alias("rewrite"), "history")).select("conv_id", "turn", "leaked")
 
 
@@ -668,13 +662,15 @@ def doc_names(spark, sf_dir):
     return store.numbered(named, "source", "doc_id").where("nth <= 8").select("source", "doc_id", "name", F.col("nth").cast("long").alias("nth"))
 
 
-@query(r"""SELECT doc_id, '=== PAGE ' || (doc_id + 1) || ' (' || CASE WHEN doc_id + 1 > 20 THEN 'printed ' || (doc_id + 1 - 20) ELSE 'front matter' END || ') ===' AS header, length(text)::BIGINT AS n_chars
+@query(r"""SELECT doc_id, '=== PAGE ' || (doc_id + 1) || ' (' || CASE WHEN doc_id + 1 > 20 THEN 'printed ' || (doc_id + 1 - 20) ELSE 'front matter' END || ') ===' AS header,
+sha256('=== PAGE ' || (doc_id + 1) || ' (' || CASE WHEN doc_id + 1 > 20 THEN 'printed ' || (doc_id + 1 - 20) ELSE 'front matter' END || ') ===' || chr(10) || text) AS page_sha256, length(text)::BIGINT AS n_chars
 FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]')""")
 def page_export(spark, sf_dir):
-    """Headers of the pages of a plain-text export; blank pages have none."""
+    """The pages of a plain-text export under their headers; blank pages have none."""
     page = F.col("doc_id") + 1
     header = F.concat(F.lit("=== PAGE "), page, F.lit(" ("), tx.page_label(page, 20), F.lit(") ==="))
-    return t(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", header.alias("header"), F.length("text").cast("long").alias("n_chars"))
+    rows = t(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", header.alias("header"))
+    return rows.select("doc_id", "header", F.sha2(F.concat("header", F.lit("\n"), "text"), 256).alias("page_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("SELECT source, count(*) AS n, CASE WHEN count(DISTINCT lang) > 1 THEN 'mixed' ELSE min(lang) END AS lang FROM documents GROUP BY source")
@@ -760,3 +756,6 @@ def bulk_batches(spark, sf_dir):
 
 def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")
+
+
+from . import catalog_pages, catalog_turns  # noqa: E402, F401  register their queries here

@@ -206,6 +206,12 @@ def select_context(hits: DataFrame, chunks: DataFrame, **limits) -> DataFrame:
     return chosen_context(hits, chunks, **limits).where("position IS NOT NULL").select("q_id", "chunk_id", "position")
 
 
+def hashed_counts(docs: DataFrame, dimensions: int = 256) -> DataFrame:
+    """(doc_id, bucket, n): words of a-z and 0-9 counted by crc32, as the hashing embedder does before it scales them."""
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    return words.groupBy("doc_id", (F.crc32(F.encode("w", "utf-8")) % dimensions).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def find_terms(docs: DataFrame, terms: list[str], most: int, around: int = 30) -> DataFrame:
     """(term, doc_id, place, snippet, nth): the first `most` documents, by id, that hold a term, case aside.
 

@@ -53,6 +53,16 @@ def reply_keys(calls: DataFrame, model: str, system: str, max_tokens: int, text:
     return calls.withColumn("cache_key", F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 
+def json_reply_keys(calls: DataFrame, parts: list[Column]) -> DataFrame:
+    """calls with cache_key: the sha256 of the parts (strings, none null) as a JSON array, so no part can run into the next."""
+    return calls.withColumn("cache_key", F.sha2(F.to_json(F.array(*parts)), 256))
+
+
+def cached_replies(calls: DataFrame, cache: DataFrame) -> DataFrame:
+    """calls with the reply that cache(cache_key, reply) has, or null."""
+    return calls.join(cache.select("cache_key", "reply"), "cache_key", "left")
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
     """The first document of each text, case and spaces aside, with its number of copies."""
     key = F.sha2(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))), 256)
