@@ -410,7 +410,7 @@ def event_windows(spark, sf_dir):
 g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
-    out = windows.sessions(windows.timed(t(spark, sf_dir, "events")))
+    out = windows.batch_sessions(windows.timed(t(spark, sf_dir, "events")))
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
 
 
@@ -758,4 +758,4 @@ def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")
 
 
-from . import catalog_pages, catalog_turns  # noqa: E402, F401  register their queries here
+from . import catalog_pages, catalog_reports, catalog_turns  # noqa: E402, F401  register their queries here
