@@ -6,8 +6,9 @@ before the shuffle, and a join on the table of cells, so any number of categorie
 document's probability is its cell's raked weight over its tokens, divided by the highest such ratio, so none exceeds 1
 and the expected mix is the target. A hash of the id draws.
 
-Default targets temper the natural shares: share^ALPHA, normalised. The SQL counts categories under LEAST_SHARE of the
-tokens as one, "other"; the operator doesn't, so the two agree where no category is that small.
+Default targets temper the natural shares: share^ALPHA, normalised. After the sweeps the largest gap between a category's
+share and its target is measured; over WIDE_GAP it is told as a warning, since such targets can't be met together (a
+category that isn't there, or combinations that don't occur).
 
 Defined results: null source or lang is the category "unknown"; null or empty text has no tokens (its cell's
 probability still holds; a cell without any tokens has probability 1); rows that share an id share the draw; a null id
@@ -16,12 +17,14 @@ is drawn by its text; an empty table gives no rows; input columns named as the o
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import join_small, written
 
-ALPHA, LEAST_SHARE, SWEEPS, SEED = 0.85, 0.005, 10, "mix"
+ALPHA, SWEEPS, SEED, WIDE_GAP = 0.85, 10, "mix", 0.01
 DIMENSIONS = ("source", "lang", "topic")
 _WORD = r"[^\x20\x09-\x0D]+"
 #: What a text shows, tested in this order.
@@ -43,6 +46,16 @@ def _shares(cells: DataFrame, key: str, alpha: float) -> DataFrame:
     return powers.withColumn("t", F.col("t") / F.lit(total))
 
 
+def largest_gap(cells: DataFrame, wanted: dict[str, DataFrame]) -> float:
+    """The largest difference between a category's share of the weights and its target, 0 without weights."""
+    total = cells.agg(F.sum("w")).first()[0] or 0.0
+    gaps = [0.0]
+    for key, targets in wanted.items():
+        sums = cells.groupBy(key).agg(F.sum("w").alias("s")).join(targets, key, "full")
+        gaps.append(sums.agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) / F.lit(total or 1.0) - F.coalesce("t", F.lit(0.0))))).first()[0] or 0.0)
+    return max(gaps) if total else 0.0
+
+
 def rates(docs: DataFrame, alpha: float = ALPHA, sweeps: int = SWEEPS, targets: DataFrame | None = None) -> DataFrame:
     """Cells with their probability.
 
@@ -62,6 +75,9 @@ def rates(docs: DataFrame, alpha: float = ALPHA, sweeps: int = SWEEPS, targets:
             sums = cells.groupBy(k).agg(F.sum("w").alias("s")).join(wanted[k], k, "left")
             scaled = F.when(F.col("w") > 0, F.col("w") * F.coalesce("t", F.lit(0.0)) / F.col("s")).otherwise(F.lit(0.0))
             cells = written(join_small(cells, sums, k, "inner", n).select(*keys, "tokens", scaled.alias("w")), "cells")
+    gap = largest_gap(cells, wanted)
+    if gap > WIDE_GAP:
+        warnings.warn(f"the targets can't be met together: a category's share is {gap:.3f} off its target", stacklevel=3)
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     most = cells.agg(F.max(ratio)).first()[0] or None
     return cells.select(*keys, F.coalesce(F.round(ratio / F.lit(most).cast("double"), 9), F.lit(1.0)).alias("probability"))
@@ -85,9 +101,7 @@ def _oracle() -> str:
     topic = TOPIC.format(digit="regexp_matches(text, '[0-9]')")
     sql = [
         rf"d AS (SELECT doc_id, coalesce(source, 'unknown') AS s0, coalesce(lang, 'unknown') AS l0, {topic} AS topic, text, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::DOUBLE AS tokens FROM documents)",
-        f"s AS (SELECT s0 FROM d GROUP BY s0 HAVING sum(tokens) >= {LEAST_SHARE}e0 * (SELECT sum(tokens) FROM d))",
-        f"l AS (SELECT l0 FROM d GROUP BY l0 HAVING sum(tokens) >= {LEAST_SHARE}e0 * (SELECT sum(tokens) FROM d))",
-        "e AS MATERIALIZED (SELECT *, CASE WHEN s0 IN (SELECT s0 FROM s) THEN s0 ELSE 'other' END AS source, CASE WHEN l0 IN (SELECT l0 FROM l) THEN l0 ELSE 'other' END AS lang FROM d)",
+        "e AS MATERIALIZED (SELECT *, s0 AS source, l0 AS lang FROM d)",
         "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens, sum(tokens) AS w FROM e GROUP BY ALL)",
     ]
     for d in DIMENSIONS:

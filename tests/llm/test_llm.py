@@ -389,6 +389,13 @@ def test_mixing_folds_no_small_source(spark):
     assert {r.source for r in out.where("probability > 0").collect()} == {"site1", "site2"}
 
 
+def test_mixing_tells_targets_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(i, "word " * 10, "en" if i % 2 else "fr", "a" if i % 2 else "b") for i in range(40)], "doc_id long, text string, lang string, source string")
+    wanted = [("source", "a", 0.9), ("source", "b", 0.1), ("lang", "en", 0.1), ("lang", "fr", 0.9), ("topic", "prose", 1.0)]
+    with pytest.warns(UserWarning, match="met together"):
+        mixing.mix_documents(docs, targets=spark.createDataFrame(wanted, "dimension string, category string, weight double"))
+
+
 def base_truth(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     found = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
