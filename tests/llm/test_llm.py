@@ -460,6 +460,19 @@ def test_pipeline(spark):
     check_pieces(spark, rows, corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
 
 
+def test_pipeline_run_awkward(spark, docs, tmp_path):
+    """Null, empty, repeated and very long texts from the tables to pieces: of copies only the first id is left, and every
+    document that is left is whole."""
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {1, 4, 6, 8, 9} and bool(out) == bool(docs.count())
+    for i in {r.doc_id for r in out} - {4}:
+        assert sum(r.length for r in out if r.doc_id == i) == next(r.doc_tokens for r in out if r.doc_id == i)
+
+
 def test_pipeline_stages_awkward(spark, docs):
     import corpus_pipeline
 
