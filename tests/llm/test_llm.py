@@ -104,7 +104,7 @@ def test_ngram_join_brute_force(spark, block):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(x if rng.random() > 0.012 else f"q{rng.randint(0, 30)}" for x in base)) for i in range(100)] + [(300 + i, f"only here {i} and {i * 7} there so {i}") for i in range(20)]
-    got = {r.doc_id: r for r in ngram_join.similar_documents(docs_of(spark, rows), block=block, sample=40 if block == 13 else 1000).collect()}
+    got = {r.doc_id: r for r in ngram_join.similar_documents(docs_of(spark, rows), block=block, sample=40 if block == 13 else 1000, split_from=block).collect()}
     lead, links = jaccard_truth(rows)
     for words, ids in lead.items():
         seen, edge = {words}, [words]
