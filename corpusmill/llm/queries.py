@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from . import collocations, exact_dedup, license_scan, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_transport_streams": media.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_collocations": collocations.query,
 }
 
 #: op2, op4, op5, op8 and op9 have no SQL: tests hold them against brute force or held-out labels.
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
