@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, exact_dedup, license_scan, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from . import collocations, exact_dedup, language, license_scan, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -16,9 +16,10 @@ QUERIES = {
     "op9_transport_streams": media.query,
     "op10_substring_dedup": substring_dedup.query,
     "op11_collocations": collocations.query,
+    "op12_language": language.query,
 }
 
-#: op2, op4, op5, op8 and op9 have no SQL: tests hold them against brute force or held-out labels.
+#: op2, op4, op5, op8, op9 and op12 have no SQL: tests hold them against brute force or held-out labels.
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_source_mixing": mixing.ORACLE,
