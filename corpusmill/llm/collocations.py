@@ -47,7 +47,7 @@ _PHRASE = ", ".join(f"{w} long" for w in _W) + ", n long, before_min long, befor
 _GAP = np.isin(np.arange(256), [0x20, 0x09])
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D])
 #: Places that are counted at once in a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -127,7 +127,7 @@ def _word_batches(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = _columns(batch)
-            for at, n, data, offsets in blocks(texts, 4 << 20):
+            for at, n, data, offsets in blocks(texts, 2 << 20):
                 mine = langs.slice(at, n)
                 low, starts, ends, row, number, _ = _words(mine, data, offsets, salt)
                 number, first, count = np.unique(number, return_index=True, return_counts=True)
@@ -200,7 +200,7 @@ def _count_batches(lengths: tuple[int, ...], wanted):
                 if len(places):
                     held[m][0].append(seq)
                     held[m][1].append(places)
-                    if sum(map(len, held[m][1])) > CHUNK or sum(map(len, held[m][0])) > 8 * CHUNK:
+                    if sum(map(len, held[m][1])) > CHUNK or sum(map(len, held[m][0])) > 4 * CHUNK:
                         yield _counted(*held[m], m)
                         held[m] = ([], [])
         for m, (seqs, places) in held.items():
