@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, exact_dedup, language, license_scan, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from . import collocations, exact_dedup, hard_negatives, language, license_scan, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.query,
     "op11_collocations": collocations.query,
     "op12_language": language.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 #: op2, op4, op5, op8, op9 and op12 have no SQL: tests hold them against brute force or held-out labels.
@@ -27,4 +28,5 @@ ORACLES = {
     "op7_license_scan": license_scan.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
