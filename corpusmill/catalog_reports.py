@@ -165,7 +165,7 @@ def review_sheet(spark, sf_dir):
 
 
 _ITEM = """conv_id AS id, CASE conv_id % 6 WHEN 0 THEN 'pronoun_follow_up' WHEN 1 THEN 'standalone' WHEN 2 THEN 'topic_switch' WHEN 3 THEN 'ambiguous_follow_up' WHEN 4 THEN 'constraint_follow_up' ELSE 'other' END AS category, text AS message,
-CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 4 = 1 THEN upper(text) || '?' ELSE text || ' too' END AS standalone, CASE WHEN conv_id % 5 = 3 THEN 'clarify' WHEN conv_id % 5 = 4 THEN 'guess' ELSE 'answer' END AS expect"""
+CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 4 = 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '?' ELSE text || ' too' END AS standalone, CASE WHEN conv_id % 5 = 3 THEN 'clarify' WHEN conv_id % 5 = 4 THEN 'guess' ELSE 'answer' END AS expect"""
 
 
 @query(rf"""WITH i AS (SELECT {_ITEM}, turn AS n_turns, conv_id % 3 AS n_pages, conv_id % 4 AS n_names FROM conversations WHERE role = 'user'), f AS (SELECT *, regexp_replace(trim(regexp_replace(lower(coalesce(message, '')), '[\x20\x09-\x0D]+', ' ', 'g')), '[?.!]+$', '') AS a, regexp_replace(trim(regexp_replace(lower(coalesce(standalone, '')), '[\x20\x09-\x0D]+', ' ', 'g')), '[?.!]+$', '') AS b FROM i)

@@ -32,13 +32,14 @@ def gold(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     passages = benchmark.select(F.col("item_id").alias("q_id"), F.col("text").alias("passage"))
     asked = passages.withColumn("w", words(F.col("passage"))).withColumn("n", F.least(F.lit(PROBE), F.size("w") - 2)).where("passage IS NOT NULL")
-    probes = asked.where("n > 0").select("q_id", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("h"))
+    probes = asked.where("n > 0").select("q_id", "n", F.xxhash64("n", F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("h"))
     lengths = [r.n for r in probes.select("n").distinct().collect()]  # at most PROBE numbers
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("h")))
+    # one number a run, its length in it: equal numbers are found by hashing, in time that grows with the text
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " ")))
     found = passages.where("passage IS NOT NULL").join(docs.select("doc_id", "text"), F.lit(False)).select("q_id", "doc_id")
     if lengths:
-        at = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("r"))
-        met = at.select("doc_id", "r.*").join(probes, ["n", "h"]).select("q_id", "doc_id").distinct()
+        at = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("h"))
+        met = at.join(probes, "h").select("q_id", "doc_id").distinct()
         found = met.join(docs.select("doc_id", "text"), "doc_id").join(passages, "q_id").where(F.contains("text", "passage")).select("q_id", "doc_id")
     short = asked.where("n <= 0").select("q_id", "passage")
     if short.limit(1).count():
