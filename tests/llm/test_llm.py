@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import exact_dedup, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, toxicity
+from corpusmill.llm import exact_dedup, graph, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, toxicity
 from corpusmill.llm.graph import components
 from tests.oracle import differences
 
@@ -71,7 +71,9 @@ def test_dedup_of_ids_far_apart(spark):
     assert got == sorted([(-(2**63), -(2**63), 2), (2**63 - 1, -(2**63), 2), (0, 0, 3), (None, 0, 3), (2**62, 0, 3)], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_at_once", [graph.EDGES, 40])
+def test_components(spark, monkeypatch, edges_at_once):
+    monkeypatch.setattr(graph, "EDGES", edges_at_once)
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2060)] + [(5, 5), (None, 3)]
     top = {}
@@ -116,6 +118,24 @@ def test_ngram_join_brute_force(spark, block):
             assert (got[i].copy_of, got[i].n_links, got[i].class_id) == (min(ids), len(links[words]), min(min(lead[w]) for w in seen))
 
 
+def test_connected_parts_of_a_matrix():
+    rng = np.random.default_rng(3)
+    for share in (0, 0.01, 0.05, 0.5, 1):
+        hit = rng.random((40, 30)) < share
+        got = sorted((tuple(sorted(r.tolist())), tuple(sorted(c.tolist()))) for r, c in ngram_join.connected(hit))
+        left, want = {(0, i) for i in np.flatnonzero(hit.any(1)).tolist()}, []
+        while left:
+            part, edge = set(), [left.pop()]
+            while edge:
+                kind, i = edge.pop()
+                if (kind, i) not in part:
+                    part.add((kind, i))
+                    edge += [(1, int(j)) for j in np.flatnonzero(hit[i])] if kind == 0 else [(0, int(j)) for j in np.flatnonzero(hit[:, i])]
+            left -= part
+            want.append((tuple(sorted(i for k, i in part if k == 0)), tuple(sorted(i for k, i in part if k == 1))))
+        assert got == sorted(want)
+
+
 def test_ngram_join_awkward(spark, docs):
     out = ngram_join.similar_documents(docs)
     assert out.count() == docs.count()
