@@ -47,7 +47,7 @@ _PHRASE = ", ".join(f"{w} long" for w in _W) + ", n long, before_min long, befor
 _GAP = np.isin(np.arange(256), [0x20, 0x09])
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D])
 #: Places that are counted at once in a task.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -127,7 +127,7 @@ def _word_batches(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = _columns(batch)
-            for at, n, data, offsets in blocks(texts, 2 << 20):
+            for at, n, data, offsets in blocks(texts):
                 mine = langs.slice(at, n)
                 low, starts, ends, row, number, _ = _words(mine, data, offsets, salt)
                 number, first, count = np.unique(number, return_index=True, return_counts=True)
@@ -140,13 +140,14 @@ def _word_batches(salt: int):
 
 
 def _encoded_batches(salt: int, frequent):
-    """(lang, text) -> runs of the numbers of frequent words inside pieces, each run after a zero; single words are left out."""
+    """(lang, text) -> runs of the numbers of frequent words inside pieces, each run after a zero; single words are left out. A row holds
+    a block of texts: its distinct numbers, and which of them stands at each place (in two bytes if there are few enough)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         for batch in batches:
             langs, texts = _columns(batch)
-            out = []
+            words, codes = [], []
             for at, n, data, offsets in blocks(texts):
                 *_, number, first = _words(langs.slice(at, n), data, offsets, salt)
                 place = np.arange(len(number)) + np.cumsum(first)
@@ -156,16 +157,24 @@ def _encoded_batches(salt: int, frequent):
                 some[1:-1] &= (seq[:-2] != 0) | (seq[2:] != 0)
                 keep = some.copy()
                 keep[:-1] |= (seq[:-1] == 0) & some[1:]
-                out.append(np.where(some, seq, 0)[keep].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in out if x], pa.binary())], names=["seq"])
+                distinct, code = np.unique(np.where(some, seq, 0)[keep], return_inverse=True)
+                if len(code):
+                    words.append(distinct.tobytes())
+                    codes.append(code.astype(_code_type(len(distinct))).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes, pa.binary())], names=["words", "codes"])
 
     return run
 
 
+def _code_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        for x in batch.column(0):
-            yield np.concatenate([np.frombuffer(x.as_buffer(), np.int64), np.zeros(LONGEST + 1, np.int64)])
+        for w, c in zip(batch.column(0), batch.column(1), strict=True):
+            words = np.frombuffer(w.as_buffer(), np.int64)
+            yield np.concatenate([words[np.frombuffer(c.as_buffer(), _code_type(len(words)))], np.zeros(LONGEST + 1, np.int64)])
 
 
 def _counted(seqs: list[np.ndarray], places: list[np.ndarray], m: int) -> pa.RecordBatch:
@@ -322,7 +331,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     salt, words, totals = _vocabulary(texts, least)
     words = written(_steps(words, least_step).join(totals, "lang"), "steps")
     frequent = docs.sparkSession.sparkContext.broadcast(Bitmap.of(words, "h"))
-    runs = written(texts.mapInArrow(_encoded_batches(salt, frequent), "seq binary"), "runs")
+    runs = written(texts.mapInArrow(_encoded_batches(salt, frequent), "words binary, codes binary"), "runs")
     zero = F.lit(0).cast("long")
     counts = words.select(F.col("h").alias("w1"), *(zero.alias(w) for w in _W[1:]), "n")
     phrases, left, settled = None, words.select("lang").distinct(), []
