@@ -614,24 +614,24 @@ def shipping_rule(spark, sf_dir):
     return evaluation.shipping(paired_arms(spark, sf_dir), checks)
 
 
-_STREAMED = "CASE conv_id % 10 WHEN 3 THEN text || ' see https://evil.example/p for more' WHEN 5 THEN text || ' ![x](https&#58;//evil.example/p)' WHEN 7 THEN text || ' at https://good.example/a, too' ELSE text END"
+_STREAMED = "CASE conv_id % 10 WHEN 3 THEN coalesce(text, '') || ' see https://evil.example/p for more' WHEN 5 THEN coalesce(text, '') || ' ![x](https&#58;//evil.example/p)' WHEN 7 THEN coalesce(text, '') || ' at https://good.example/a, too' ELSE coalesce(text, '') END"
 
 
-@query(f"""SELECT conv_id, turn, CASE conv_id % 10 WHEN 3 THEN text || ' see ' WHEN 5 THEN text || ' ' ELSE {_STREAMED} END AS shown, conv_id % 10 IN (3, 5) AS blocked,
-CASE conv_id % 10 WHEN 3 THEN 'url-not-in-context' WHEN 5 THEN 'external-image,url-not-in-context' ELSE '' END AS reasons FROM conversations WHERE role = 'assistant' AND text <> ''""")
+@query(f"""SELECT conv_id, turn, CASE conv_id % 10 WHEN 3 THEN coalesce(text, '') || ' see ' WHEN 5 THEN coalesce(text, '') || ' ' ELSE {_STREAMED} END AS shown, conv_id % 10 IN (3, 5) AS blocked, conv_id % 10 IN (3, 5) AS replaced,
+CASE conv_id % 10 WHEN 3 THEN 'url-not-in-context' WHEN 5 THEN 'external-image,url-not-in-context' ELSE '' END AS reasons FROM conversations WHERE role = 'assistant'""")
 def stream_guard_release(spark, sf_dir):
     """Answers as streams of four characters, some with a link or an image planted, through the guard: what was shown of each."""
-    turns = t(spark, sf_dir, "conversations").where("role = 'assistant' AND text <> ''")
+    turns = t(spark, sf_dir, "conversations").where("role = 'assistant'")
     answers = turns.select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), F.expr(_STREAMED).alias("answer"))
-    starts = F.sequence(F.lit(0), F.floor((F.length("answer") - 1) / 4))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length("answer"), F.lit(1)) - 1) / 4))
     deltas = answers.select("answer_id", "answer", F.explode(starts).alias("seq")).select(
         "answer_id", "seq", F.substring("answer", (F.col("seq") * 4 + 1).cast("int"), F.lit(4)).alias("delta"), (F.col("seq") * 4 + 4 >= F.length("answer")).alias("final"), F.when(F.col("seq") == 0, "Sources: https://good.example/a").alias("context")
     )
     out = guard.guard_batch(deltas, ("internal reference",))
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "released"))), lambda r: r["released"]), "")
-    rows = out.groupBy("answer_id").agg(shown.alias("shown"), F.bool_or("blocked").alias("blocked"), F.coalesce(F.max("reasons"), F.lit("")).alias("reasons"))
+    rows = out.groupBy("answer_id").agg(shown.alias("shown"), F.bool_or("blocked").alias("blocked"), F.bool_or(F.col("kind") == "replace").alias("replaced"), F.coalesce(F.max("reasons"), F.lit("")).alias("reasons"))
     part = lambda i: F.split_part("answer_id", F.lit(":"), F.lit(i)).cast("long")
-    return rows.select(part(1).alias("conv_id"), part(2).alias("turn"), "shown", "blocked", "reasons")
+    return rows.select(part(1).alias("conv_id"), part(2).alias("turn"), "shown", "blocked", "replaced", "reasons")
 
 
 _FAULT = "CASE WHEN page_id % 7 = 0 THEN '' ELSE 'fetch of ' || url || ' into C:' || chr(92) || 'data' || chr(92) || 'raw pages' || chr(10) || 'failed at /srv/raw/' || page_id || ': ' || html END"
