@@ -758,4 +758,4 @@ def flagship(spark, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir).where("rank <= 5")
 
 
-from . import catalog_pages, catalog_reports, catalog_turns  # noqa: E402, F401  register their queries here
+from . import catalog_pages, catalog_reports, catalog_sections, catalog_turns  # noqa: E402, F401  register their queries here
