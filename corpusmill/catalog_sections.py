@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .operators import sections
+from .sources import pasted, sets
 from .sources.tables import table as t
 
 _TITLED = "replace(coalesce(text, ''), '{nl}', '{nl}Notes on ' || coalesce(lang, 'und') || '{nl}')"
@@ -55,3 +56,54 @@ def parent_sections(spark, sf_dir):
 def section_children(spark, sf_dir):
     """Children of every document's parents, each with its parent's place and path."""
     return sections.parents_and_children(*_titled(spark, sf_dir))
+
+
+_FAULTS = {
+    0: ("""{"id": "p~", "question": "^", "answerable": true, "gold_pages": [[1, 2]], "notes": "ok"}""", ("^", "ok", "", None)), 1: ("""{"id": "p~", "question": "^", "notes": "said "so" twice"}""", ("^", 'said "so" twice', pasted.NOTES, None)),
+    2: ("""{"id": "p~", "question": "^ \\d", "notes": ""}""", ("^ d", "", pasted.ESCAPES, None)), 3: ("""{"id": "p~", "question": "^ &gt; x", "notes": "n"}""", ("^ > x", "n", pasted.ENTITIES, None)),
+    4: ("""{"id": "p~", "question": }""", None), 5: ("""{"id": "p~", "question": "^", "answerable": true, "gold_pages": [1, 2], "must_not_contain": "x", "notes": "m"}""", ("^", "m", pasted.LISTED, "gold_pages is not a list of [start, end] pairs")),
+}
+
+
+def _sql(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _case(part: int) -> str:
+    return "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {_sql(good[part] if good else None)}" for k, (_, good) in _FAULTS.items()) + " END"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[^A-Za-z0-9:/._-]', '', 'g') AS q FROM pages)
+SELECT page_id, 0 AS nth, 'p' || page_id AS id, replace({_case(0)}, '^', q) AS question, {_case(1)} AS notes, {_case(2)} AS repairs, {_case(3)} AS problem FROM p WHERE page_id % 6 <> 4
+UNION ALL SELECT page_id, 0, NULL, NULL, NULL, NULL, 'not a JSON object' FROM p WHERE page_id % 6 = 4
+UNION ALL SELECT page_id, 1, 'q' || page_id, q, 'fine', '', NULL FROM p""")
+def pasted_questions(spark, sf_dir):
+    """Questions pasted from every page, most of them with a fault planted: what comes back, its repairs, and what is set aside."""
+    case = "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN r'{raw}'" for k, (raw, _) in _FAULTS.items()) + " END"
+    rows = t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[^A-Za-z0-9:/._-]", "").alias("q"), F.expr(case).alias("raw"))
+    second = F.concat(F.lit('{"id": "q'), "page_id", F.lit('", "question": "'), "q", F.lit('", "notes": "fine"}'))
+    text = F.concat(F.replace(F.replace("raw", F.lit("~"), F.col("page_id").cast("string")), F.lit("^"), F.col("q")), F.lit("\n  "), second)
+    good, rejects = pasted.questions(pasted.pieces(rows.select("page_id", text.alias("text")), "page_id"))
+    made = good.select(F.col("source").alias("page_id"), "nth", "id", "question", "notes", F.array_join("repairs", "; ").alias("repairs"), "problem")
+    none = F.lit(None).cast("string")
+    return made.unionByName(rejects.select(F.col("source").alias("page_id"), "nth", none.alias("id"), none.alias("question"), none.alias("notes"), none.alias("repairs"), F.col("reason").alias("problem")))
+
+
+_CHUNK_FAULTS = "CASE WHEN doc_id % 31 = 3 THEN 'not a row of the schema' WHEN doc_id % 31 = 5 THEN 'unknown key: page' WHEN doc_id % 31 = 7 THEN 'no chunk_id' WHEN doc_id % 31 = 9 THEN 'ends before it begins' WHEN doc_id % 31 = 11 THEN 'parent isn''t in the set'  END"
+
+
+@query(f"""WITH f AS (SELECT 'chunks' AS tab, doc_id, {_CHUNK_FAULTS} AS reason FROM documents), k AS (SELECT doc_id // 10 AS g, count(*) AS n FROM documents GROUP BY 1)
+SELECT tab AS "table", coalesce(reason, 'fine') AS reason, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'chunks', 'repeated id', count(*) FROM documents WHERE doc_id % 31 = 13 HAVING count(*) > 0 UNION ALL SELECT 'parents', 'fine', count(*) FILTER (n > 0) FROM k""")
+def chunkset_checks(spark, sf_dir):
+    """Chunks and parents of every document as JSON lines with faults planted: how many rows are good, and why others are set aside."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 31).alias("f"))
+    name = F.when(F.col("f") == 7, "").otherwise(F.concat(F.lit("fixed-"), "doc_id"))
+    parent = F.concat(F.lit("parent-"), F.when(F.col("f") == 11, "none").otherwise((F.col("doc_id") / 10).cast("long").cast("string")))
+    row = F.struct(name.alias("chunk_id"), "text", F.lit(3).alias("page_start"), F.when(F.col("f") == 9, 2).otherwise(4).alias("page_end"), F.lit("fixed").alias("strategy"), parent.alias("parent_id"), F.when(F.col("f") == 5, 1).alias("page"))
+    line = F.when(F.col("f") == 3, F.concat(F.lit("{"), F.to_json(row))).otherwise(F.to_json(row)).alias("line")
+    lines = docs.select(line, F.explode(F.when((F.col("f") == 13), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    above = docs.select(((F.col("doc_id") / 10).cast("long")).alias("g")).distinct().select(F.to_json(F.struct(F.concat(F.lit("parent-"), "g").alias("chunk_id"), F.lit("").alias("text"))).alias("line"))
+    rows, parents, rejects = sets.checked_chunks(lines.select("line"), above)
+    fine = lambda df, tab: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(tab).alias("table"), F.lit("fine").alias("reason"), "n")
+    twice = fine(rows, "chunks").unionByName(fine(parents, "parents"))
+    return twice.unionByName(rejects.groupBy("table", "reason").agg(F.count(F.lit(1)).alias("n")))
