@@ -11,16 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from corpusmill.llm.storage import shared_dir
+from corpusmill.llm.storage import BATCH_BYTES, shared_dir
 
-
-#: Rows that go to Python at once: a few megabytes of text, so that an executor's off-heap memory stays small.
-BATCH_ROWS = "2000"
+#: What goes to Python at once while a stage is written, by bytes, so that long texts don't add up in an executor's memory.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def small_batches(stage):
+    """The stage, with small batches from then on: its rows are computed when its caller writes them. `run` puts the setting back."""
+
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set(*BATCH)
         return stage(spark, docs, sf_dir)
 
     return run
@@ -51,22 +52,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", "text"))
 
 
-STAGES = [
-    ("toxicity", small_batches(clean)),
-    ("exact_dedup", small_batches(unique)),
-    ("ngram_jaccard", small_batches(dissimilar)),
-    ("mixing", small_batches(mixed)),
-    ("packing", small_batches(packed)),
-]
+STAGES = [("toxicity", small_batches(clean)), ("exact_dedup", unique), ("ngram_jaccard", dissimilar), ("mixing", mixed), ("packing", packed)]
 
 #: The trained classifier of the first stage can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCH[0])
+    try:
+        for name, stage in STAGES:
+            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH[0], before)
     return docs

@@ -127,7 +127,7 @@ def _word_batches(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = _columns(batch)
-            for at, n, data, offsets in blocks(texts):
+            for at, n, data, offsets in blocks(texts, 1 << 20):
                 mine = langs.slice(at, n)
                 low, starts, ends, row, number, _ = _words(mine, data, offsets, salt)
                 number, first, count = np.unique(number, return_index=True, return_counts=True)
@@ -148,7 +148,7 @@ def _encoded_batches(salt: int, frequent):
         for batch in batches:
             langs, texts = _columns(batch)
             words, codes = [], []
-            for at, n, data, offsets in blocks(texts):
+            for at, n, data, offsets in blocks(texts, 1 << 20):
                 *_, number, first = _words(langs.slice(at, n), data, offsets, salt)
                 place = np.arange(len(number)) + np.cumsum(first)
                 seq = np.zeros(len(number) + int(first.sum()) + 2, np.uint64)

@@ -56,7 +56,7 @@ class Coder:
     a contraction or a special token's opening, goes through the tokenizer whole.
     """
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __init__(self, path: str) -> None:
         import os

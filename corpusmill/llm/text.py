@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
