@@ -8,8 +8,8 @@ len(SHARES) steps: a step takes the rarest words that together make up the next
 
 A step grows its words' phrases a word at a time over the whole corpus: a phrase is counted only if its beginning is frequent.
 Counts of the rests of its phrases that begin with a word not yet expanded are counted on demand, only for phrases whose
-cuts known so far beat the bound. Filters for "is frequent", "is expanded", "is asked for" are bitmaps of at most MOST_BITS
-bits (built by a grouped bit_or, so nothing larger reaches the driver); a false positive costs a counted row, never a result.
+cuts known so far beat the bound. Filters for "is frequent", "is expanded", "is asked for" are bitmaps of bounded
+size (see `bitmap`); a false positive costs a counted row, never a result.
 
 A phrase is dropped if a longer candidate has its count; as counts only fall with length, that is so exactly if all its
 places have the same word before them, or all the same word after them, in their piece. Both are kept with the counts.
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap
 from .features import _LOWER
 from .storage import written
 from .text import blocks, mix, ranges, span_hashes
@@ -41,7 +42,6 @@ LEAST, TOP, LONGEST = 100, 2000, 5
 SHARES = (1 / 64, 1 / 16, 1 / 4, 1)
 #: A step has so many occurrences at least: below that, one more pass costs more than it saves.
 LEAST_STEP = 2_000_000
-MOST_BITS = 1 << 27
 _W = [f"w{i}" for i in range(1, LONGEST + 1)]
 _PHRASE = ", ".join(f"{w} long" for w in _W) + ", n long, before_min long, before_max long, after_min long, after_max long"
 _GAP = np.isin(np.arange(256), [0x20, 0x09])
@@ -70,28 +70,6 @@ def phrase_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-class Bitmap:
-    """Which numbers may be in a set: a number is looked up by its lowest bits."""
-
-    def __init__(self, bits: int, at: np.ndarray, words: np.ndarray) -> None:
-        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
-        self.words[at] = words
-
-    @classmethod
-    def of(cls, rows: DataFrame, number: str) -> Bitmap:
-        """A bitmap of a long column; at most MOST_BITS bits come to the driver, whatever the rows are."""
-        bits, wanted = 1 << 16, min(MOST_BITS, 16 * rows.count())
-        while bits < wanted:
-            bits <<= 1
-        places = rows.select(F.col(number).bitwiseAND(F.lit(bits - 1)).alias("place"))
-        got = places.selectExpr("shiftright(place, 6) AS at", "shiftleft(1L, cast(place & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-        return cls(bits, got.column("at").to_numpy(), got.column("word").to_numpy().astype(np.int64).view(np.uint64))
-
-    def has(self, numbers: np.ndarray) -> np.ndarray:
-        place = numbers.view(np.uint64) & np.uint64(self.bits - 1)
-        return (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _words(langs: pa.Array, data: np.ndarray, offsets: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, starts, ends, row, number, is a piece's first) of the words of a block of texts."""
     low = _LOWER[data]

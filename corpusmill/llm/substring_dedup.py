@@ -6,10 +6,12 @@ a passage can only match inside one shard, and each document's passages go to th
 
 1. One row of each group of equal texts goes on; the others repeat it entirely.
 2. Each window has an anchor, the least hash of its ANCHOR-word runs. A first pass counts in how many documents anchors
-   stand; each task keeps back those it has seen too seldom to matter, so only counts of frequent ones are shuffled.
-   Anchors in more than HOT_ANCHOR documents (at most MOST_HOT of them, the most frequent) are hot from the start: their
-   marks never meet, so no group has more than some 2 HOT_ANCHOR documents. The other anchors seen in two documents
-   are found by a shuffle of four-byte marks; a window whose anchor is unique repeats nowhere.
+   stand; each task keeps back those it has seen seldom (in under SELDOM documents, or its part of HOT_ANCHOR if that is more), so
+   only counts of frequent ones are shuffled. Anchors in more than HOT_ANCHOR documents by these counts, however many there
+   are, are hot from the start: a bitmap of bounded size tells them, and one it takes for hot by mistake is treated alike
+   everywhere. Their marks never meet, so an anchor's marks that do meet number 2 HOT_ANCHOR, or SELDOM a task, at most: some
+   megabytes. The other anchors seen in two documents are found by a shuffle of four-byte marks; a window whose anchor
+   is unique repeats nowhere.
 3. The other windows are cut into segments of consecutive windows with one anchor. Equal segments are combined before
    the shuffle; a shard is a bucket of anchors. Windows of a hot anchor are dealt one by one by their content
    instead, so that a common phrase in varied contexts spreads over all shards.
@@ -36,13 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap
 from .storage import bucket_count, written
 from .text import blocks, expanded, mix, ranges, span_hashes, split_words, squeezed, window_hashes
 
 WINDOW, ANCHOR = 13, 6
-HOT_ANCHOR, MOST_HOT = 5_000, 100_000
+HOT_ANCHOR, SELDOM = 5_000, 8
 SHARD_BYTES = 4 << 20
 _WORD = 6
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _anchors(words: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +72,7 @@ def _frequent_batches(window: int, anchor: int, seldom: int, most: int = 1 << 21
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        limit = most
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
                 starts, ends, first = split_words(data, offsets)
@@ -77,8 +82,9 @@ def _frequent_batches(window: int, anchor: int, seldom: int, most: int = 1 << 21
                 pairs = pairs[np.diff(pairs, prepend=~pairs[:1]) != 0] >> np.uint64(32)
                 keys, counts = np.unique(pairs, return_counts=True)
                 parts.append((keys, counts))
-            if sum(len(k) for k, _ in parts) > most:
+            if sum(len(k) for k, _ in parts) > limit:
                 parts = [added(parts)]
+                limit = max(most, 2 * len(parts[0][0]))  # so that a key is merged a few times at most
         keys, counts = added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         keep = counts >= seldom
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(counts[keep])], names=["anchor", "n"])
@@ -86,23 +92,14 @@ def _frequent_batches(window: int, anchor: int, seldom: int, most: int = 1 << 21
     return run
 
 
-def hot_anchors(texts: DataFrame, window: int, anchor: int, hot: int, most: int = MOST_HOT) -> np.ndarray:
-    """Anchors (32 bits) in more than `hot` documents, at most `most`, the most frequent; every one in over 2 `hot` documents
-    is found, as the counts that tasks keep back add up to less than `hot`."""
+def hot_anchors(texts: DataFrame, window: int, anchor: int, hot: int, seldom: int = SELDOM) -> Bitmap:
+    """Anchors (32 bits) in more than `hot` documents by the counts that tasks don't keep back."""
     tasks = texts.rdd.getNumPartitions()
-    counted = texts.select("text").mapInArrow(_frequent_batches(window, anchor, max(1, hot // tasks)), "anchor long, n long")
-    found = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "anchor").limit(most)
-    return np.sort(np.array([r.anchor for r in found.select("anchor").collect()], np.int64).astype(np.uint32))  # at most `most` numbers
+    counted = texts.select("text").mapInArrow(_frequent_batches(window, anchor, hot // tasks if hot > tasks * seldom else min(seldom, hot)), "anchor long, n long")
+    return Bitmap.of(written(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot), "hot"), "anchor")
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-def _mark_batches(window: int, anchor: int, buckets: int, hot: np.ndarray):
+def _mark_batches(window: int, anchor: int, buckets: int, hot):
     """Per block and bucket one row of packed marks: documents, then hash, document and place of each anchor that isn't hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +109,7 @@ def _mark_batches(window: int, anchor: int, buckets: int, hot: np.ndarray):
                 starts, ends, first = split_words(data, offsets)
                 _, of, at, runs = _anchors(span_hashes(data, starts, ends), first, window, anchor)
                 new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
-                new = new[~_among(runs[at[new]].astype(np.uint32), hot)]
+                new = new[~hot.value.has(runs[at[new]] & _LOW)]
                 if not len(new):
                     continue
                 of, at = of[new], at[new]
@@ -165,7 +162,7 @@ def _repeated():
 _SEGMENT = "c1 long, c2 long, id long, k long, start int, shard int, words binary"
 
 
-def _segment_batches(window: int, anchor: int, shards: int, often: np.ndarray):
+def _segment_batches(window: int, anchor: int, shards: int, often):
     """Texts with their repeated places -> segments; `words` is set only for the first of equal segments in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +178,7 @@ def _segment_batches(window: int, anchor: int, shards: int, often: np.ndarray):
                 flat = part.flatten().to_numpy().astype(np.int64)
                 base = np.repeat(first[:-1], np.diff(part.offsets.to_numpy()) if n else 0)
                 state[base + flat] = 1
-                state[np.flatnonzero(_among(runs.astype(np.uint32), often))] = 2
+                state[np.flatnonzero(often.value.has(runs & _LOW))] = 2
                 chosen = np.flatnonzero(state[at] > 0)
                 if not len(chosen):
                     continue
@@ -359,10 +356,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = plain.mapInArrow(squeezed, "id long, k long, z binary")
     lead = plain.where("id IS NOT NULL").groupBy("k", F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.min("id").alias("id")).select("id", "k")
     once = rows.join(lead.hint("shuffle_hash"), ["id", "k"])
-    often = hot_anchors(plain, window, anchor, hot)
+    often = docs.sparkSession.sparkContext.broadcast(hot_anchors(plain, window, anchor, hot))
     marks = once.select("id", "k", "z").mapInArrow(_mark_batches(window, anchor, shards, often), "bucket long, marks binary")
     places = marks.groupBy("bucket").applyInArrow(_repeated(), "id long, k long, place int").groupBy("id", "k").agg(F.collect_list("place").alias("places"))
-    placed = once.join(places.hint("shuffle_hash"), ["id", "k"], "left" if len(often) else "inner").select("id", "k", "z", "places")
+    placed = once.join(places.hint("shuffle_hash"), ["id", "k"], "left" if often.value else "inner").select("id", "k", "z", "places")
     segments = written(placed.mapInArrow(_segment_batches(window, anchor, shards, often), _SEGMENT), "segments")
     content = segments.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"))
     words = segments.where("words IS NOT NULL").groupBy("shard", "c1", "c2", "words").agg(F.min("id").alias("id"))

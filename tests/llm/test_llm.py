@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import exact_dedup, graph, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, toxicity
+from corpusmill.llm import bitmap, exact_dedup, graph, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, toxicity
 from corpusmill.llm.graph import components
 from tests.oracle import differences
 
@@ -196,6 +196,17 @@ def test_substring_dedup_brute_force(spark, hot):
     assert sorted(map(tuple, got), key=str) == sorted(substring_dedup.brute_force(rows), key=str)
 
 
+def test_substring_dedup_with_more_hot_anchors_than_bits(spark, monkeypatch):
+    """Every anchor is hot or taken for hot: results are the same, whatever the bitmap's size."""
+    monkeypatch.setattr(bitmap, "LEAST_BITS", 64)
+    monkeypatch.setattr(bitmap, "MOST_BITS", 64)
+    rows = random_texts(11)
+    often = substring_dedup.hot_anchors(docs_of(spark, rows).select("text").fillna(""), 13, 6, 1, 1)
+    assert often and often.has(np.random.default_rng(1).integers(0, 2**32, 500)).mean() > 0.9
+    got = substring_dedup.remove_repeats(docs_of(spark, rows), hot=1).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(substring_dedup.brute_force(rows), key=str)
+
+
 def test_substring_dedup_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, substring_dedup.query(spark, SF).collect())) == sorted(substring_dedup.brute_force(rows))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import collocations, hard_negatives, language
+from corpusmill.llm import bitmap, collocations, hard_negatives, language
 from tests.llm.test_llm import AWKWARD, LONG, docs_of
 
 SF = "/root/testdata/sf0.001"
@@ -76,7 +76,7 @@ def test_phrase_hash_is_sparks(spark):
 def test_bitmap_has_all_and_few_others(spark):
     rng = np.random.default_rng(5)
     mine, others = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 5000)
-    b = collocations.Bitmap.of(spark.createDataFrame([(int(v),) for v in mine], "h long"), "h")
+    b = bitmap.Bitmap.of(spark.createDataFrame([(int(v),) for v in mine], "h long"), "h")
     assert b.has(mine).all() and b.has(others).mean() < 0.1
 
 
