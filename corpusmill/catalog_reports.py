@@ -85,11 +85,12 @@ def retrieval_table(spark, sf_dir):
 
 
 @query(f"""WITH e AS (SELECT item_id AS q_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{tx.TOKEN}'), lambda w: length(w) >= 8)) AS facts FROM benchmark)
-SELECT doc_id AS id, len(list_filter(facts, lambda x: contains(lower(coalesce(text, '')), x)))::INT AS stated, len(facts)::INT AS total FROM documents JOIN e ON q_id = doc_id % 40""")
+SELECT doc_id AS id, len(list_filter(facts, lambda x: contains(lower(coalesce(text, '')), x)))::INT AS stated, len(facts)::INT AS total FROM documents JOIN e ON q_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark)""")
 def fact_counts(spark, sf_dir):
     """How many long words of a passage each document states; passages are dealt to documents by number."""
     facts = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.filter(F.array_distinct(tx.tokens(F.col("text"), False)), lambda w: F.length(w) >= 8).alias("facts"))
-    rows = t(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 40).join(facts, "k")
+    n = facts.agg(F.max("k") + 1).first()[0] or 1
+    rows = t(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % n).join(facts, "k")
     return reports.fact_counts(rows.select(F.col("doc_id").alias("id"), "text", "facts"))
 
 
@@ -130,21 +131,21 @@ def stage_trace(spark, sf_dir):
 _SAID = "CASE conv_id % 5 WHEN 1 THEN text || ' see https://evil.example/p' WHEN 2 THEN text || ' ![x][y]' ELSE text END"
 
 
-@query(f"""WITH z AS (SELECT conv_id * 1000 + turn AS q_id, {_SAID} AS answer, turn % 3 = 2 AS abstained, CASE WHEN conv_id % 2 = 0 THEN 'at https://evil.example/p' END AS ctx FROM conversations WHERE role = 'assistant')
-SELECT q_id, array_to_string(r, ',') AS reasons FROM (SELECT q_id, {_filter_sql('answer')} AS r FROM z WHERE NOT abstained AND coalesce(answer, '') <> '') WHERE len(r) > 0""")
+@query(f"""WITH z AS (SELECT conv_id, turn, {_SAID} AS answer, turn % 3 = 2 AS abstained, CASE WHEN conv_id % 2 = 0 THEN 'at https://evil.example/p' END AS ctx FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, array_to_string(r, ',') AS reasons FROM (SELECT conv_id, turn, {_filter_sql('answer')} AS r FROM z WHERE NOT abstained AND coalesce(answer, '') <> '') WHERE len(r) > 0""")
 def filter_audit(spark, sf_dir):
     """Answers of a run that the output filter would withhold."""
-    rows = t(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("q_id", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = t(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("q_id", F.struct("conv_id", "turn"))
     contexts = rows.where("conv_id % 2 = 0").select("q_id", F.lit("at https://evil.example/p").alias("context"))
     found = reports.filter_audit(rows.select("q_id", F.expr(_SAID).alias("answer"), F.expr("turn % 3 = 2").alias("abstained")), contexts, ["internal reference"])
-    return found.select("q_id", F.array_join("reasons", ",").alias("reasons"))
+    return found.select("q_id.conv_id", "q_id.turn", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("""WITH u AS (SELECT source AS owner, sha256(text) AS sha256, lang AS chunker, doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ready' END AS state FROM documents)
-SELECT owner, sha256, chunker, min(id) AS id FROM u WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM u r WHERE r.id % 2 = 0 AND r.state <> 'failed' AND r.owner = u.owner AND r.sha256 = u.sha256 AND r.chunker = u.chunker) AND owner IS NOT NULL GROUP BY ALL""")
+@query("""WITH u AS (SELECT coalesce(source, '') AS owner, sha256(coalesce(text, '')) AS sha256, lang AS chunker, doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ready' END AS state FROM documents)
+SELECT owner, sha256, chunker, min(id) AS id FROM u WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM u r WHERE r.id % 2 = 0 AND r.state <> 'failed' AND r.owner = u.owner AND r.sha256 = u.sha256 AND r.chunker = u.chunker) GROUP BY ALL""")
 def upload_dedupe(spark, sf_dir):
     """Uploads (odd ids) that their owner hasn't stored yet; stored ones that failed don't count."""
-    rows = t(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("owner"), F.sha2("text", 256).alias("sha256"), F.col("lang").alias("chunker"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("ready").alias("state"))
+    rows = t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("owner"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("lang").alias("chunker"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("ready").alias("state"))
     return reports.new_uploads(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import sections
+from .operators import ann, evaluation, retrieval, sections, versions
 from .sources import pasted, sets
+from .sources.scratch import scratch_path
 from .sources.tables import table as t
 
 _TITLED = "replace(coalesce(text, ''), '{nl}', '{nl}Notes on ' || coalesce(lang, 'und') || '{nl}')"
@@ -107,3 +108,49 @@ def chunkset_checks(spark, sf_dir):
     fine = lambda df, tab: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(tab).alias("table"), F.lit("fine").alias("reason"), "n")
     twice = fine(rows, "chunks").unionByName(fine(parents, "parents"))
     return twice.unionByName(rejects.groupBy("table", "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("""WITH o AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 17 <> 3), n AS (SELECT doc_id, CASE WHEN doc_id % 19 = 4 THEN coalesce(text, '') || ' more' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 23 <> 7)
+SELECT coalesce(o.doc_id, n.doc_id)::VARCHAR AS id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.text IS DISTINCT FROM n.text""")
+def version_changes(spark, sf_dir):
+    """Documents that two stored versions differ in, by their trees of fingerprints."""
+    docs, old, new = t(spark, sf_dir, "documents"), scratch_path(spark, "old"), scratch_path(spark, "new")
+    versions.write_version(docs.where("doc_id % 17 <> 3"), old, 3, 1)
+    versions.write_version(docs.where("doc_id % 23 <> 7").withColumn("text", F.expr("CASE WHEN doc_id % 19 = 4 THEN coalesce(text, '') || ' more' ELSE text END")), new, 3, 1)
+    return versions.changes(spark, old, new, 3, 1)
+
+
+_HITS = "SELECT doc_id AS q_id, rank, (n_chars + rank * 3) % 40 AS page_start, (n_chars + rank * 3) % 40 + rank % 4 AS page_end FROM documents, (SELECT unnest(range(1, 9)) AS rank)"
+_RANGES = "SELECT doc_id AS q_id, r AS range, (doc_id * 5 + r * 2) % 40 AS lo, (doc_id * 5 + r * 2) % 40 + 6 AS hi FROM documents, (SELECT unnest(range(0, 4)) AS r)"
+
+
+@query(f"""WITH RECURSIVE h AS ({_HITS}), g AS ({_RANGES}), m AS MATERIALIZED (SELECT q_id, rank, list(range ORDER BY range) AS met FROM h JOIN g USING (q_id) WHERE page_start <= hi AND page_end >= lo GROUP BY q_id, rank),
+f(q_id, rank, used, dcg) AS (SELECT DISTINCT q_id, 0::BIGINT, []::BIGINT[], 0e0 FROM g
+UNION ALL SELECT f.q_id, f.rank + 1, CASE WHEN new IS NULL THEN used ELSE list_append(used, new) END, dcg + CASE WHEN new IS NULL THEN 0e0 ELSE 1 / log2(f.rank + 2) END FROM f LEFT JOIN m ON m.q_id = f.q_id AND m.rank = f.rank + 1, LATERAL (SELECT list_filter(coalesce(met, []), lambda x: NOT list_contains(used, x))[1] AS new) WHERE f.rank < 5),
+b AS (SELECT q_id, range, min(rank) AS rank FROM (SELECT q_id, rank, unnest(met) AS range FROM m) GROUP BY ALL), p AS (SELECT q_id, min(rank) AS best, count(*) FILTER (rank <= 5) AS covered FROM b GROUP BY q_id)
+SELECT f.q_id, coalesce((best <= 5)::INT, 0) AS hit, round(coalesce(covered, 0) / 4, 6) AS recall, round(coalesce(1e0 / best, 0e0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, 5), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM f LEFT JOIN p USING (q_id) WHERE f.rank = 5""")
+def overlapping_gold(spark, sf_dir):
+    """Metrics where gold ranges overlap and one hit meets several: each hit credits the first range no earlier hit has."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), "n_chars")
+    hits = docs.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(8)))).selectExpr("q_id", "rank", "(n_chars + rank * 3) % 40 AS page_start", "(n_chars + rank * 3) % 40 + rank % 4 AS page_end")
+    ranges = docs.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(3)))).selectExpr("q_id", "range", "(q_id * 5 + range * 2) % 40 AS start", "(q_id * 5 + range * 2) % 40 + 6 AS end")
+    return evaluation.hit_metrics(hits, ranges, 5)
+
+
+@query()
+def vector_lists(spark, sf_dir):
+    """Approximate search of every fiftieth vector: lists looked at, and the recall of the exact best ten, over all vectors."""
+    vectors = t(spark, sf_dir, "embeddings")
+    asked, centres = vectors.where("vec_id % 50 = 0"), ann.fit_centroids(vectors)
+    probes, _ = ann.lists_needed(vectors, asked, centres, 10, 0.95)
+    found = ann.search(vectors, asked, centres, 10, probes)
+    return ann.recall(found, retrieval.dense(vectors, asked, 10)).select(F.lit(len(centres)).alias("lists"), F.lit(probes).alias("looked_at"), "wanted", "found", "recall")
+
+
+@query("""SELECT a.vec_id AS q_id, b.vec_id, least(1e0, greatest(-1e0, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6))) AS score,
+row_number() OVER (PARTITION BY a.vec_id ORDER BY least(1e0, greatest(-1e0, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6))) DESC, b.vec_id) AS rank FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def vector_lists_all(spark, sf_dir):
+    """The same index with every list looked at: the exact best ten, with clamped scores."""
+    vectors = t(spark, sf_dir, "embeddings")
+    centres = ann.fit_centroids(vectors)
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), centres, 10, len(centres))

@@ -41,18 +41,18 @@ def history_block(spark, sf_dir):
     return conversations.history_block(turns)
 
 
-_REPLY = "CASE turn % 6 WHEN 0 THEN 'REWRITE: ' || text WHEN 1 THEN chr(10) || ' clarify : \"' || text || '\" ' WHEN 2 THEN 'Standalone' WHEN 3 THEN 'new_topic' WHEN 4 THEN text ELSE ' ' END"
+_REPLY = "CASE turn % 6 WHEN 0 THEN 'REWRITE: ' || coalesce(text, '') WHEN 1 THEN chr(10) || ' clarify : \"' || coalesce(text, '') || '\" ' WHEN 2 THEN 'Standalone' WHEN 3 THEN 'new_topic' WHEN 4 THEN coalesce(text, '') ELSE ' ' END"
 _FIRST = r"coalesce(list_filter(string_split_regex(reply, '\r\n|[\n\r]'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))[1], '')"
 _PATTERN = r"(?i)^\s*(STANDALONE|REWRITE|CLARIFY|NEW_TOPIC)\b\s*:?\s*(.*?)\s*$"
 
 
-@query(rf"""WITH r AS (SELECT conv_id, turn, {_REPLY} AS reply FROM conversations WHERE role = 'user' AND text IS NOT NULL), f AS (SELECT *, {_FIRST} AS line FROM r),
+@query(rf"""WITH r AS (SELECT conv_id, turn, {_REPLY} AS reply FROM conversations WHERE role = 'user'), f AS (SELECT *, {_FIRST} AS line FROM r),
 k AS (SELECT *, upper(regexp_extract(line, '{_PATTERN}', 1)) AS tag, regexp_replace(regexp_extract(line, '{_PATTERN}', 2), '^[`"'' ]+|[`"'' ]+$', '', 'g') AS payload FROM f),
 o AS (SELECT *, CASE WHEN line = '' THEN 'empty' WHEN tag = '' THEN 'unparsed' WHEN tag = 'STANDALONE' THEN tag WHEN payload = '' THEN 'empty' ELSE tag END AS kind FROM k)
 SELECT conv_id, turn, kind AS tag, CASE WHEN kind IN ('REWRITE', 'CLARIFY', 'NEW_TOPIC') THEN payload ELSE '' END AS payload FROM o""")
 def reply_parts(spark, sf_dir):
     """Rewriters' replies of every form, read."""
-    turns = t(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    turns = t(spark, sf_dir, "conversations").where("role = 'user'")
     return turns.select("conv_id", "turn", rewrite.reply_parts(F.expr(_REPLY.replace("chr(10)", "char(10)"))).alias("r")).select("conv_id", "turn", "r.*")
 
 
@@ -122,24 +122,24 @@ def reply_cache(spark, sf_dir):
     return store.cached_replies(calls, kept).select("conv_id", "turn", "cache_key", F.col("reply").isNotNull().alias("cached"))
 
 
-_JUDGED = "CASE conv_id % 5 WHEN 0 THEN 'Sure: ```json {\"correct\": true, \"reason\": \"' || conv_id || '\"} ```' WHEN 1 THEN '{\"correct\": false}' WHEN 2 THEN '{\"correct\": tru' WHEN 3 THEN text ELSE '{\"a\": {\"b\": 1}, \"correct\": true} so' END"
+_JUDGED = "CASE conv_id % 5 WHEN 0 THEN 'Sure: ```json {\"correct\": true, \"reason\": \"' || conv_id || '\"} ```' WHEN 1 THEN '{\"correct\": false}' WHEN 2 THEN '{\"correct\": tru' WHEN 3 THEN coalesce(text, '') ELSE '{\"a\": {\"b\": 1}, \"correct\": true} so' END"
 
 
-@query(rf"""WITH j AS (SELECT conv_id, turn, regexp_extract(regexp_replace({_JUDGED}, '```(?:json)?', '', 'g'), '(?s)(\{{.*\}})', 1) AS found FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+@query(rf"""WITH j AS (SELECT conv_id, turn, regexp_extract(regexp_replace({_JUDGED}, '```(?:json)?', '', 'g'), '(?s)(\{{.*\}})', 1) AS found FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, CASE WHEN found <> '' AND json_valid(found) THEN json_extract_string(found, '$.correct') END AS correct, found <> '' AND json_valid(found) AS parsed FROM j""")
 def judge_replies(spark, sf_dir):
     """Verdicts in replies with fences, chatter, faults and no object at all."""
-    turns = t(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    turns = t(spark, sf_dir, "conversations").where("role = 'assistant'")
     found = turns.select("conv_id", "turn", rewrite.first_object(F.expr(_JUDGED)).alias("found"))
     return found.select("conv_id", "turn", F.get_json_object("found", "$.correct").alias("correct"), F.col("found").isNotNull().alias("parsed"))
 
 
-_NAMES = "text || CASE conv_id % 3 WHEN 0 THEN ' [D2] and (D1), D2' WHEN 1 THEN ' xD4 D07' ELSE '' END"
+_NAMES = "coalesce(text, '') || CASE conv_id % 3 WHEN 0 THEN ' [D2] and (D1), D2' WHEN 1 THEN ' xD4 D07' ELSE '' END"
 
 
-@query(rf"SELECT conv_id, turn, list_transform(regexp_extract_all({_NAMES}, '\bD(\d+)\b', 1), lambda n: n::BIGINT)[1] AS first_cited, len(list_distinct(list_transform(regexp_extract_all({_NAMES}, '\bD(\d+)\b', 1), lambda n: n::BIGINT)))::INT AS n_cited FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
+@query(rf"SELECT conv_id, turn, list_transform(regexp_extract_all({_NAMES}, '\bD(\d+)\b', 1), lambda n: n::BIGINT)[1] AS first_cited, len(list_distinct(list_transform(regexp_extract_all({_NAMES}, '\bD(\d+)\b', 1), lambda n: n::BIGINT)))::INT AS n_cited FROM conversations WHERE role = 'assistant'")
 def document_citations(spark, sf_dir):
-    turns = t(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    turns = t(spark, sf_dir, "conversations").where("role = 'assistant'")
     cited = turns.select("conv_id", "turn", rewrite.document_citations(F.expr(_NAMES)).alias("cited"))
     return cited.select("conv_id", "turn", F.get("cited", 0).alias("first_cited"), F.size("cited").alias("n_cited"))
 
