@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query
-from .operators import ann, evaluation, retrieval, sections, versions
+from .catalog import _TOKS, ORACLES, query
+from .functions import text as tx
+from .operators import ann, arms, conversations, evaluation, retrieval, sections, versions
 from .sources import pasted, sets
 from .sources.scratch import scratch_path
 from .sources.tables import table as t
@@ -154,3 +155,41 @@ def vector_lists_all(spark, sf_dir):
     vectors = t(spark, sf_dir, "embeddings")
     centres = ann.fit_centroids(vectors)
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), centres, 10, len(centres))
+
+
+_EIGHT = f"array_to_string({_TOKS.format(c='d.text')}[1:{{n}}], ' ')"
+
+
+@query(f"""WITH g AS ({ORACLES['rewrite_gate']}), l AS (SELECT conv_id AS item, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+i AS (SELECT item, fires, coalesce(c.text, '') AS message, coalesce({_EIGHT.format(n=8)}, '') AS standalone, CASE WHEN item % 5 = 0 THEN 'clarify' ELSE 'answer' END AS expect,
+  CASE WHEN NOT fires THEN 'standalone' WHEN item % 4 IN (1, 3) THEN 'rewrite' WHEN item % 4 = 2 THEN 'clarify' ELSE 'fallback' END AS status, CASE WHEN item % 4 = 1 THEN {_EIGHT.format(n=4)} END AS made, item % 3 = 0 AND item % 4 <> 0 AS named
+  FROM l JOIN g ON g.conv_id = item AND g.turn = l.turn JOIN conversations c ON c.conv_id = item AND c.turn = l.turn LEFT JOIN documents d ON d.doc_id = item),
+q AS (SELECT item, 'off' AS arm, message AS q FROM i UNION ALL SELECT item, 'on', CASE status WHEN 'clarify' THEN NULL WHEN 'rewrite' THEN coalesce(made, message) ELSE message END FROM i UNION ALL SELECT item, 'oracle', standalone FROM i),
+w AS (SELECT DISTINCT q, unnest({_TOKS.format(c='q')}) AS term FROM (SELECT DISTINCT q FROM q WHERE q IS NOT NULL)), x AS (SELECT DISTINCT doc_id, unnest({_TOKS.format(c='text')}) AS term FROM documents),
+h AS (SELECT q, doc_id FROM (SELECT q, doc_id, count(*) AS n FROM w JOIN x USING (term) GROUP BY q, doc_id) QUALIFY row_number() OVER (PARTITION BY q ORDER BY n DESC, doc_id) <= 5),
+s AS (SELECT item, max((h.q IS NOT NULL)::INT) FILTER (arm = 'off') AS a, max((h.q IS NOT NULL)::INT) FILTER (arm = 'on') AS b, max((h.q IS NOT NULL)::INT) FILTER (arm = 'oracle') AS c FROM q LEFT JOIN h ON h.q = q.q AND h.doc_id = q.item GROUP BY item),
+r AS (SELECT *, expect = 'answer' AS ans FROM i JOIN s USING (item)), z AS (SELECT count(*) AS items, count(*) FILTER (ans) AS n, coalesce(sum(a) FILTER (ans), 0) AS a, coalesce(sum(b) FILTER (ans), 0) AS b, coalesce(sum(c) FILTER (ans), 0) AS c, count(*) FILTER (ans AND b > a) AS wins, count(*) FILTER (ans AND b < a) AS losses,
+  count(*) FILTER (fires) AS gate_calls, count(*) FILTER (fires AND status = 'fallback') AS fallbacks, count(*) FILTER (ans AND status = 'clarify') AS false_clarify, count(*) FILTER (NOT ans) AS clarify_n, count(*) FILTER (NOT ans AND status = 'clarify') AS clarify_asked, count(*) FILTER (NOT ans AND status = 'clarify' AND named) AS clarify_named FROM r)
+SELECT items, n, round(a / greatest(n, 1), 3) AS hit_off, round(b / greatest(n, 1), 3) AS hit_on, round(c / greatest(n, 1), 3) AS hit_oracle, wins, n - wins - losses AS ties, losses, CASE WHEN c > a THEN round((b - a) / (c - a), 3) END AS gap_closed, gate_calls, fallbacks, false_clarify, clarify_n, clarify_asked, clarify_named FROM z""")
+def arms_summary(spark, sf_dir):
+    """The last question of every conversation asked raw, rewritten and standalone: one search for all arms, one summary row."""
+    turns, docs = t(spark, sf_dir, "conversations"), t(spark, sf_dir, "documents")
+    users = conversations.pairs(turns)
+    last = users.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = users.join(last, "conv_id")
+    earlier = rows.where("turn < last").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("h"))
+    history = F.transform("h", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
+    words = docs.select(F.col("doc_id").alias("conv_id"), tx.tokens(F.col("text")).alias("ts"))
+    items = rows.where("turn = last").join(earlier, "conv_id", "left").join(words, "conv_id", "left")
+    first = lambda n: F.array_join(F.slice("ts", 1, n), " ")
+    made = items.select(F.col("conv_id").alias("item"), F.when(F.col("conv_id") % 5 == 0, "clarify").otherwise("answer").alias("expect"), F.col("question").alias("message"), first(8).alias("standalone"), history.alias("history"), first(4).alias("four"))
+    kind = F.when(F.col("item") % 4 == 2, "clarify").otherwise("rewrite")
+    replies = made.where("item % 4 <> 0").select("item", kind.alias("status"), F.when(F.col("item") % 4 == 1, F.col("four")).alias("question"), (F.col("item") % 3 == 0).alias("named"))
+
+    def search(questions):
+        """The documents that share most distinct words with a question."""
+        each = lambda df, key: df.select(key, F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+        shared = each(questions, "q_id").join(each(docs, "doc_id"), "term").groupBy("q_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+        return retrieval.top(shared, 5, ["q_id"], "doc_id")
+
+    return arms.run(made.drop("four"), replies, docs.select(F.col("doc_id").alias("item"), "doc_id"), search)
