@@ -117,6 +117,42 @@ def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
     return groups.where("batch > 0").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "digest binary, snapshot int")
 
 
+def write_snapshot(docs: DataFrame, path: str, snapshot: int, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Stores an immutable snapshot under path: its distinct texts with their least id, and a filter for each bucket of digests.
+
+    All snapshots of one path have the same number of buckets. Nothing stored earlier is read or changed."""
+    body = normalised(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    texts = rows.groupBy("digest", "body").agg(F.min("id").alias("id")).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    texts.write.parquet(f"{path}/texts/snapshot={snapshot}")
+    stored = docs.sparkSession.read.schema(texts.schema).parquet(f"{path}/texts/snapshot={snapshot}")
+    filters = snapshot_filters(stored.select(F.lit(snapshot).alias("batch"), "bucket", "digest").distinct())
+    filters.select("bucket", "filter", F.lit(buckets).alias("buckets")).write.parquet(f"{path}/filters/snapshot={snapshot}")
+
+
+def screen_batch(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, known_id, keep_id) of an incoming batch against the snapshots stored under path.
+
+    known_id: the least id of a stored text equal to the row's, byte by byte; keep_id: that, or else the least id of the batch's own
+    equal texts. The stored filters say which digests may be known; only the texts of those are read and compared.
+    """
+    spark, most = docs.sparkSession, 2**31 - 1
+    filters = spark.read.schema("bucket long, filter binary, buckets int, snapshot int").parquet(f"{path}/filters")
+    buckets = filters.select("buckets").first()
+    body = normalised(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    if buckets is None:
+        stored = rows.limit(0).select("digest", "body", F.col("id").alias("known_id"))
+    else:
+        incoming = rows.select(F.lit(most).alias("batch"), F.pmod(F.xxhash64("digest"), F.lit(buckets[0])).alias("bucket"), "digest").distinct()
+        positives = written(screen(incoming, filters.select("snapshot", "bucket", "filter")), "positives")
+        texts = spark.read.schema("digest binary, body string, id long, bucket long, snapshot int").parquet(f"{path}/texts")
+        stored = join_small(texts, positives.distinct(), ["digest", "snapshot"], "left_semi").groupBy("digest", "body").agg(F.min("id").alias("known_id"))
+    own = rows.groupBy("digest", "body").agg(F.min("id").alias("__own")).join(stored, ["digest", "body"], "left")
+    out = rows.join(own, ["digest", "body"])
+    return out.select(F.col("id").alias(id_col), "digest", "known_id", F.coalesce("known_id", "__own").alias("keep_id"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(id, digest, keep_id, group_size) for every row. Ids are cut into `batches` equal ranges that arrive in turn,
     each screened against the snapshots before it."""

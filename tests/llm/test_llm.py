@@ -65,6 +65,19 @@ def test_dedup_drops_rows_not_ids(spark):
     assert sorted(left, key=str) == sorted([(1, "a b"), (None, "only here"), (None, "twice"), (None, "twice"), (7, "other text")], key=str)
 
 
+def test_saved_filters_screen_a_second_batch(spark, tmp_path):
+    path = str(tmp_path)
+    first, second = [(10, "a b"), (11, "a  b"), (12, "c"), (None, "only null")], [(5, "d"), (6, None), (4, "c")] + [(1000 + i, f"text {i}") for i in range(500)]
+    exact_dedup.write_snapshot(docs_of(spark, first), path, 1, 4)
+    exact_dedup.write_snapshot(docs_of(spark, second), path, 2, 4)
+    batch = [(90, "a\tb"), (91, "new"), (92, "new"), (93, "c"), (94, ""), (95, "text 499"), (None, "new"), (96, "only null"), (97, "else")]
+    got = {r.doc_id: (r.known_id, r.keep_id) for r in exact_dedup.screen_batch(docs_of(spark, batch), path).collect()}
+    assert got == {90: (10, 10), 91: (None, 91), 92: (None, 91), 93: (4, 4), 94: (6, 6), 95: (1499, 1499), None: (None, 91), 96: (None, 96), 97: (None, 97)}
+    exact_dedup.write_snapshot(docs_of(spark, batch), path, 3, 4)  # the batch is a snapshot for those that follow
+    assert [tuple(r)[2:] for r in exact_dedup.screen_batch(docs_of(spark, [(7, "new")]), path).collect()] == [(91, 91)]
+    assert exact_dedup.screen_batch(docs_of(spark, []), path).count() == 0
+
+
 def test_dedup_of_ids_far_apart(spark):
     rows = [(-(2**63), "a  b"), (2**63 - 1, "a b"), (0, "c"), (None, "c"), (2**62, "c")]
     got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs_of(spark, rows)).collect()), key=str)
