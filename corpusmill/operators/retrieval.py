@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import stored
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -33,6 +34,8 @@ def lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 #: Stands in every document, so that one aggregate gives both the documents of each term and those of the scope.
 _EVERY = "\0"
+#: The questions' words are broadcast up to this many; beyond it the join shuffles.
+BROADCAST_TERMS = 200_000
 
 
 def term_statistics(docs: DataFrame, wanted: DataFrame, by: list[str], text: str = "text", stem: bool = False) -> DataFrame:
@@ -53,22 +56,27 @@ def term_statistics(docs: DataFrame, wanted: DataFrame, by: list[str], text: str
 def bm25(docs: DataFrame, questions: DataFrame, k: int, scope: str | None = None, stem: bool = False) -> DataFrame:
     """Top k documents (q_id, doc_id, score, rank) for questions(q_id, text).
 
-    Texts are read twice: for the statistics of the questions' terms, and for their postings; only terms that a question
-    has survive the join below the aggregation. N, document frequencies and the mean length are those of the scope (a
+    Texts are read once: the postings of the questions' terms are written as a table, and the statistics are taken from it; only terms
+    that a question has survive the join below the aggregation. N, document frequencies and the mean length are those of the scope (a
     column of docs, such as an owner), if one is given: then each scope ranks its own.
     """
     by = [scope] if scope else []
-    asked = postings(questions, ["q_id"], stem=stem).select("q_id", "term")
+    asked = stored(postings(questions, ["q_id"], stem=stem).select("q_id", "term"), "asked")
     keys, wanted = ["doc_id", *by, "len"], asked.select("term").distinct()  # the length rides along, so postings never meet their documents again
+    known = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda df: df
     sized = docs.select("doc_id", *by, *(["text"] if stem else []), tx.tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts").cast("long"))
     if stem:
-        found = postings(sized, keys, stem=True).join(wanted, "term", "left_semi")
+        found = postings(sized, keys, stem=True).join(known(wanted), "term", "left_semi")
         stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-        df = found.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-        terms = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without a scope
     else:
-        found = sized.select(*keys, F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-        terms = term_statistics(docs, wanted, by)
+        # every document has one row more, whose term no text can have: the documents and their lengths
+        each = sized.select(*keys, F.explode(F.concat("ts", F.array(F.lit(_EVERY)))).alias("term"))
+        every = wanted.union(wanted.sparkSession.createDataFrame([(_EVERY,)], "term string"))
+        table = stored(each.join(known(every), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+        found = table.where(F.col("term") != _EVERY)
+        stats = table.where(F.col("term") == _EVERY).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    df = found.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without a scope
     rows = asked.join(terms, "term").join(found, ["term", *by])
     idf = F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))
