@@ -93,14 +93,17 @@ def may_clarify(spark, sf_dir):
     return rows.select("conv_id", "turn", "kind", F.coalesce(F.col("before") != "clarify", F.lit(True)).alias("may_clarify"))
 
 
-@query(r"""WITH s AS (SELECT conv_id, count(*) AS turns, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0) AS words FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id),
-n AS (SELECT conv_id, turn, conv_id * 3 + turn AS doc_id, turn = 4 AS is_new FROM conversations WHERE turn % 5 = 4)
-SELECT n.conv_id, turn, CASE WHEN s.conv_id IS NULL AND NOT is_new THEN 'orphan' WHEN doc_id NOT IN (SELECT doc_id FROM documents) THEN 'dead' WHEN NOT coalesce(turns < 3 AND words < 150, true) THEN 'full' ELSE 'stored' END AS outcome FROM n LEFT JOIN s USING (conv_id)""")
+@query(r"""WITH s AS (SELECT conv_id, count(*) AS turns, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0) AS words FROM conversations WHERE turn % 5 NOT IN (3, 4) GROUP BY conv_id),
+n AS (SELECT conv_id, turn, conv_id * 3 + turn IN (SELECT doc_id FROM documents) AS alive, turn = 4 AS is_new, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE turn % 5 IN (3, 4)),
+a AS (SELECT n.*, s.conv_id IS NOT NULL AS held, coalesce(s.turns, 0) AS t0, coalesce(s.words, 0) AS w0 FROM n LEFT JOIN s USING (conv_id)),
+b AS (SELECT *, held OR max((is_new AND alive)::INT) OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS begun FROM a),
+c AS (SELECT *, coalesce(sum((alive AND begun)::INT) OVER w, 0) AS nb, coalesce(sum(CASE WHEN alive AND begun THEN words ELSE 0 END) OVER w, 0) AS wb FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, CASE WHEN NOT begun AND NOT is_new THEN 'orphan' WHEN NOT alive THEN 'dead' WHEN t0 + nb >= 4 OR w0 + wb >= 200 THEN 'full' ELSE 'stored' END AS outcome FROM c""")
 def conversation_append(spark, sf_dir):
-    """New turns against the stored ones' caps (3 turns, 150 words) and against documents that are gone."""
+    """New turns against the stored ones' and their own caps (4 turns, 200 words) and against documents that are gone."""
     turns = t(spark, sf_dir, "conversations")
-    new = turns.where("turn % 5 = 4").select("conv_id", "turn", "text", (F.col("conv_id") * 3 + F.col("turn")).alias("doc_id"), (F.col("turn") == 4).alias("is_new"))
-    return conversations.appended(turns.where("turn % 5 <> 4"), new, t(spark, sf_dir, "documents"), 3, 150)
+    new = turns.where("turn % 5 IN (3, 4)").select("conv_id", "turn", "text", (F.col("conv_id") * 3 + F.col("turn")).alias("doc_id"), (F.col("turn") == 4).alias("is_new"))
+    return conversations.appended(turns.where("turn % 5 NOT IN (3, 4)"), new, t(spark, sf_dir, "documents"), 4, 200)
 
 
 @query("""WITH h AS (SELECT DISTINCT conv_id FROM conversations), g AS (SELECT doc_id FROM labels WHERE toxic = 1)

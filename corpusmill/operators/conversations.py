@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..streaming.turns import running
 
 
 #: Turns in one block: what a window over a conversation sorts at once.
@@ -82,13 +83,20 @@ def gate(turns: DataFrame) -> DataFrame:
 def appended(stored: DataFrame, new: DataFrame, alive: DataFrame, max_turns: int = 50, max_words: int = 20_000) -> DataFrame:
     """What becomes of new(conv_id, turn, text, doc_id, is_new) turns: (conv_id, turn, outcome).
 
-    A turn is `orphan` if its conversation isn't stored and it doesn't begin one, `dead` if its document isn't in
-    alive(doc_id), `full` if the stored turns reach a cap, else `stored`. Totals are combined before the shuffle.
+    A turn is `orphan` if its conversation isn't stored, no turn before it in `new` begins it and it doesn't either, `dead` if its
+    document isn't in alive(doc_id), `full` if the stored turns and those of `new` before it reach a cap, else `stored`. Turns of `new`
+    count in blocks, so a conversation with most of them is spread over its blocks; `turn` is a key of the conversation.
     """
-    totals = stored_words(stored, max_turns, max_words).select(F.col("conv_id").alias("__c"), "open")
-    rows = new.join(totals, F.col("conv_id") == F.col("__c"), "left").join(alive.select("doc_id", F.lit(True).alias("__alive")).distinct(), "doc_id", "left")
-    outcome = F.when(F.col("__c").isNull() & ~F.col("is_new"), "orphan").when(F.col("__alive").isNull(), "dead").when(~F.coalesce("open", F.lit(True)), "full").otherwise("stored")
-    return rows.select("conv_id", "turn", outcome.alias("outcome"))
+    totals = stored_words(stored, max_turns, max_words).select(F.col("conv_id").alias("__c"), F.col("turns").alias("__t0"), F.col("words").alias("__w0"))
+    rows = new.join(totals, F.col("conv_id") == F.col("__c"), "left").join(alive.select("doc_id", F.lit(True).alias("__there")).distinct(), "doc_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.select("conv_id", F.col("turn").alias("seq"), flag(F.col("is_new")).alias("is_new"), flag(F.col("__there")).alias("alive"), tx.word_count(F.col("text")).cast("long").alias("words"), F.col("__c").isNotNull().alias("held"), F.coalesce("__t0", F.lit(0)).alias("t0"), F.coalesce("__w0", F.lit(0)).alias("w0"))
+    rows = running(rows.withColumn("__block", F.floor(F.col("seq") / BLOCK)), ["conv_id"], {"__begun": (F.max, "is_new AND alive")})
+    rows = rows.withColumn("__begun", F.col("held") | flag(F.col("__begun")) | (F.col("is_new") & F.col("alive")))
+    rows = running(rows, ["conv_id"], {"__n": (F.sum, "cast(alive AND __begun AS long)"), "__w": (F.sum, "CASE WHEN alive AND __begun THEN coalesce(words, 0) ELSE 0 END")})
+    full = (F.col("t0") + F.col("__n") >= max_turns) | (F.col("w0") + F.col("__w") >= max_words)
+    outcome = F.when(~F.col("__begun") & ~F.col("is_new"), "orphan").when(~F.col("alive"), "dead").when(full, "full").otherwise("stored")
+    return rows.select("conv_id", F.col("seq").alias("turn"), outcome.alias("outcome"))
 
 
 def purged(headers: DataFrame, turns: DataFrame, gone: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk rows of a JSON-lines file whose first line may be a header without chunk_id."""
-    return spark.read.schema(CHUNKS).json(path).where("chunk_id IS NOT NULL")
+    """Chunk rows of a JSON-lines file whose first line may be a header (`_params`); a row that doesn't fit the schema fails the job."""
+    rows = spark.read.schema(f"{CHUNKS}, _params map<string,string>").json(path, mode="FAILFAST")
+    return rows.where("_params IS NULL").drop("_params")
 
 
 def golden_problems(questions: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def store_stream(events: DataFrame, max_turns: int = MAX_TURNS, max_words: int =
     return rows.groupBy("conv_id").transformWithStateInPandas(TurnStore(max_turns, max_words, idle), OUTCOMES, "Append", "EventTime")
 
 
-def _running(rows: DataFrame, by: list[str], made: dict[str, tuple]) -> DataFrame:
+def running(rows: DataFrame, by: list[str], made: dict[str, tuple]) -> DataFrame:
     """rows with running values over what stands before each in its group, in order of seq: new name -> (F.sum or F.max, expression).
     They run inside blocks of a group, and over the totals of the blocks before."""
     before = (Window.unboundedPreceding, -1)
@@ -125,18 +125,18 @@ def store_batch(events: DataFrame, max_turns: int = MAX_TURNS, max_words: int =
     eligible turns are stored, and once full it stays so, so whether it is full follows from running totals of the eligible ones.
     """
     rows = _plain(events).withColumns({"at": F.unix_seconds("time"), "__block": F.floor(F.col("seq") / BLOCK)}).drop("time", "doc_ids")
-    rows = _running(rows, ["conv_id"], {"__at": (F.max, "at")}).withColumn("__quiet", F.coalesce((F.col("at") - F.col("__at") > idle).cast("long"), F.lit(0)))
-    rows = _running(rows, ["conv_id"], {"__life": (F.sum, "__quiet + cast(kind = 'purge' AS long)")}).withColumn("__life", F.col("__life") + F.col("__quiet"))
+    rows = running(rows, ["conv_id"], {"__at": (F.max, "at")}).withColumn("__quiet", F.coalesce((F.col("at") - F.col("__at") > idle).cast("long"), F.lit(0)))
+    rows = running(rows, ["conv_id"], {"__life": (F.sum, "__quiet + cast(kind = 'purge' AS long)")}).withColumn("__life", F.col("__life") + F.col("__quiet"))
     life = ["conv_id", "__life"]
-    rows = _running(rows.drop("__at", "__quiet"), life, {"__begun": (F.max, "kind <> 'purge' AND is_new AND alive")})
+    rows = running(rows.drop("__at", "__quiet"), life, {"__begun": (F.max, "kind <> 'purge' AND is_new AND alive")})
     rows = rows.withColumn("__begun", F.coalesce("__begun", F.lit(False)) | (F.col("is_new") & F.col("alive")))
-    rows = _running(rows, life, {"__last": (F.max, "CASE WHEN kind <> 'purge' AND alive AND __begun THEN turn END")})
+    rows = running(rows, life, {"__last": (F.max, "CASE WHEN kind <> 'purge' AND alive AND __begun THEN turn END")})
     rows = rows.withColumn("__late", F.coalesce(F.col("turn") <= F.col("__last"), F.lit(False)))
     good = "kind <> 'purge' AND alive AND __begun AND NOT __late"
-    rows = _running(rows, life, {"__n": (F.sum, f"cast({good} AS long)"), "__w": (F.sum, f"CASE WHEN {good} THEN words ELSE 0 END")})
+    rows = running(rows, life, {"__n": (F.sum, f"cast({good} AS long)"), "__w": (F.sum, f"CASE WHEN {good} THEN words ELSE 0 END")})
     full = (F.col("__n") >= max_turns) | (F.col("__w") >= max_words)
     outcome = F.when(F.col("kind") == "purge", "purged").when(~F.col("__begun") & ~F.col("is_new"), "orphan").when(~F.col("alive"), "dead").when(full, "full").when(F.col("__late"), "late").otherwise("stored")
     rows = rows.withColumn("outcome", outcome).withColumn("__kept", (F.col("outcome") == "stored").cast("long"))
-    rows = _running(rows, life, {"__turns": (F.sum, "__kept"), "__words": (F.sum, "__kept * words")})
+    rows = running(rows, life, {"__turns": (F.sum, "__kept"), "__words": (F.sum, "__kept * words")})
     after = lambda total, own: F.when(F.col("kind") == "purge", F.lit(0)).otherwise(F.col(total) + F.col("__kept") * own)
     return rows.select("conv_id", "seq", "turn", "outcome", after("__turns", F.lit(1)).alias("turns"), after("__words", F.col("words")).alias("words"))

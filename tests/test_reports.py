@@ -108,3 +108,21 @@ def test_appends_and_uploads(spark):
 def test_json_keys_part_where_plain_ones_run_together(spark):
     df = spark.createDataFrame([("a,b", "c"), ("a", "b,c")], "x string, y string")
     assert len({r.cache_key for r in store.json_reply_keys(df, [F.col("x"), F.col("y")]).collect()}) == 2
+
+
+def test_caps_count_the_batch_itself(spark):
+    stored = spark.createDataFrame([(1, i, "w w") for i in range(3)], "conv_id long, turn long, text string")
+    new = spark.createDataFrame([(1, t, "w", 7, False) for t in range(10, 110)] + [(2, 1, "w", 7, False), (2, 2, "w", 8, True), (2, 3, "w", 7, True), (2, 4, None, 7, False)], "conv_id long, turn long, text string, doc_id long, is_new boolean")
+    got = {(r.conv_id, r.turn): r.outcome for r in conversations.appended(stored, new, spark.createDataFrame([(7,)], "doc_id long"), 50, 10_000).collect()}
+    assert [got[1, t] for t in range(10, 110)] == ["stored"] * 47 + ["full"] * 53
+    assert [got[2, t] for t in (1, 2, 3, 4)] == ["orphan", "dead", "stored", "stored"]
+
+
+def test_chunk_files_are_read_strictly(spark, tmp_path):
+    from corpusmill.sources import tables
+
+    (tmp_path / "good.jsonl").write_text('{"_params": {"size": 5}, "_strategy": "fixed"}\n{"chunk_id": "a", "text": "t", "page_start": 1}\n')
+    assert [tuple(r)[:3] for r in tables.chunks(spark, str(tmp_path / "good.jsonl")).collect()] == [("a", "t", 1)]
+    (tmp_path / "bad.jsonl").write_text('{"chunk_id": "a", "page_start": "one"}\n')
+    with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED|Malformed"):
+        tables.chunks(spark, str(tmp_path / "bad.jsonl")).collect()
