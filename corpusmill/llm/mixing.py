@@ -2,7 +2,8 @@
 
 Tokens are summed in cells (source, language, topic). Raking scales the cells until their sums meet the target weight
 of every source, language and topic: SWEEPS times, one dimension after the other. Each step is a grouped sum, combined
-before the shuffle, and a join on the table of cells, so any number of categories is raked and none is folded. A
+before the shuffle, and a join on the table of cells (up to BROADCAST_ROWS cells: sums over windows, all steps in one job, with
+the same numbers), so any number of categories is raked and none is folded. A
 document's probability is its cell's raked weight over its tokens, divided by the highest such ratio, so none exceeds 1
 and the expected mix is the target. A hash of the id draws.
 
@@ -19,9 +20,10 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from .storage import join_small, written
 
 ALPHA, SWEEPS, SEED, WIDE_GAP = 0.85, 10, "mix", 0.01
@@ -70,6 +72,14 @@ def rates(docs: DataFrame, alpha: float = ALPHA, sweeps: int = SWEEPS, targets:
         shares = _shares(cells, k, alpha) if targets is None else targets.where(F.col("dimension") == d).select(F.col("category").alias(k), F.col("weight").cast("double").alias("t"))
         wanted[k] = written(shares, "targets")
     cells = cells.withColumn("w", F.col("tokens"))
+    if n <= storage.BROADCAST_ROWS:  # few cells: all sweeps are one job, and no window holds more rows than could be broadcast
+        for k in keys:
+            cells = cells.join(wanted[k].withColumnRenamed("t", f"t{k}"), k, "left")
+        for k in keys * sweeps:
+            cells = cells.withColumn("s", F.sum("w").over(Window.partitionBy(k)))
+            cells = cells.withColumn("w", F.when(F.col("w") > 0, F.col("w") * F.coalesce(f"t{k}", F.lit(0.0)) / F.col("s")).otherwise(F.lit(0.0)))
+        cells = written(cells.select(*keys, "tokens", "w"), "cells")
+        sweeps = 0
     for _ in range(sweeps):
         for k in keys:
             sums = cells.groupBy(k).agg(F.sum("w").alias("s")).join(wanted[k], k, "left")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import join_small, written
-from .text import ranges, span_hashes
+from .text import ranges, release, span_hashes
 
 CAPACITY, END_ID, SLACK = 2048, 1, 0.02
 TOKENIZER = "word_bpe_49k.json"
@@ -187,6 +187,8 @@ def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "worker", "k", "nth", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names[: 8 + with_ids])
+        coder.forget()
+        release()
 
     return run
 

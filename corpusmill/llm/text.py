@@ -7,6 +7,8 @@ never uses those bytes inside a character.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,13 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers are kept for later stages, which need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only one C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(33))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bitmap, exact_dedup, graph, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, toxicity
+from corpusmill.llm import bitmap, exact_dedup, graph, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, storage, substring_dedup, toxicity
 from corpusmill.llm.graph import components
 from tests.oracle import differences
 
@@ -408,6 +408,14 @@ def test_mixing_meets_the_targets(spark):
     assert out.where("probability > 1 OR probability < 0").count() == 0
 
 
+def test_mixing_of_many_cells_gives_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = sorted(map(tuple, mixing.rates(docs).collect()))
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 3)
+    many = sorted(map(tuple, mixing.rates(docs, sweeps=10).collect()))
+    assert [r[:3] for r in few] == [r[:3] for r in many] and [r[3] for r in few] == pytest.approx([r[3] for r in many], abs=2e-9)
+
+
 def test_mixing_awkward(spark, docs):
     out = mixing.mix_documents(docs)
     assert out.count() == docs.count() and out.where("sampled IS NULL").count() == 0
