@@ -191,3 +191,24 @@ def _split(items: str) -> list[str]:
             out.append(now.strip())
             now = ""
     return out
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(coalesce(text, '') || CASE conv_id % 3 WHEN 0 THEN ' [S2] and [S1], [S2]' WHEN 1 THEN ' [S9]' ELSE '' END, '\[S(\d+)\]', 1), lambda n: TRY_CAST(n AS BIGINT)) AS cited FROM conversations WHERE role = 'assistant'),
+d AS (SELECT conv_id, turn, list_filter(cited, lambda n, i: i = 1 OR NOT list_has_any([n], cited[1:i - 1])) AS cited FROM c), e AS (SELECT conv_id, turn, unnest(range(0, len(cited))) AS place, cited FROM d)
+SELECT conv_id, turn, place::INT AS place, cited[place + 1] AS cited, CASE WHEN cited[place + 1] BETWEEN 1 AND 5 THEN conv_id * 10 + cited[place + 1] END AS doc_id FROM e""")
+def cited_passages(spark, sf_dir):
+    """Citations of every answer with the passages of its context, five to an answer, by their place."""
+    said = t(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("q_id", F.struct("conv_id", "turn"))
+    answers = said.select("q_id", F.expr("coalesce(text, '') || CASE conv_id % 3 WHEN 0 THEN ' [S2] and [S1], [S2]' WHEN 1 THEN ' [S9]' ELSE '' END").alias("answer"))
+    contexts = said.select("q_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"), "conv_id").select("q_id", "rank", (F.col("conv_id") * 10 + F.col("rank")).alias("doc_id"))
+    found = reports.cited_passages(answers, contexts)
+    return found.select("q_id.conv_id", "q_id.turn", "place", "cited", "doc_id")
+
+
+@query("""SELECT doc_id AS q_id, CASE WHEN doc_id % 7 > 0 THEN lang END AS answer, CASE WHEN doc_id % 7 > 0 THEN quality END AS correct, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 1 THEN 'failed' WHEN quality IS NULL THEN 'unjudged' ELSE 'judged' END AS state
+FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels WHERE doc_id % 7 > 0) USING (doc_id)""")
+def run_rows(spark, sf_dir):
+    """Questions (one a document), the runs that there are, and the verdicts that there are."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), "lang")
+    traces = docs.where("q_id % 7 > 0").select("q_id", F.col("lang").alias("answer"), F.when(F.col("q_id") % 11 == 1, "timed out").alias("error"))
+    return reports.run_rows(docs.select("q_id"), traces, t(spark, sf_dir, "labels").where("doc_id % 7 > 0").select(F.col("doc_id").alias("q_id"), F.col("quality").alias("correct")))

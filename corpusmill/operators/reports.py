@@ -184,3 +184,31 @@ def _same_question(c: str) -> Column:
     """Lower case, single spaces, without the marks at the end."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     return F.regexp_replace(plain, "[?.!]+$", "")
+
+
+def qualified(chunks: DataFrame, doc: Column, source: Column) -> DataFrame:
+    """chunks with chunk_id made unique over all documents (document, colon, id; a null document is 'none') and tagged with its source."""
+    return chunks.withColumns({"chunk_id": F.concat(F.coalesce(doc.cast("string"), F.lit("none")), F.lit(":"), "chunk_id"), "source": source})
+
+
+def cited_passages(answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """answers(q_id, answer), contexts(q_id, rank, doc_id) -> (q_id, place, cited, doc_id): each different citation [Sn] of an answer, in the
+    order of the text, with the passage that stands n-th in its context; null where there is none. A null answer cites nothing."""
+    cited = answers.select("q_id", F.posexplode(tx.citations(F.coalesce("answer", F.lit(""))))).select("q_id", F.col("pos").alias("place"), F.col("col").cast("long").alias("cited"))
+    passages = contexts.select("q_id", F.col("rank").cast("long").alias("cited"), "doc_id").dropDuplicates(["q_id", "cited"])
+    return cited.join(passages, ["q_id", "cited"], "left").select("q_id", "place", "cited", "doc_id")
+
+
+def run_rows(questions: DataFrame, traces: DataFrame, judged: DataFrame) -> DataFrame:
+    """questions(q_id, ..), traces(q_id, answer, error), judged(q_id, correct) -> a row a question: its columns, answer, correct, and state:
+    `missing` without a trace, `failed` with an error, `unjudged` without a verdict, else `judged`. One trace and verdict a question."""
+    rows = questions.join(traces.select("q_id", "answer", "error", F.lit(True).alias("__run")), "q_id", "left").join(judged.select("q_id", "correct"), "q_id", "left")
+    state = F.when(F.col("__run").isNull(), "missing").when(F.col("error").isNotNull(), "failed").when(F.col("correct").isNull(), "unjudged").otherwise("judged")
+    return rows.withColumn("state", state).drop("__run", "error")
+
+
+def write_report(path: str, questions: DataFrame, summary: DataFrame) -> None:
+    """An evaluation run under path: `per_question.jsonl`, a line a question, and `report.json`, the one row of the summary; both as folders."""
+    lines = lambda df: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines(questions).write.text(f"{path}/per_question.jsonl")
+    lines(summary).coalesce(1).write.text(f"{path}/report.json")  # one row

@@ -126,3 +126,22 @@ def test_chunk_files_are_read_strictly(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"chunk_id": "a", "page_start": "one"}\n')
     with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED|Malformed"):
         tables.chunks(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_citations_meet_their_passages(spark):
+    answers = spark.createDataFrame([(1, "a [S2] b [S1] [S2] [S7]"), (2, None), (3, "none")], "q_id long, answer string")
+    contexts = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (2, 1, 70)], "q_id long, rank int, doc_id long")
+    assert sorted(map(tuple, reports.cited_passages(answers, contexts).collect())) == [(1, 0, 2, 60), (1, 1, 1, 50), (1, 2, 7, None)]
+
+
+def test_run_rows_and_report_files(spark, tmp_path):
+    questions = spark.createDataFrame([(i,) for i in range(4)], "q_id long")
+    traces = spark.createDataFrame([(0, "a", None), (1, None, "broke"), (2, "b", None)], "q_id long, answer string, error string")
+    rows = reports.run_rows(questions, traces, spark.createDataFrame([(0, True)], "q_id long, correct boolean"))
+    assert {r.q_id: r.state for r in rows.collect()} == {0: "judged", 1: "failed", 2: "unjudged", 3: "missing"}
+    reports.write_report(str(tmp_path / "run"), rows, rows.groupBy().count())
+    back = spark.read.json(str(tmp_path / "run" / "per_question.jsonl"))
+    assert sorted((r.q_id, r.state) for r in back.collect()) == [(0, "judged"), (1, "failed"), (2, "unjudged"), (3, "missing")]
+    assert spark.read.json(str(tmp_path / "run" / "report.json")).first()["count"] == 4
+    ids = reports.qualified(spark.createDataFrame([("fixed-1", 7), ("fixed-1", None)], "chunk_id string, d long"), F.col("d"), F.lit("s")).collect()
+    assert [(r.chunk_id, r.source) for r in ids] == [("7:fixed-1", "s"), ("none:fixed-1", "s")]
