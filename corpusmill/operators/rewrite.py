@@ -16,7 +16,9 @@ STARTERS = (
     "on for with between versus using the a an so if since while"
 ).split()
 TAGS = "STANDALONE|REWRITE|CLARIFY|NEW_TOPIC"
+#: What counts as quoted; what a reply's line looks like.
 _QUOTED = "\"([^\"]+)\"|“([^”]+)”"
+_REPLY = r"(?i)^\s*({tags})\b\s*:?\s*(.*?)\s*$"
 #: A capitalised word with what stands before it: the beginning, a sentence's end and a space, or anything else.
 _NAMED = r"(?:^\s*|[.!?]\s+|.)\b([A-Z][A-Za-z0-9]*)\b"
 
@@ -26,7 +28,7 @@ def reply_parts(reply: Column) -> Column:
     its text (STANDALONE needs none); `unparsed` for anything else. Null is empty."""
     lines = F.filter(F.split(F.coalesce(reply, F.lit("")), r"\r\n|[\n\r]"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    pattern = rf"(?i)^\s*({TAGS})\b\s*:?\s*(.*?)\s*$"
+    pattern = _REPLY.format(tags=TAGS)
     tag = F.upper(F.regexp_extract(first, pattern, 1))
     payload = F.regexp_replace(F.regexp_extract(first, pattern, 2), "^[`\"' ]+|[`\"' ]+$", "")
     kind = F.when(first == "", "empty").when(tag == "", "unparsed").when(tag == "STANDALONE", tag).when(payload == "", "empty").otherwise(tag)
