@@ -3,8 +3,10 @@
 Candidates come from a MinHash LSH forest. Each of TREES trees is a sorted prefix trie of DEPTH-value signatures: rows are
 range-partitioned and sorted by (tree, signature) once, and neighbours are linked by how many values they share, so a
 crowded trie node costs one link a row, not all pairs (the deepest spanning links of each partition are kept). Matched
-prefixes are shortened adaptively: pairs linked at the full depth are verified on a bounded sample, and the similarities measured there say which share of the similar pairs every shorter depth would find (`recall_at`); the
-longest prefix that reaches TARGET_RECALL gives the candidate groups. A loose group over SPLIT_FROM documents is first split by an
+prefixes are shortened adaptively: the first candidate groups come from the longest prefix with which any pair at the threshold is
+found with TARGET_RECALL, whatever the table holds. All their links are verified and counted by similarity; if those counts let
+LOST links or more be expected beyond the groups, the prefix is shortened until fewer are (`shortened`), and the larger groups
+are verified. Nothing is sampled. A loose group over SPLIT_FROM documents is first split by an
 exact index of its rarest shingles: two sets that are similar enough share one of their n - ceil(THRESHOLD n) + 1 rarest,
 so documents that only share a common passage part. Each group is verified exactly on whole shingle sets, in blocks of
 BLOCK documents so that a group of any size spreads over tasks. Counts and spanning links leave a task, never all pairs.
@@ -19,7 +21,6 @@ Shingles are told apart by 64-bit hashes. A single document's shingles must fit
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from .text import blocks, mix, release, shingle_sets, span_hashes, split_words
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, LEAST_DEPTH, TARGET_RECALL = 20, 7, 2, 0.9999
 BLOCK = 1024
-#: Linked pairs whose similarities are measured to choose the depth; only the depth follows from them.
-RECALL_SAMPLE = 10_000
+#: The prefix is shortened until fewer links than this are expected to be missed in the whole table.
+LOST = 1
 #: Groups of more documents are split first, if they are loose; up to this size verifying all blocks costs less than splitting.
 SPLIT_FROM = 32 * BLOCK
 #: A large group whose documents are as similar as this on average is verified without splitting it first.
@@ -64,6 +65,13 @@ def match_depth(pairs: dict[int, int], target: float = TARGET_RECALL, threshold:
     return next((d for d in range(DEPTH, LEAST_DEPTH, -1) if recall_at(pairs, d, threshold=threshold) >= target), LEAST_DEPTH)
 
 
+def shortened(pairs: dict[int, int], depth: int) -> int:
+    """The longest prefix of at most `depth` values with which fewer than LOST links are expected to be missed. pairs: how many
+    links of each hundredth of similarity were found at `depth`, all of them; each stands for 1 / found_share links."""
+    lost = lambda d: sum(n * (1 - found_share(s / 100, d)) / found_share(s / 100, depth) for s, n in pairs.items())
+    return next((d for d in range(depth, LEAST_DEPTH, -1) if lost(d) < LOST), LEAST_DEPTH)
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, d1, d2, text) -> id, d1, d2, 128-bit key of the word sequence, signature (empty without words)."""
     for batch in batches:
@@ -223,8 +231,9 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*keep, pa.array(packed, pa.binary())], names=["id", "component", "shingles"])
 
 
-def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float, measure: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Which of left x right are similar enough, and all similarities if they are to be measured; exact counts by a product of incidence matrices over shared shingles."""
+def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which of left x right are similar enough, and the number of these links by hundredths of similarity (0 to 100); exact
+    counts by a product of incidence matrices over shared shingles. same: both sides are the same rows, none is linked to itself."""
     a, b = np.concatenate(left), np.concatenate(right)
     na, nb = (np.array([len(x) for x in s]) for s in (left, right))
     ra, rb = np.repeat(np.arange(len(left)), na), np.repeat(np.arange(len(right)), nb)
@@ -243,7 +252,14 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float,
         both += x @ y.T
     total = na[:, None] + nb[None, :]
     hit = (1 + threshold) * both.astype(np.float64) >= threshold * total - 1e-9
-    return hit, both / np.maximum(total - both, 1) if measure else None
+    if same:
+        np.fill_diagonal(hit, False)
+    counts = np.zeros(101, np.int64)
+    for lo in range(0, len(left), 128):  # a few rows at a time: in a dense group nearly all pairs are links
+        here = hit[lo : lo + 128]
+        m = both[lo : lo + 128][here].astype(np.float64)
+        counts += np.bincount(np.floor(100 * m / np.maximum(total[lo : lo + 128][here] - m, 1) + 1e-4).astype(np.int64), minlength=101)
+    return hit, counts // 2 if same else counts
 
 
 def connected(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -264,12 +280,12 @@ def connected(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(rows), np.concatenate(columns)
 
 
-def _verify_batches(threshold: float, measure: bool):
+def _verify_batches(threshold: float):
     """Rows (task, side_a, side_b, id, shingles) sorted by task -> (id, links, near): verified links of each document in
-    that task, and the least document it is connected to there. If similarities are measured, rows without an id count, for
-    each hundredth of similarity (near), the pairs verified."""
+    that task, and the least document it is connected to there. Rows without an id count, for each hundredth of
+    similarity (near), all links verified."""
 
-    measured: Counter[int] = Counter()
+    measured = np.zeros(101, np.int64)
 
     def flush(rows: list[tuple]) -> list[tuple]:
         rows = [r for k, r in enumerate(rows) if not k or r[2] != rows[k - 1][2]]  # rows that share id and text
@@ -278,19 +294,14 @@ def _verify_batches(threshold: float, measure: bool):
         a, b = [i for i, r in enumerate(rows) if r[0]], [i for i, r in enumerate(rows) if r[1]]
         if not a or not b:
             return []
-        hit, similarity = _similar([sets[i] for i in a], [sets[i] for i in b], threshold, measure)
+        hit, counts = _similar([sets[i] for i in a], [sets[i] for i in b], threshold, a == b)
         links = np.zeros(len(rows), np.int64)
-        same = a == b
-        if same:
-            np.fill_diagonal(hit, False)
+        if a == b:
             links[a] = hit.sum(1)
-            if measure:
-                measured.update(np.floor(similarity[np.triu(hit)] * 100 + 1e-4).astype(int).tolist())
         else:
             links[a] += hit.sum(1)
             links[b] += hit.sum(0)
-            if measure:
-                measured.update(np.floor(similarity[hit] * 100 + 1e-4).astype(int).tolist())
+        measured[:] += counts
         least = np.array(ids, np.int64)
         for rows_of, columns_of in connected(hit):
             members = np.concatenate([np.array(a)[rows_of], np.array(b)[columns_of]])
@@ -299,7 +310,7 @@ def _verify_batches(threshold: float, measure: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows, out = None, [], []
-        measured.clear()
+        measured[:] = 0
 
         def packed() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[], [], []]
@@ -315,7 +326,7 @@ def _verify_batches(threshold: float, measure: bool):
             yield packed()
             out = []
         out += flush(rows)
-        out += [(None, n, s) for s, n in measured.items()]
+        out += [(None, int(measured[s]), s) for s in np.flatnonzero(measured).tolist()]
         yield packed()
         rows = out = []
         release()
@@ -324,20 +335,15 @@ def _verify_batches(threshold: float, measure: bool):
 
 
 def verified_links(sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """sets(id, component, shingles) -> (id, links, near) of each verification task a document has links in."""
+    """sets(id, component, shingles) -> (id, links, near) of each verification task a document has links in, and rows
+    without an id: the number of links of each hundredth of similarity (near)."""
     sizes = sets.groupBy("component").count().where("count > 1").withColumn("n", F.ceil(F.col("count") / block).cast("int"))
     placed = sets.join(sizes.select("component", "n"), "component").withColumn("mine", F.expr("cast(pmod(xxhash64(id), n) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     tasks = placed.select("component", "mine", "id", "shingles", other).select(
         "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.expr("mine <= other").alias("side_a"), F.expr("mine >= other").alias("side_b"), "id", "shingles"
     )
-    return tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInArrow(_verify_batches(threshold, False), "id long, links long, near long")
-
-
-def measured_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """sets of pairs (two rows a component) -> as `verified_links`, with the counts by similarity."""
-    one = sets.select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("side_a"), F.lit(True).alias("side_b"), "id", "shingles")
-    return one.repartition("component").sortWithinPartitions("component", "id").mapInArrow(_verify_batches(threshold, True), "id long, links long, near long")
+    return tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInArrow(_verify_batches(threshold), "id long, links long, near long")
 
 
 def _digests(text) -> list:
@@ -354,9 +360,10 @@ def loose(groups: DataFrame, signatures: DataFrame, values: int = 8) -> DataFram
     return alike.where(F.col("alike") < DENSE).select("component")
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, block: int = BLOCK, sample: int = RECALL_SAMPLE, split_from: int = SPLIT_FROM) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, block: int = BLOCK, split_from: int = SPLIT_FROM, sample: int | None = None) -> DataFrame:
     """(id, d1, d2, copy_of, class_id, n_links, stays) for every row of docs; d1 and d2 tell its text, stays whether it
-    represents its group: it has the smallest id, and the words of the first class with that id."""
+    represents its group: it has the smallest id, and the words of the first class with that id. No sample is taken; the
+    argument is accepted for older callers."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *_digests(text)).select("id", "d1", "d2", "text")
     signed = written(rows.mapInArrow(_signature_batches, "id long, d1 long, d2 long, k1 long, k2 long, signature binary"), "signatures")
@@ -373,22 +380,24 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bloc
         texts = join_small(rows, named, same, "inner", size).select(F.col("node").alias("id"), "component", "text")
         return written(texts.mapInArrow(_set_batches, "id long, component long, shingles binary"), "sets")
 
-    # what the deepest links are worth: the similarities of a bounded sample of linked pairs
-    deep = trees.where(F.col("depth") >= DEPTH).select("u", "v").orderBy(F.xxhash64("u", "v"), "u", "v").limit(sample)
-    pairs = written(deep.withColumn("component", F.monotonically_increasing_id()), "pairs")
-    met = measured_pairs(sets_of(pairs.select("component", F.explode(F.array("u", "v")).alias("node")), 2 * sample), threshold)
-    seen = met.where("id IS NULL").groupBy("near").agg(F.sum("links").alias("n")).collect()  # at most 21 rows
-    depth = match_depth({r.near: r.n for r in seen}, threshold=threshold)
-
-    groups = written(components(links_at(trees, depth)), "candidates")
-    sets, large = sets_of(groups, groups.count()), written(groups.groupBy("component").count().where(F.col("count") > split_from).select("component"), "crowds")
-    if large.count():
-        large = written(loose(join_small(groups, large, "component", "left_semi"), lone), "large")
-    if large.count():
-        crowded, rest = (join_small(sets, large, "component", how) for how in ("left_semi", "left_anti"))
-        finer = written(split_large(crowded, threshold), "finer")
-        sets = written(rest.unionByName(join_small(crowded.drop("component"), finer, "id", "inner").select("id", "component", "shingles")), "sets")
-    found = written(verified_links(sets, threshold, block), "verified")
+    def verified(depth: int) -> tuple[DataFrame, dict[int, int]]:
+        """(id, links, near) of all links in the groups of this depth, and their number by hundredths of similarity."""
+        groups = written(components(links_at(trees, depth)), "candidates")
+        sets, large = sets_of(groups, groups.count()), written(groups.groupBy("component").count().where(F.col("count") > split_from).select("component"), "crowds")
+        if large.count():
+            large = written(loose(join_small(groups, large, "component", "left_semi"), lone), "large")
+        if large.count():
+            crowded, rest = (join_small(sets, large, "component", how) for how in ("left_semi", "left_anti"))
+            finer = written(split_large(crowded, threshold), "finer")
+            sets = written(rest.unionByName(join_small(crowded.drop("component"), finer, "id", "inner").select("id", "component", "shingles")), "sets")
+        found = written(verified_links(sets, threshold, block), "verified")
+        counts = found.where("id IS NULL").groupBy("near").agg(F.sum("links").alias("n")).collect()  # at most 101 rows
+        return found.where("id IS NOT NULL"), {r.near: r.n for r in counts}
+
+    depth = match_depth({}, threshold=threshold)  # holds for any pair, whatever the table holds
+    found, pairs = verified(depth)
+    if (shorter := shortened(pairs, depth)) < depth:
+        found, _ = verified(shorter)
     links = found.groupBy("id").agg(F.sum("links").alias("n_links")).withColumnRenamed("id", "node")
     near = components(found.select(F.col("id").alias("u"), F.col("near").alias("v")))
     linked = written(links.join(near, "node").join(classes.select("node", "k1", "k2", "copy_of"), "node"), "linked")
@@ -404,7 +413,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bloc
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:
-    """(id, copy_of, class_id, n_links) for every row of docs; settings: the block and sample sizes, if others.
+    """(id, copy_of, class_id, n_links) for every row of docs; settings: the block size and the size from which groups are split, if others.
 
     copy_of: smallest id with the same words; class_id: smallest id connected by similarity; n_links: how many other
     word sequences are similar to this one.

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,46 @@ def test_match_depth_follows_what_was_measured():
         assert ngram_join.recall_at(pairs, ngram_join.match_depth(pairs)) >= ngram_join.TARGET_RECALL
 
 
+def one_faint_pair():
+    """150 pairs that differ in one word, and one pair at 0.806 whose signatures share no whole path in any tree."""
+    rng = random.Random(6)
+    text = lambda: [f"v{rng.randrange(10**9)}" for _ in range(60)]
+    faint = [(t, [*t[:30], "else", *t[31:59], "end"]) for t in (text() for _ in range(1500))]
+    column = pa.array([" ".join(t) for pair in faint for t in pair])
+    none = pa.array(range(len(column)), pa.int64())
+    signed = pa.concat_arrays([b.column(5) for b in ngram_join._signature_batches(iter([pa.RecordBatch.from_arrays([none, none, none, column], ["id", "d1", "d2", "text"])]))])
+    paths = np.frombuffer(b"".join(signed.to_pylist()), ">u4").reshape(-1, 2, ngram_join.TREES, ngram_join.DEPTH)
+    i = int(np.flatnonzero(~(paths[:, 0] == paths[:, 1]).all(2).any(1))[0])
+    alike = [(10 + 2 * k + j, " ".join(t + ["more"] * j)) for k, t in enumerate(text() for _ in range(150)) for j in (0, 1)]
+    return [(j, " ".join(t)) for j, t in enumerate(faint[i])] + alike
+
+
+def test_ngram_join_finds_a_faint_pair_among_many_close_ones(spark, monkeypatch):
+    rows, seen, shortened = one_faint_pair(), [], getattr(ngram_join, "shortened", None)
+    monkeypatch.setattr(ngram_join, "shortened", lambda pairs, depth: seen.append(pairs) or shortened(pairs, depth), raising=False)
+    for sizes in ({}, {"block": 32, "split_from": 64, "sample": 40}):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(docs_of(spark, rows), **sizes).collect()}
+        assert got[0] == got[1] == (0, 1) and {x[1] for x in got.values()} == {1}
+        assert seen.pop() == {80: 1, 98: 150}  # every link is counted
+
+
+def test_ngram_join_counts_all_links_of_split_groups(spark, monkeypatch):
+    rng, base, seen = random.Random(2), [f"w{i}" for i in range(60)], []
+    rows = [(i, " ".join(x if rng.random() > 0.012 else f"q{rng.randint(0, 30)}" for x in base)) for i in range(100)]
+    monkeypatch.setattr(ngram_join, "shortened", lambda pairs, depth: seen.append(pairs) or ngram_join.LEAST_DEPTH, raising=False)
+    got = ngram_join.similar_documents(docs_of(spark, rows), block=13).collect()
+    _, links = jaccard_truth(rows)
+    lead = {r.doc_id: r.n_links for r in got if r.doc_id == r.copy_of}
+    assert sum(seen[0].values()) * 2 == sum(map(len, links.values())) == sum(lead.values())  # before and after shortening
+
+
+def test_prefix_is_shortened_by_all_links():
+    start = ngram_join.match_depth({})
+    assert ngram_join.shortened({}, start) == ngram_join.shortened({80: 100, 97: 10**9}, start) == start
+    depths = [ngram_join.shortened({80: n}, start) for n in (1000, 10**5, 10**9)]
+    assert depths == sorted(depths, reverse=True) and depths[0] == start and depths[1] < start and depths[-1] == ngram_join.LEAST_DEPTH
+
+
 def test_split_large_parts_no_similar_pair(spark):
     """A family that shares half of its words parts into singles; near copies in it stay together."""
     shared, rng = [f"s{i}" for i in range(40)], random.Random(8)
