@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .text import ranges, release, span_hashes
 
 CAPACITY, END_ID, SLACK = 2048, 1, 0.02
 TOKENIZER = "word_bpe_49k.json"
-_GROUP_BYTES = 1 << 20
+_GROUP_BYTES = 1 << 18
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,15 +49,29 @@ for _b in range(256):
         _CLASS[_b] = 2
 
 
+_ODD = np.zeros(256, bool)  # bytes that the shortcut doesn't take; 0xC3 begins the letters it does
+_ODD[[b for b in range(256) if b < 32 and _CLASS[b] or b == 127 or b >= 0xC0 and b != 0xC3]] = True
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_SHORT = np.zeros(256, bool)  # begins what may follow an apostrophe in a contraction
+_SHORT[[ord(c) for c in "stmdrvlSTMDRVL"]] = True
+
+
+#: Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
+_AS_CHAR = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class Coder:
-    """ids of texts by a word-level tokenizer, each distinct word coded once while it stays in a bounded cache.
+    """ids of texts by a word-level tokenizer. The ids of a word stay at a place given by its hash until another word takes that
+    place, so the cache is bounded and holds the frequent words; what is returned doesn't depend on it.
 
     Texts of plain ASCII and the letters of U+00C0 to U+00FF are cut into words as the tokenizer does (runs of
     letters, single digits, runs of other marks), and words are told apart by 64-bit hashes. Any other text, and one with
     a contraction or a special token's opening, goes through the tokenizer whole.
     """
 
-    MOST = 150_000
+    #: Places, and ids from which the pool is packed before the next texts.
+    SLOTS, MOST_IDS = 1 << 19, 3 << 20
 
     def __init__(self, path: str) -> None:
         import os
@@ -65,72 +80,86 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        #: the shortcut holds for tokenizers whose every word ends in a token marked as an end
-        self.by_words = len(self.whole(["a1 bc."])[0]) > 0 and int(self.ends[self.whole(["a1 bc."])[0]].sum()) == 4
+        self.model = self.tokenizer.model
+        #: the shortcut holds for tokenizers that code lower-cased words one by one, as bytes
+        probe = "a1 bc. the élan, Ñandú ßtraße—Àþÿ Über20"
+        words = ["a", "1", "bc", ".", "the", "élan", ",", "ñandú", "ßtraße", "àþÿ", "über", "2", "0"]
+        self.forget()
+        self.by_words = self.whole([probe.replace("—", " ")])[0].tolist() == self.pool[: self.learn([w.encode() for w in words])[1].sum()].tolist()
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.at, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+        self.key, self.at, self.size = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used = np.zeros(4096, np.uint32), 0
+
+    def tidy(self) -> None:
+        """Keeps in the pool only ids of words that still have a place; if those are most of it, begins anew."""
+        held = np.flatnonzero(self.size)
+        size = self.size[held].astype(np.int64)
+        if size.sum() > self.MOST_IDS // 4 * 3:
+            return self.forget()
+        self.pool = self.pool[ranges(self.at[held].astype(np.int64), size)]
+        self.at[held], self.used = np.cumsum(size) - size, len(self.pool)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
-        ids = self.whole([" ".join(words)])[0]
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
-            raise ValueError("the tokenizer does not end every word with a marked token")
-        n, starts = len(self.index), np.concatenate([[0], stops[:-1]])
-        while n + len(keys) > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.at[n : n + len(keys)], self.size[n : n + len(keys)] = starts + self.used, stops - starts
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of new words begin, and how many they are; the model takes the words' bytes as characters."""
+        code = self.model.tokenize
+        coded = [[t.id for t in code(w.decode() if w.isascii() else w.decode("latin-1").translate(_AS_CHAR))] for w in words]
+        count = np.array([len(c) for c in coded], np.int64)
+        at, self.used = self.used, self.used + int(count.sum())
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(max(at // 2, self.used - at), np.uint32)])
+        self.pool[at : self.used] = np.fromiter(chain.from_iterable(coded), np.uint32, self.used - at)
+        return at + np.cumsum(count) - count, count
+
+    def places(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of each word of low begin, and how many they are."""
+        if self.used > self.MOST_IDS:
+            self.tidy()
+        hashes = span_hashes(low, starts, ends)
+        slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        missed = np.flatnonzero((self.key[slot] != hashes) | (size == 0))
+        if len(missed):
+            new, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            first, raw = missed[first], low.tobytes()
+            where, count = self.learn([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            at[missed], size[missed] = where[inverse], count[inverse]
+            _, owner = np.unique(slot[first], return_index=True)  # one of the words that come to the same place
+            self.key[slot[first[owner]]], self.at[slot[first[owner]]], self.size[slot[first[owner]]] = new[owner], where[owner], count[owner]
+        return at, size
 
     def code(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         raw = [t.encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        odd = ((data < 32) & (_CLASS[data] != 0)) | (data == 127) | ((data >= 0xC0) & (data != 0xC3))
-        if len(data):
-            odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
-            odd[1:] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-            odd[1:] |= (data[:-1] == 0x27) & np.isin(data[1:] | 32, [ord(c) for c in "stmdrvl"])
-        strange = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) > 0
+        after = lambda b: np.flatnonzero(data[:-1] == b) + 1
+        accents, openings, quotes = after(0xC3), after(0x3C), after(0x27)
+        odd = [np.flatnonzero(_ODD[data]), accents[(data[accents] == 0x97) | (data[accents] == 0xB7)], openings[data[openings] == 0x7C], quotes[_SHORT[data[quotes]]]]
+        strange = np.zeros(len(texts), bool)
+        strange[np.searchsorted(offsets, np.concatenate(odd), "right") - 1] = True
         if not self.by_words:
             strange[:] = True
         some = np.flatnonzero(strange)
         for i, ids in zip(some, self.whole([texts[i] for i in some]), strict=True):
             out[i] = ids
-        low = data.copy()
-        low[(data >= 65) & (data <= 90)] += 32
-        low[1:][(data[:-1] == 0xC3) & (data[1:] <= 0x9E)] += 32
+        low = _LOW[data]
+        low[accents[data[accents] <= 0x9E]] += 32
         kind = _CLASS[data]
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         edge[offsets] = True
         cuts = np.flatnonzero(edge)
-        keep = (kind[cuts[:-1]] != 0) & ~strange[np.searchsorted(offsets, cuts[:-1], "right") - 1]
+        keep = kind[cuts[:-1]] != 0
+        if len(some):
+            keep &= ~strange[np.searchsorted(offsets, cuts[:-1], "right") - 1]
         starts, ends = cuts[:-1][keep], cuts[1:][keep]
-        hashes, first, inverse = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) + len(hashes) > self.MOST:
-            self.forget()
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.index]
-        if new:
-            whole = low.tobytes()
-            self.learn([keys[i] for i in new], [whole[starts[j] : ends[j]].decode() for j in first[new]])
-        slot = np.array([self.index[h] for h in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
-        sizes = self.size[slot].astype(np.int64)
-        ids = self.pool[ranges(self.at[slot], sizes)]
+        at, sizes = self.places(low, starts, ends)
+        ids = self.pool[ranges(at, sizes)]
         word_edge = np.searchsorted(starts, offsets)
         ends_at = np.concatenate([[0], np.cumsum(sizes)])[word_edge]
         for i in np.flatnonzero(~strange):
@@ -187,7 +216,6 @@ def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "worker", "k", "nth", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names[: 8 + with_ids])
-        coder.forget()
         release()
 
     return run

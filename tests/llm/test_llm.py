@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -385,6 +386,39 @@ def test_packing_awkward(spark, docs):
     assert whole.count() >= docs.count() and whole.where("crc32(ids) <> ids_crc32").count() == 0
 
 
+def test_words_are_coded_once_over_tasks(monkeypatch):
+    """A worker's next task, and a word among many rare ones, find their words in the cache."""
+    learned, learn = [], packing.Coder.learn
+    monkeypatch.setattr(packing.Coder, "learn", lambda self, *a: learned.extend(a[-1]) or learn(self, *a))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing._coder.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two three", "Two, four"])], names=["id", "text"])
+    tasks = [[b.to_pylist() for b in packing._piece_batches(packing.tokenizer_path(), packing.CAPACITY, 1, False)(iter([batch]))] for _ in range(2)]
+    assert tasks[0] == tasks[1] and sum(w in (b"two", "two") for w in learned) == 1
+    packing._coder.cache_clear()
+    monkeypatch.setattr(packing.Coder, "SLOTS", 1 << 12, raising=False)
+    monkeypatch.setattr(packing.Coder, "MOST", 1 << 9, raising=False)
+    coder = packing.Coder(packing.tokenizer_path())
+    learned.clear()
+    for i in range(300):
+        coder.code([f"often again {''.join(chr(97 + i // 26**k % 26) for k in range(3))}q"])
+    assert sum(w in (b"often", "often", b"again", "again") for w in learned) <= 4
+
+
+@pytest.mark.parametrize("slots,most", [(1 << 19, 3 << 20), (64, 300)])
+def test_coder_gives_the_tokenizers_ids(monkeypatch, slots, most):
+    monkeypatch.setattr(packing.Coder, "SLOTS", slots)
+    monkeypatch.setattr(packing.Coder, "MOST_IDS", most)
+    coder, rng = packing.Coder(packing.tokenizer_path()), random.Random(5)
+    plain = "abcde XYZ 01 .,!?\n\tàÉßÿÀþ_-"
+    assert coder.by_words
+    texts = ["", "don't", "DON'T 'x", "<|endoftext|>", "<", "'", "a" * 3000] + [chr(c) + "x " + chr(c) for c in range(1, 0x250)]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for letters in (plain, plain + "'<|×÷—漢e\u0301\x00\x7f\x85\xa0") for _ in range(1500)]
+    for k in range(0, len(texts), 100):
+        for got, want in zip(coder.code(texts[k : k + 100]), coder.whole(texts[k : k + 100]), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_cut_is_exact():
     for n in range(1, 10_000):
         pieces = packing.cut(n)
