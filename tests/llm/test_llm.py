@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusmill.llm import bitmap, exact_dedup, graph, license_scan, media, mixing, ngram_join, packing, quality, queries, sharding, storage, substring_dedup, toxicity
 from corpusmill.llm.graph import components
 from tests.oracle import differences
@@ -204,6 +205,11 @@ def test_ngram_join_finds_a_faint_pair_among_many_close_ones(spark, monkeypatch)
         assert seen.pop() == {80: 1, 98: 150}  # every link is counted
 
 
+def test_pipeline_stage_drops_a_faint_copy(spark):
+    left = {r.doc_id for r in corpus_pipeline.dissimilar(spark, docs_of(spark, one_faint_pair()), SF).collect()}
+    assert left == {0} | {10 + 2 * k for k in range(150)}
+
+
 def test_ngram_join_counts_all_links_of_split_groups(spark, monkeypatch):
     rng, base, seen = random.Random(2), [f"w{i}" for i in range(60)], []
     rows = [(i, " ".join(x if rng.random() > 0.012 else f"q{rng.randint(0, 30)}" for x in base)) for i in range(100)]
