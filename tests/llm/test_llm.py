@@ -210,6 +210,27 @@ def test_pipeline_stage_drops_a_faint_copy(spark):
     assert left == {0} | {10 + 2 * k for k in range(150)}
 
 
+def test_pipeline_stage_takes_the_prefix_from_no_sample(spark, monkeypatch):
+    """The first prefix sees no counts of the table; what may shorten it are all links, as many as brute force has."""
+    rng, base, given, seen = random.Random(2), [f"w{i}" for i in range(60)], [], []
+    rows = [(i, " ".join(x if rng.random() > 0.012 else f"q{rng.randint(0, 30)}" for x in base)) for i in range(100)]
+    first, shortened = ngram_join.match_depth, getattr(ngram_join, "shortened", None)
+    monkeypatch.setattr(ngram_join, "match_depth", lambda pairs, **k: given.append(dict(pairs)) or first(pairs, **k))
+    monkeypatch.setattr(ngram_join, "shortened", lambda pairs, depth: seen.append(dict(pairs)) or shortened(pairs, depth), raising=False)
+    left = {r.doc_id for r in corpus_pipeline.dissimilar(spark, docs_of(spark, rows), SF).collect()}
+    lead, links = jaccard_truth(rows)
+    runs = {a: {a[k : k + 5] for k in range(len(a) - 4)} for a in lead}
+    want = {}
+    for a, b in ((a, b) for a in links for b in links[a] if a < b):
+        near = 100 * len(runs[a] & runs[b]) // len(runs[a] | runs[b])
+        want[near] = want.get(near, 0) + 1
+    assert given == [{}] and seen == [want]
+    group = {w: min(ids) for w, ids in lead.items()}
+    while (now := {a: min([group[a], *(group[b] for b in links[a])]) for a in group}) != group:
+        group = now
+    assert left == set(group.values())
+
+
 def test_ngram_join_counts_all_links_of_split_groups(spark, monkeypatch):
     rng, base, seen = random.Random(2), [f"w{i}" for i in range(60)], []
     rows = [(i, " ".join(x if rng.random() > 0.012 else f"q{rng.randint(0, 30)}" for x in base)) for i in range(100)]
