@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .catalog import _TOKS, ORACLES, query
 from .functions import text as tx
-from .operators import ann, arms, conversations, evaluation, retrieval, sections, versions
+from .operators import ann, arms, conversations, evaluation, overlap, retrieval, sections, versions
 from .sources import pasted, sets
-from .sources.scratch import scratch_path
+from .sources.scratch import scratch_path, stored
 from .sources.tables import table as t
 
 _TITLED = "replace(coalesce(text, ''), '{nl}', '{nl}Notes on ' || coalesce(lang, 'und') || '{nl}')"
@@ -179,17 +179,11 @@ def arms_summary(spark, sf_dir):
     rows = users.join(last, "conv_id")
     earlier = rows.where("turn < last").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("h"))
     history = F.transform("h", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
-    words = docs.select(F.col("doc_id").alias("conv_id"), tx.tokens(F.col("text")).alias("ts"))
+    words = docs.select(F.col("doc_id").alias("conv_id"), F.slice(tx.tokens(F.col("text")), 1, 8).alias("ts"))  # cut before the join, so texts aren't shuffled
     items = rows.where("turn = last").join(earlier, "conv_id", "left").join(words, "conv_id", "left")
     first = lambda n: F.array_join(F.slice("ts", 1, n), " ")
-    made = items.select(F.col("conv_id").alias("item"), F.when(F.col("conv_id") % 5 == 0, "clarify").otherwise("answer").alias("expect"), F.col("question").alias("message"), first(8).alias("standalone"), history.alias("history"), first(4).alias("four"))
+    made = stored(items.select(F.col("conv_id").alias("item"), F.when(F.col("conv_id") % 5 == 0, "clarify").otherwise("answer").alias("expect"), F.col("question").alias("message"), first(8).alias("standalone"), history.alias("history"), first(4).alias("four")), "items")
     kind = F.when(F.col("item") % 4 == 2, "clarify").otherwise("rewrite")
     replies = made.where("item % 4 <> 0").select("item", kind.alias("status"), F.when(F.col("item") % 4 == 1, F.col("four")).alias("question"), (F.col("item") % 3 == 0).alias("named"))
 
-    def search(questions):
-        """The documents that share most distinct words with a question."""
-        each = lambda df, key: df.select(key, F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-        shared = each(questions, "q_id").join(each(docs, "doc_id"), "term").groupBy("q_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-        return retrieval.top(shared, 5, ["q_id"], "doc_id")
-
-    return arms.run(made.drop("four"), replies, docs.select(F.col("doc_id").alias("item"), "doc_id"), search)
+    return arms.run(made.drop("four"), replies, docs.select(F.col("doc_id").alias("item"), "doc_id"), lambda questions: overlap.most_shared(docs, questions, 5))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import stored
 
 ARMS = ("off", "on", "oracle")
 
@@ -72,4 +73,5 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def run(items: DataFrame, replies: DataFrame, gold: DataFrame, search: Callable[[DataFrame], DataFrame], k: int = 5, turns: int = 6) -> DataFrame:
     """The summary of the whole experiment."""
-    return summary(scored(asked(forced(items, turns), replies), gold, search, k))
+    rows = stored(asked(forced(items, turns), replies), "arms")  # read for the questions, their hits and the summary
+    return summary(scored(rows, gold, search, k))
