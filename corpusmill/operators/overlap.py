@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.scratch import stored
+from ..sources.scratch import stored, stored_blocks
+from . import blocks
 from .retrieval import BROADCAST_TERMS, top
 
-#: Documents and questions in a block (16 bits count them), and the rows that are held at most until a block is cut.
-DOCS, QUESTIONS, ROWS = 16_384, 4_096, 4_000_000
-#: Questions that are added up together, and parts of the documents that rank on their own before they are merged.
-TOGETHER, PARTS = 32, 8
-_NONE, _ALL = np.iinfo(np.int64).max, np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Questions that are added up together.
+TOGETHER = 32
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _words(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -32,42 +31,24 @@ def _words(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def _block(ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
     """Rows sorted by id -> one row: the ids, the words that any of them has, and for each word the places of those that have it."""
-    fresh = np.append(True, ids[1:] != ids[:-1])
+    fresh = blocks.edges(ids)
     keys, at = ids[fresh], np.cumsum(fresh) - 1
     order = np.argsort(words, kind="stable")
     words, at = words[order], at[order]
-    new = np.append(True, (words[1:] != words[:-1]) | (at[1:] != at[:-1]))  # an id that came twice counts once
+    new = blocks.edges(words, at)  # an id that came twice counts once
     words, at = words[new], at[new]
-    begins = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-    parts = (keys, words[begins], np.append(begins, len(words)).astype(np.int32), at.astype(np.uint16))
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["ids", "words", "begins", "places"])
+    begins = np.flatnonzero(blocks.edges(words))
+    return blocks.row(keys, words[begins], np.append(begins, len(words)).astype(np.int32), at.astype(np.uint16), names="ids words begins places")
 
 
 def packed(rows: DataFrame, keys: int, size: int) -> DataFrame:
     """rows(id, word), numbers both -> blocks of up to `size` ids; keys: about how many ids there are. An id is in one block only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            ends = np.append(starts[size::size], len(ids) if last else starts[-1])
-            if not last and len(ends) > 1 and ends[-2] == ends[-1]:
-                ends = ends[:-1]
-            for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
-                if b > a:
-                    yield _block(ids[a:b], words[a:b])
-            held[:] = [(ids[ends[-1] :], words[ends[-1] :])]
-
-        for b in batches:
-            if b.num_rows:
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-                if sum(len(x) for x, _ in held) >= ROWS:
-                    yield from cut(False)
-        if held:
-            yield from cut(True)
+        for ids, words in blocks.cut(batches, size, most):
+            yield _block(ids, words)
 
+    most = blocks.ROWS
     return rows.repartition(max(1, -(-keys // size)), "id").sortWithinPartitions("id").mapInArrow(run, "ids binary, words binary, begins binary, places binary")
 
 
@@ -135,13 +116,12 @@ def _first(planes: list[np.ndarray], among: np.ndarray, k: int) -> tuple[np.ndar
     return row, place, score
 
 
-class _Asked:
-    """A block of questions, and the first k documents of each so far: by score, then by id."""
+class _Asked(blocks.Best):
+    """A block of questions, and the first k documents of each so far."""
 
     def __init__(self, ids: bytes, words: bytes, begins: bytes, places: bytes, k: int) -> None:
-        self.ids, self.words = np.frombuffer(ids, np.int64), np.frombuffer(words, np.int64)
-        self.begins, self.places = np.frombuffer(begins, np.int32), np.frombuffer(places, np.uint16).astype(np.int64)
-        self.score, self.doc = np.zeros((len(self.ids), k), np.int64), np.full((len(self.ids), k), _NONE)
+        super().__init__(np.frombuffer(ids, np.int64), k)
+        self.words, self.begins, self.places = np.frombuffer(words, np.int64), np.frombuffer(begins, np.int32), np.frombuffer(places, np.uint16).astype(np.int64)
 
     def meet(self, docs: np.ndarray, words: np.ndarray, begins: np.ndarray, places: np.ndarray) -> None:
         """Ranks a block of documents with what there is."""
@@ -151,18 +131,18 @@ class _Asked:
             return
         width = -(-len(docs) // 64)
         bits = np.zeros((len(mine) + 1, width * 8), np.uint8)  # the last row is empty
-        size = begins[theirs + 1] - begins[theirs]
-        at = places[np.arange(size.sum()) + np.repeat(begins[theirs] - np.append(0, np.cumsum(size)[:-1]), size)].astype(np.int64)
+        held, size = blocks.spans(begins, theirs)
+        at = places[held].astype(np.int64)
         np.add.at(bits.reshape(-1), np.repeat(np.arange(len(mine)), size) * (width * 8) + (at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
         bits = bits.view(np.uint64)
 
-        many = self.begins[mine + 1] - self.begins[mine]
-        question = self.places[np.arange(many.sum()) + np.repeat(self.begins[mine] - np.append(0, np.cumsum(many)[:-1]), many)]
+        held, many = blocks.spans(self.begins, mine)
+        question = self.places[held]
         order = np.argsort(question, kind="stable")
         row = np.repeat(np.arange(len(mine)), many)[order]
         n = np.bincount(question, minlength=len(self.ids))  # the most that a document of this block can reach
         start = np.append(0, np.cumsum(n)[:-1])
-        least, before = self.score[:, -1], np.searchsorted(docs, self.doc[:, -1])
+        least, before = self.score[:, -1].astype(np.int64), np.searchsorted(docs, self.doc[:, -1])
         open_ = np.flatnonzero((n > least) | ((n == least) & (n > 0) & (before > 0)))
         open_ = open_[np.argsort(n[open_], kind="stable")]
         found = []
@@ -177,42 +157,30 @@ class _Asked:
                 r, place, score = _first([p[some] for p in planes], among[some], k)
                 found.append((q[some][r], docs[place], score))
         if found:
-            self._merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            self.merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    def _merge(self, q: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
-        who = np.unique(q)
-        old = np.nonzero(self.score[who] > 0)
-        q, doc, score = np.concatenate([who[old[0]], q]), np.concatenate([self.doc[who][old], doc]), np.concatenate([self.score[who][old], score])
-        order = np.lexsort((doc, -score, q))
-        q, doc, score = q[order], doc[order], score[order]
-        nth = np.arange(len(q)) - np.searchsorted(q, q)
-        in_ = nth < self.score.shape[1]
-        self.score[who], self.doc[who] = 0, _NONE
-        self.score[q[in_], nth[in_]], self.doc[q[in_], nth[in_]] = score[in_], doc[in_]
 
-
-def most_shared(docs: DataFrame, questions: DataFrame, k: int, per_block: tuple[int, int] = (DOCS, QUESTIONS)) -> DataFrame:
+def most_shared(docs: DataFrame, questions: DataFrame, k: int, per_block: tuple[int, int] = (blocks.DOCS, blocks.QUESTIONS)) -> DataFrame:
     """docs(doc_id, text), questions(q_id, text) -> (q_id, doc_id, score, rank): the first k documents by the number of distinct words
     shared with the question, then by id. Documents and questions without an id take no part; who shares no word isn't found."""
     asked = stored(_words(questions, "q_id", F.col("text")), "asked")
     words = stored(asked.select("term").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
     known = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     numbered = lambda rows: rows.join(known, "term").select("id", "word")
-    left = stored(packed(numbered(_words(docs, "doc_id", F.col("text"))), docs.count(), per_block[0]), "blocks").coalesce(PARTS)
-    right = stored(packed(numbered(asked), asked.select("id").distinct().count(), per_block[1]), "questions").select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "words", "begins", "places")))
+    left = stored_blocks(packed(numbered(_words(docs, "doc_id", F.col("text"))), docs.count(), per_block[0]), "blocks").coalesce(blocks.PARTS)
+    right = stored_blocks(packed(numbered(asked), asked.select("id").distinct().count(), per_block[1]), "questions").select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "words", "begins", "places")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[bytes, _Asked] = {}  # of this task's questions
+        asked_by: dict[bytes, _Asked] = {}  # of this task's questions
         kinds = (np.int64, np.int64, np.int32, np.uint16)
         for b in batches:
             for i in range(b.num_rows):
                 d, q = ([b.column(c)[i].as_buffer() for c in range(f, f + 4)] for f in (0, 4))
                 key = q[0].slice(0, 8).to_pybytes()  # a question is in one block only
-                if key not in blocks:
-                    blocks[key] = _Asked(*(x.to_pybytes() for x in q), k)
-                blocks[key].meet(*(np.frombuffer(x, t) for x, t in zip(d, kinds, strict=True)))
-        for x in blocks.values():
-            row, nth = np.nonzero(x.score > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x.ids[row]), pa.array(x.doc[row, nth]), pa.array(x.score[row, nth].astype(np.float64))], names=["q_id", "doc_id", "score"])
-
-    return top(left.crossJoin(right).mapInArrow(run, "q_id long, doc_id long, score double"), k, ["q_id"])
+                if key not in asked_by:
+                    asked_by[key] = _Asked(*(x.to_pybytes() for x in q), k)
+                asked_by[key].meet(*(np.frombuffer(x, t) for x, t in zip(d, kinds, strict=True)))
+        for x in asked_by.values():
+            yield x.rows()
+
+    return top(stored_blocks(left.crossJoin(right).mapInArrow(run, "q_id long, doc_id long, score double"), "hits"), k, ["q_id"])

@@ -5,15 +5,17 @@ Every operator takes all questions at once, keyed by a question id. Ties are ord
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.scratch import stored
+from ..sources.scratch import stored, stored_blocks
+from . import blocks
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -28,6 +30,16 @@ def postings(docs: DataFrame, keys: list[str], text: str = "text", stem: bool =
     return counted.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def word_forms(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(word, term): the distinct words of the texts whose stem is one of wanted(term), as a written table. Only distinct words are
+    shuffled and stemmed, each once, so postings needn't meet their stems."""
+    # written first: else Spark moves the stemmer below the distinct, and so to every occurrence
+    words = stored(docs.select(F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("word")).distinct(), "vocabulary")
+    stems = words.select("word", tx.stemmed("word").alias("term"))
+    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    return stored(stems.join(known, "term", "left_semi").select("word", "term"), "forms")
+
+
 def lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, F.size(tx.tokens(F.col(text))).cast("long").alias("len"))
 
@@ -36,6 +48,8 @@ def lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 _EVERY = "\0"
 #: The questions' words are broadcast up to this many; beyond it the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Scores of questions and documents that a task has at once; documents in a block of postings, and occurrences that are held until one is cut.
+CELLS, POSTING_DOCS, OCCURRENCES = 1 << 16, 4_096, 1_000_000
 
 
 def term_statistics(docs: DataFrame, wanted: DataFrame, by: list[str], text: str = "text", stem: bool = False) -> DataFrame:
@@ -56,34 +70,143 @@ def term_statistics(docs: DataFrame, wanted: DataFrame, by: list[str], text: str
 def bm25(docs: DataFrame, questions: DataFrame, k: int, scope: str | None = None, stem: bool = False) -> DataFrame:
     """Top k documents (q_id, doc_id, score, rank) for questions(q_id, text).
 
-    Texts are read once: the postings of the questions' terms are written as a table, and the statistics are taken from it; only terms
-    that a question has survive the join below the aggregation. N, document frequencies and the mean length are those of the scope (a
-    column of docs, such as an owner), if one is given: then each scope ranks its own.
+    Texts are read once (for stems, once more for their distinct words): the postings of the questions' terms are written as a table, and the
+    statistics are taken from it; only terms that a question has survive the join below the aggregation. N, document frequencies and the mean
+    length are those of the scope (a column of docs, such as an owner), if one is given: then each scope ranks its own. Stems without a
+    scope are scored in blocks (`ranked_blocks`): so many words share a stem that a row for each term, question and document would be most of the work.
     """
     by = [scope] if scope else []
     asked = stored(postings(questions, ["q_id"], stem=stem).select("q_id", "term"), "asked")
     keys, wanted = ["doc_id", *by, "len"], asked.select("term").distinct()  # the length rides along, so postings never meet their documents again
     known = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda df: df
-    sized = docs.select("doc_id", *by, *(["text"] if stem else []), tx.tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts").cast("long"))
+    sized = docs.select("doc_id", *by, tx.tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts").cast("long"))
+    # every document has one row more, whose term no text can have: the documents and their lengths
+    each = sized.select(*keys, F.explode(F.concat("ts", F.array(F.lit(_EVERY)))).alias("term"))
+    every = wanted.union(wanted.sparkSession.createDataFrame([(_EVERY,)], "term string"))
     if stem:
-        found = postings(sized, keys, stem=True).join(known(wanted), "term", "left_semi")
-        stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        forms = word_forms(docs, wanted)
+        bound = F.broadcast if forms.count() <= BROADCAST_TERMS else lambda df: df
+        if not by:
+            return ranked_blocks(each, forms, bound, asked, docs.count(), k)
+        read = each.withColumnRenamed("term", "word").join(bound(forms.union(every.where(F.col("term") == _EVERY).select("term", "term"))), "word")
     else:
-        # every document has one row more, whose term no text can have: the documents and their lengths
-        each = sized.select(*keys, F.explode(F.concat("ts", F.array(F.lit(_EVERY)))).alias("term"))
-        every = wanted.union(wanted.sparkSession.createDataFrame([(_EVERY,)], "term string"))
-        table = stored(each.join(known(every), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-        found = table.where(F.col("term") != _EVERY)
-        stats = table.where(F.col("term") == _EVERY).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        read = each.join(known(every), "term", "left_semi")
+    table = stored(read.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    found = table.where(F.col("term") != _EVERY)
+    stats = table.where(F.col("term") == _EVERY).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = found.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without a scope
     rows = asked.join(terms, "term").join(found, ["term", *by])
-    idf = F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))
+    part = _idf() * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len")))
     scores = rows.groupBy("q_id", *by, "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top(scores, k, ["q_id", *by])
 
 
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+
+
+def _postings_block(ids: np.ndarray, words: np.ndarray, lens: np.ndarray) -> pa.RecordBatch:
+    """Occurrences sorted by document -> one row: documents, their lengths, their words, and for each word where it stands and how often."""
+    fresh = blocks.edges(ids)
+    docs, lens, at = ids[fresh], lens[fresh], np.cumsum(fresh) - 1
+    at, words = at[words >= 0], words[words >= 0]
+    order = np.argsort(words, kind="stable")
+    words, at = words[order], at[order]
+    one = np.flatnonzero(blocks.edges(words, at))
+    tf = np.diff(np.append(one, len(words)))
+    words, at = words[one], at[one]
+    begins = np.flatnonzero(blocks.edges(words))
+    return blocks.row(docs, lens, words[begins], np.append(begins, len(words)).astype(np.int32), at.astype(np.uint16), tf.astype(np.int32), names="docs lens words begins places tfs")
+
+
+class _Questions(blocks.Best):
+    """A block of questions with their terms, and the first k documents of each so far."""
+
+    def __init__(self, packed: list[bytes], k: int) -> None:
+        ids, self.word, self.idf, mean = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.float64, np.float64), strict=True))
+        fresh = blocks.edges(ids)
+        super().__init__(ids[fresh], k)
+        self.at, self.mean = np.cumsum(fresh) - 1, mean[0]
+
+    def meet(self, docs: np.ndarray, lens: np.ndarray, words: np.ndarray, begins: np.ndarray, places: np.ndarray, tfs: np.ndarray) -> None:
+        """Scores a block of documents: up to CELLS questions and documents at once."""
+        if not len(words):
+            return
+        i = np.minimum(np.searchsorted(words, self.word), len(words) - 1)
+        has = words[i] == self.word
+        at, i, idf = self.at[has], i[has], self.idf[has]
+        norm = tfs + K1 * ((1 - B) + B * lens[places] / self.mean)
+        k, step = self.score.shape[1], max(1, CELLS // len(docs))
+        for q in range(0, len(self.ids), step):
+            a, b = np.searchsorted(at, (q, q + step))
+            held, size = blocks.spans(begins, i[a:b])
+            part = np.repeat(idf[a:b], size) * tfs[held] * (K1 + 1) / norm[held]
+            cell = np.repeat(at[a:b] - q, size) * len(docs) + places[held]
+            rows = min(step, len(self.ids) - q)
+            score = np.round(np.bincount(cell, part, rows * len(docs)).reshape(rows, -1), 6)
+            least, last = self.score[q : q + rows, -1:], self.doc[q : q + rows, -1:]
+            enters = (score > 0) & ((score > least) | ((score == least) & (docs < last)))
+            if len(docs) > k:
+                enters &= score >= np.partition(score, len(docs) - k, axis=1)[:, len(docs) - k, None]
+            r, d = np.nonzero(enters)
+            if len(r):
+                self.merge(r + q, docs[d], score[r, d])
+
+
+def ranked_blocks(each: DataFrame, forms: DataFrame, bound: Callable[[DataFrame], DataFrame], asked: DataFrame, count: int, k: int, per_block: tuple[int, int] = (POSTING_DOCS, blocks.QUESTIONS)) -> DataFrame:
+    """each(doc_id, len, term): every occurrence, and the row that stands in every document; forms(word, term): what counts as a term;
+    asked(q_id, term) -> the top k (q_id, doc_id, score, rank).
+
+    Documents are packed in blocks by term, with frequencies; document frequencies are counted from the blocks. Where a block of documents
+    meets one of questions, their scores are summed in place and each question keeps its first k, so a row for a question and a document is
+    neither written nor shuffled. Documents and questions without an id take no part."""
+    spark = asked.sparkSession
+    numbers = stored(asked.select("term").distinct().withColumn("number", F.monotonically_increasing_id()), "terms")
+    read = forms.join(numbers, "term").select("word", "number").union(spark.createDataFrame([(_EVERY, -1)], "word string, number long"))
+    rows = each.where("doc_id IS NOT NULL").withColumnRenamed("term", "word").join(bound(read), "word").select(F.col("doc_id").cast("long").alias("id"), "number", "len")
+    pack = lambda df, n, size: df.repartition(max(1, -(-n // size)), "id").sortWithinPartitions("id")
+    most = OCCURRENCES
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in blocks.cut(batches, per_block[0], most):
+            yield _postings_block(*columns)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lens, words, begins in zip(*(b.column(c) for c in ("lens", "words", "begins")), strict=True):
+                lens, words = np.frombuffer(lens.as_buffer(), np.int64), np.frombuffer(words.as_buffer(), np.int64)
+                df = np.diff(np.frombuffer(begins.as_buffer(), np.int32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(words, -1)), pa.array(np.append(df, len(lens))), pa.array(np.append(np.zeros(len(words), np.int64), lens.sum()))], names=["number", "df", "len"])
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in blocks.cut(batches, per_block[1], most):
+            yield blocks.row(*columns, names="q_ids q_numbers q_idfs q_means")
+
+    left = stored_blocks(pack(rows, count, per_block[0]).mapInArrow(documents, ", ".join(f"{c} binary" for c in "docs lens words begins places tfs".split())), "postings")
+    sums = left.select("lens", "words", "begins").mapInArrow(counted, "number long, df long, len long").groupBy("number").agg(F.sum("df").alias("df"), F.sum("len").alias("len"))
+    sums = stored_blocks(sums, "frequencies")
+    stats = sums.where("number = -1").select(F.col("df").alias("n"), (F.col("len") / F.col("df")).alias("avg_len"))
+    weights = sums.where("number >= 0").crossJoin(F.broadcast(stats)).select("number", _idf().alias("idf"), "avg_len")  # one row
+    terms = stored(asked.where("q_id IS NOT NULL").join(numbers, "term").join(weights, "number").select(F.col("q_id").cast("long").alias("id"), "number", "idf", "avg_len"), "weights")
+    right = stored_blocks(pack(terms, terms.select("id").distinct().count(), per_block[1]).mapInArrow(asking, ", ".join(f"{c} binary" for c in "q_ids q_numbers q_idfs q_means".split())), "questions")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, _Questions] = {}  # the questions of this task
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.uint16, np.int32)
+        for b in batches:
+            for i in range(b.num_rows):
+                d, q = [b.column(c)[i].as_buffer() for c in range(6)], [b.column(c)[i].as_buffer() for c in range(6, 10)]
+                key = q[0].slice(0, 8).to_pybytes()  # a question is in one block only
+                if key not in met:
+                    met[key] = _Questions([x.to_pybytes() for x in q], k)
+                met[key].meet(*(np.frombuffer(x, t) for x, t in zip(d, kinds, strict=True)))
+        for x in met.values():
+            yield x.rows()
+
+    return top(stored_blocks(left.coalesce(blocks.PARTS).crossJoin(right).mapInArrow(run, "q_id long, doc_id long, score double"), "hits"), k, ["q_id"])
+
+
 def top(scores: DataFrame, k: int, by: list[str], item: str = "doc_id") -> DataFrame:
     """The k best of each group with their rank; partial top-k happens before the shuffle."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), item)

@@ -19,8 +19,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: What goes to Python at once where rows are whole blocks: an executor's memory outside the JVM stays small.
+BLOCK_BYTES, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and there if an executor is lost."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_blocks(df: DataFrame, name: str) -> DataFrame:
+    """`stored`, with BLOCK_BYTES of rows at once to Python; the session's own setting is back afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, BLOCK_BYTES)
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(_BATCH, before)

@@ -4,7 +4,7 @@ import random
 
 from corpusmill import catalog
 from corpusmill.functions.text import STOPWORDS
-from corpusmill.operators import overlap
+from corpusmill.operators import blocks, overlap
 
 from .oracle import differences
 
@@ -38,7 +38,7 @@ def test_most_shared(spark):
 
 def test_blocks(spark, monkeypatch):
     """Few rows are held at once, and an id isn't split over blocks."""
-    monkeypatch.setattr(overlap, "ROWS", 50)
+    monkeypatch.setattr(blocks, "ROWS", 50)
     run = overlap.packed(spark.range(30).selectExpr("id", "explode(sequence(0L, id % 7)) AS word").repartition(3), 30, 8).collect()
     ids = [int.from_bytes(r.ids[i : i + 8], "little") for r in run for i in range(0, len(r.ids), 8)]
     assert sorted(ids) == list(range(30)) and max(len(r.ids) // 8 for r in run) <= 8
